@@ -42,12 +42,74 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    from platewise.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of three-word Jaccard 0.9 or more."""
+    from platewise.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept of every document."""
+    from platewise.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"), digest_only=True)
+
+
+OP7_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, i, line, lower_ascii AS key
+    FROM (
+        SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM (
+            SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS parts FROM documents)
+        )
+    )
+), dropped AS (
+    SELECT key, max(doc_id) AS top FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT l.doc_id, l.i, l.line, d.key IS NOT NULL AND l.doc_id <> d.top AS gone
+    FROM lines l LEFT JOIN dropped d USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, E'\n' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the bigram model of those that are not held out."""
+    from platewise.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from platewise.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_lm_score": op8_lm_score,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
