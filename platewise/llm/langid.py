@@ -15,9 +15,6 @@ a language. Equal code lengths go to the language that sorts first. Rows with a
 
 from __future__ import annotations
 
-import math
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -97,7 +94,7 @@ class ContextTrees:
                 node_of[ctx] = len(tables)
                 tables.append(p)
         self.node_of = node_of
-        self.bits = -np.log2(np.array(tables).reshape(-1, n_langs)).astype(np.float32)
+        self.bits = -np.log2(np.array(tables)).reshape(-1, n_langs).astype(np.float32) if n_langs else np.empty((0, 0), np.float32)
 
     def code_lengths(self, text: str, step: int = 1 << 19) -> np.ndarray:
         """Bits of the whole text under each language."""
@@ -152,13 +149,18 @@ def predict(docs: DataFrame, model: ContextTrees) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, per_lang: int = 300, max_bytes: int = 32_768) -> DataFrame:
-    return predict(docs, train(docs, per_lang, max_bytes))
+def keep_identified(docs: DataFrame, model: ContextTrees) -> DataFrame:
+    """The rows of docs with a language, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index("text")
 
+    def run(batches):
+        trees = shared.value
+        for b in batches:
+            yield b.filter(pa.array([trees.predict(t.as_py())[0] != UNDETERMINED for t in b.column(where)], pa.bool_()))
 
-def is_held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+    return docs.mapInArrow(run, docs.schema)
 
 
-def perplexity(bits: float, n_bytes: int) -> float:
-    return math.pow(2.0, bits / max(1, n_bytes))
+def identify(docs: DataFrame, per_lang: int = 300, max_bytes: int = 32_768) -> DataFrame:
+    return predict(docs, train(docs, per_lang, max_bytes))

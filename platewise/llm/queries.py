@@ -92,6 +92,71 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of the archive records of all pages, resolved."""
+    from platewise.llm.warc import header_text, records_of_pages, resolve_revisits
+
+    out = resolve_revisits(records_of_pages(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "canonical_url", F.coalesce("refers_to", F.lit(-1)).alias("refers_to"), "outcome", header_text(F.col("headers")).alias("headers"))
+
+
+OP2_SQL = r"""
+WITH bare AS (
+    SELECT CAST(page_id AS BIGINT) AS page, coalesce(html, '') AS html,
+           regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u
+    FROM pages
+), canon AS (
+    SELECT page, html, u, list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'),
+               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS q
+    FROM bare
+), records AS (
+    SELECT page, '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (page % 365) AS day,
+           regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[.]', '')
+           || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/$', '')
+           || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url
+    FROM canon
+), visits AS (
+    SELECT page * 2 + 1 AS record_id, canonical_url, page * 600 + 216000 AS ts,
+           CASE WHEN page % 7 = 0 THEN NULL WHEN page % 11 = 0 THEN '"new"' ELSE 'W/' || tag END AS etag,
+           CASE WHEN page % 7 = 0 THEN day END AS modified, CAST(page * 600 + 216000 AS VARCHAR) AS seen
+    FROM records
+), full_ones AS (
+    SELECT page * 2 AS record_id, canonical_url, page * 600 AS ts, tag, day, CAST(page * 600 AS VARCHAR) AS seen FROM records
+), matched AS (
+    SELECT v.*, (SELECT max(struct_pack(ts := f.ts, record_id := f.record_id)) FROM full_ones f
+                 WHERE f.canonical_url = v.canonical_url AND (f.ts < v.ts OR (f.ts = v.ts AND f.record_id < v.record_id))) AS best
+    FROM visits v
+), decided AS (
+    SELECT m.*, f.tag AS f_tag, f.day AS f_day, f.seen AS f_seen,
+           CASE WHEN best IS NULL THEN 'orphan'
+                WHEN etag IS NOT NULL AND regexp_replace(etag, '^W/', '') = f.tag THEN 'resolved'
+                WHEN etag IS NULL AND modified = f.day THEN 'resolved' ELSE 'changed' END AS outcome
+    FROM matched m LEFT JOIN full_ones f ON f.record_id = m.best.record_id
+)
+SELECT record_id, canonical_url, CASE WHEN outcome = 'resolved' THEN best.record_id ELSE -1 END AS refers_to, outcome,
+       CASE WHEN outcome = 'resolved'
+            THEN 'content-type: text/html' || chr(10) || 'date: ' || seen || chr(10) || 'etag: ' || coalesce(etag, f_tag) || chr(10) || 'last-modified: ' || coalesce(modified, f_day)
+            ELSE 'content-type: text/plain' || chr(10) || 'date: ' || seen
+                 || CASE WHEN etag IS NOT NULL THEN chr(10) || 'etag: ' || etag ELSE '' END
+                 || CASE WHEN modified IS NOT NULL THEN chr(10) || 'last-modified: ' || modified ELSE '' END END AS headers
+FROM decided
+"""
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a script of edits."""
+    from platewise.llm.token_counts import edited_counts, scripted_edits
+
+    return edited_counts(scripted_edits(table(spark, sf_dir, "documents")), rank_file())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds a copy of."""
+    from platewise.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from platewise.llm.html_text import extract_pages
@@ -102,14 +167,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_warc_revisits": op2_warc_revisits,
+        "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_line_dedup": op7_line_dedup,
         "op8_lm_score": op8_lm_score,
+        "op9_decontamination": op9_decontamination,
         "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
