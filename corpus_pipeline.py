@@ -1,9 +1,63 @@
-"""Corpus preparation in five stages."""
+"""Corpus preparation in five stages, each on all that the one before kept.
 
-STAGES = []
+Language identification drops documents without a language, exact deduplication keeps the largest id of equal texts,
+the n-gram join keeps the smallest id of each component of near copies, decontamination drops documents that hold a
+benchmark item, and the tokenizer turns what is left into ids. Each stage's rows are written as Parquet in the shared
+folder and read again by the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
+from platewise.llm.common import release, shared_dir, table
+from platewise.llm.queries import rank_file
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in `dropped`; rows with a null id stay."""
+    return docs.join(dropped.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, ngram_join.ngram_components(docs).where("doc_id <> component_id"))
+
+
+def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, rank_file()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", benchmark_copies),
+    ("byte_bpe", token_ids),
+]
+
+#: No SQL: the stages learn models and follow links; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = shared_dir(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark)
     return docs
