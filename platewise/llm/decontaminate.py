@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. The documents that hold each word n-gram of the benchmark are counted over the whole corpus. Every item keeps the
-   rarer half of its n-grams (eight at least) as seeds, so phrases of common words find nothing.
+   rarer half of its n-grams that occur (eight at least) as seeds, so phrases of common words find nothing.
 2. A text is joined with the items whose seeds it holds. Around the hits, at the item's length and half of it on each
    side, words are aligned locally (match +2, mismatch -1, gap -1). The pair is reported if the score reaches
    `threshold` of the item's perfect score; an edited copy with a third of its words changed still does, chance does not (0.1).
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import batch
 from platewise.llm.lm_score import _hash
-from platewise.llm.ngram_join import mix, ngrams_of
+from platewise.llm.ngram_join import ngrams_of
 
 
 class PlainWords(dict):
@@ -88,6 +88,7 @@ class Seeds:
         n = np.array([count.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
         keep = np.zeros(len(n), np.bool_)
         order = np.lexsort((self.offset, n, self.owner))
+        order = order[n[order] > 0]  # what no text holds finds nothing
         owner = self.owner[order]
         if len(owner):
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -219,6 +220,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold
     for shared in rare_seeds(docs, benchmark, n, slice_items):
         out = out.mapInArrow(cleaner(shared), docs.schema)
     return out
-
-
-__all__ = ["clean_documents", "contaminated", "mix", "rare_seeds", "smith_waterman"]
