@@ -171,17 +171,19 @@ def split_half(row_id: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(2)) == 0
 
 
-def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0) -> DataFrame:
+def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0, replicate: str | None = None) -> DataFrame:
     """(group, n, statistic, pvalue, qvalue, is_hit): distance of each group from the controls.
 
     Half of the controls fit centre and whitening, the other half is the null pool. The statistic is the median row
     distance (ks: the Kolmogorov-Smirnov distance to the pool); its null draws the group's size from the group
-    together with the held-out controls, whose distances are collected (one number for each).
+    together with the held-out controls, whose distances are collected (one number for each). With `replicate`, whole
+    units are split and drawn, as many as the group has.
     """
-    rows = df.withColumns({"__ctl": control, "__fit": split_half(row_id, seed)})
+    rows = df.withColumns({"__ctl": control, "__fit": split_half(replicate or row_id, seed), "__unit": F.col(replicate or row_id).cast("string")})
     center, white = mahalanobis_fit(rows.where("__ctl and __fit"), features)
-    scored = rows.where("not (__ctl and __fit)").select(row_id, group, "__ctl", distance_column(features, center, white).alias("d"))
-    pool = scored.where("__ctl").select("d").toPandas()["d"].to_numpy(float)
+    scored = rows.where("not (__ctl and __fit)").select(row_id, group, "__ctl", "__unit", distance_column(features, center, white).alias("d"))
+    held = scored.where("__ctl").select("d", "__unit").toPandas().sort_values(["__unit", "d"])
+    pool, pool_units = held["d"].to_numpy(float), held["__unit"].to_numpy()
     if len(pool) < 2:
         raise ValueError("hit calling needs four controls at least")
 
@@ -196,7 +198,14 @@ def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Col
         name = str(pdf[group].iloc[0])
         rng = np.random.default_rng([seed, *name.encode()])
         every, obs = np.concatenate([x, pool]), stat(x)
-        hits = sum(stat(rng.choice(every, len(x), replace=False)) >= obs - 1e-12 for _ in range(n_permutations))
+        if replicate is None:
+            draws = (rng.choice(every, len(x), replace=False) for _ in range(n_permutations))
+        else:
+            own = pdf.sort_values(row_id)["__unit"].to_numpy()
+            units = [x[own == u] for u in pd.unique(own)] + [pool[pool_units == u] for u in pd.unique(pool_units)]
+            k = len(pd.unique(own))
+            draws = (np.concatenate([units[i] for i in rng.choice(len(units), k, replace=False)]) for _ in range(n_permutations))
+        hits = sum(stat(d) >= obs - 1e-12 for d in draws)
         return pd.DataFrame({"group": [name], "n": [len(x)], "statistic": [obs], "pvalue": [(hits + 1.0) / (n_permutations + 1.0)]})
 
     out = scored.where("not __ctl").groupBy(group).applyInPandas(run, "group string, n long, statistic double, pvalue double")

@@ -112,19 +112,21 @@ def impute(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), refer
         raise ValueError("method is zero, reference_median or knn (with row_id)")
     feats = list(features)
     order = Window.partitionBy(*by).orderBy(F.xxhash64(row_id), row_id)
-    donors = df.where(ref).withColumn("__d", F.row_number().over(order)).where(F.col("__d") <= n_donors).select(*by, *feats)
+    donors = df.where(ref).withColumn("__d", F.row_number().over(order)).where(F.col("__d") <= n_donors)
+    donors = donors.select(*[F.col(b).alias(f"__by_{b}") for b in by], *[F.col(f).alias(f"__donor_{f}") for f in feats])
     gaps = df.where(" or ".join(f"`{f}` is null" for f in feats))
     whole = df.where(" and ".join(f"`{f}` is not null" for f in feats))
 
     columns = [*gaps.columns, *([] if by else ["__all"])]
 
     def fill(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return knn_fill(left, right, feats, k) if len(left) else pd.DataFrame(columns=columns)
+        donors_of = right.rename(columns={f"__donor_{f}": f for f in feats})
+        return knn_fill(left, donors_of, feats, k) if len(left) else pd.DataFrame(columns=columns)
 
-    keys = list(by) or ["__all"]
     if not by:
-        gaps, donors = gaps.withColumn("__all", F.lit(1)), donors.withColumn("__all", F.lit(1))
-    filled = gaps.groupBy(*keys).cogroup(donors.groupBy(*keys)).applyInPandas(fill, gaps.schema).select(*df.columns)
+        gaps, donors = gaps.withColumn("__all", F.lit(1)), donors.withColumn("__by___all", F.lit(1))
+    keys = list(by) or ["__all"]
+    filled = gaps.groupBy(*keys).cogroup(donors.groupBy(*[f"__by_{b}" for b in keys])).applyInPandas(fill, gaps.schema).select(*df.columns)
     return whole.unionByName(filled)
 
 

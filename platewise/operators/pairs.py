@@ -268,6 +268,29 @@ def map_null_pvalues(ap: DataFrame, labels: DataFrame, label: str, null_size: in
     return benjamini_hochberg(table.withColumn("pvalue", p_value("configs", "score")).drop("configs"), tie=[label])
 
 
+def map_permutation_pvalues(pairs: DataFrame, labels: DataFrame, label: str, n_permutations: int = 100, seed: int = 0) -> DataFrame:
+    """(label, score, pvalue, qvalue): labels dealt anew among the rows by hash, n times; pairs: ordered (i, j, sim).
+
+    Every permutation ranks all pairs again, so this null is for consensus profiles.
+    """
+    spark = pairs.sparkSession
+    place = labels.withColumn("k", F.row_number().over(Window.orderBy("i")))
+    draws = labels.select(F.col("i").alias("to")).crossJoin(spark.range(n_permutations).select(F.col("id").alias("d")))
+    dealt = draws.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.lit(seed), "d", "to"), "to"))).join(place, "k").select("d", F.col("to").alias("i"), label)
+    every = dealt.unionByName(labels.select(F.lit(-1).cast("long").alias("d"), "i", label))
+    a, b = every.withColumnRenamed(label, "la"), every.select("d", F.col("i").alias("j"), F.col(label).alias("lb"))
+    ranked = pairs.select("i", "j", "sim").join(a, "i").join(b, ["d", "j"]).withColumn("positive", F.col("la") == F.col("lb"))
+    w = Window.partitionBy("d", "i").orderBy(F.desc("sim"), F.desc("positive"), "j")
+    hit = F.col("positive").cast("long")
+    rows = ranked.withColumns({"rank": F.row_number().over(w), "hits": F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    ap = rows.where("positive").groupBy("d", "i", "la").agg(F.avg(F.col("hits") / F.col("rank")).alias("ap"))
+    score = ap.groupBy("d", F.col("la").alias(label)).agg(F.avg("ap").alias("score"))
+    obs = score.where("d = -1").drop("d")
+    null = score.where("d >= 0").select(label, F.col("score").alias("null"))
+    p = obs.join(null, label, "left").groupBy(label).agg(F.first("score").alias("score"), ((F.count(F.when(F.col("null") >= F.col("score") - 1e-12, 1)) + 1.0) / (F.count("null") + 1.0)).alias("pvalue"))
+    return benjamini_hochberg(p, tie=[label])
+
+
 def random_average_precisions(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng([seed, n_pos, n_total])
     out = np.empty(size)

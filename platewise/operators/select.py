@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.special import col_chi2_sf
+from platewise.functions.wells import parse_feature_name
 from platewise.operators.qc import feature_metrics
 from platewise.operators.stats import average_rank, benjamini_hochberg, to_long
 
@@ -57,6 +58,23 @@ def noise_removal(df: DataFrame, features: Sequence[str], by: Sequence[str], cut
     return noise.withColumn("keep", F.coalesce("noise", F.lit(0.0)) <= cutoff)
 
 
+def read_blocklist(spark, path: str) -> list[str]:
+    """Names of a text file, one on each line; # begins a comment."""
+    rows = spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("n")).where("n <> ''")
+    return [r["n"] for r in rows.collect()]
+
+
+def without_blocklisted(features: Sequence[str], blocklist: Sequence[str]) -> list[str]:
+    """Features that are not listed by name, nor by what they measure under another object."""
+
+    def identity(name: str) -> tuple:
+        f = parse_feature_name(name)
+        return (f.feature_group, f.measure, f.channel, f.scale, f.angle, f.gray_levels, f.radial_bin) if f.feature_group else (name,)
+
+    listed = {identity(n) for n in blocklist}
+    return [f for f in features if f not in set(blocklist) and identity(f) not in listed]
+
+
 # ---------------------------------------------------------------- correlation
 
 
@@ -179,7 +197,7 @@ def feature_select(df: DataFrame, features: Sequence[str], row_id: str, operatio
     feats, removed = list(features), {}
     steps: dict[str, Callable[[list[str]], set[str]]] = {
         "drop_degenerate": lambda left: set(degenerate) & set(left),
-        "blocklist": lambda left: {f for f in left if f in set(blocklist)},
+        "blocklist": lambda left: set(left) - set(without_blocklisted(left, blocklist)),
         "drop_na_columns": lambda left: _gone(drop_na_columns(df, left, options.get("na_cutoff", 0.05))),
         "variance_threshold": lambda left: _gone(variance_threshold(df, left, options.get("min_variance", 1e-6))),
         "frequency_threshold": lambda left: _gone(frequency_threshold(df, left, row_id, options.get("freq_cut", 0.05), options.get("unique_cut", 0.01))),

@@ -108,8 +108,8 @@ def average_rank(value: Column | str, by: Sequence[str | Column] = (), descendin
 def benjamini_hochberg(df: DataFrame, p: str = "pvalue", by: Sequence[str] = (), out: str = "qvalue", tie: Sequence[str] = ()) -> DataFrame:
     """q of each p within its family; NULL p stays NULL and is not counted.
 
-    Families are the partitions of one window. A family without keys is one task of (p, rank) rows; a family of
-    millions of tests should be given `by` or pre-sorted by range.
+    Families are the partitions of one window, so a family is one task of (p, rank) rows; `benjamini_hochberg_large`
+    has none of that limit.
     """
     family = Window.partitionBy(*by, F.col(p).isNull())
     up = family.orderBy(F.col(p).asc(), *tie)
@@ -136,3 +136,32 @@ def cumulative_counts(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]
 
 def variance_by_feature(df: DataFrame, features: Sequence[str], ddof: int = 0) -> DataFrame:
     return to_long(df, [], features).groupBy("feature").agg(statistic("var", F.col("value"), ddof=ddof).alias("variance"))
+
+
+def bucketed(df: DataFrame, value: str, buckets: int = 64, name: str = "__bucket") -> DataFrame:
+    """A bucket of each row by approximate quantiles of the value: an ordered partition of one long list.
+
+    Bucket borders are few numbers; equal values share a bucket, so orders within and between buckets agree with the
+    order of all rows.
+    """
+    bounds = sorted(set(df.where(F.col(value).isNotNull()).approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    border = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(border, lambda b: b < F.col(value)))))
+
+
+def benjamini_hochberg_large(df: DataFrame, p: str = "pvalue", out: str = "qvalue", tie: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """The same for one family of any size: ranks and running minima within buckets, joined over the few buckets."""
+    rows = bucketed(df, p, buckets)
+    local = Window.partitionBy("__bucket").orderBy(F.col(p).asc(), *tie)
+    sizes = rows.where("__bucket is not null").groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.orderBy("__bucket")  # over the buckets only
+    sizes = sizes.withColumns({"__before": F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())})
+    ranked = join_fit(rows, sizes, ["__bucket"])
+    step = F.col(p) * F.col("__all") / (F.col("__before") + F.row_number().over(local))
+    ranked = ranked.withColumn("__step", F.when(F.col("__bucket").isNotNull(), F.least(F.lit(1.0), step)))
+    least = ranked.where("__bucket is not null").groupBy("__bucket").agg(F.min("__step").alias("__min"))
+    least = least.withColumn("__later", F.min("__min").over(Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1))).drop("__min")
+    done = join_fit(ranked, least, ["__bucket"])
+    own = F.min("__step").over(local.rowsBetween(0, Window.unboundedFollowing))
+    q = F.when(F.col("__bucket").isNotNull(), F.least(own, F.coalesce("__later", F.lit(1.0))))
+    return done.withColumn(out, q).drop("__bucket", "__n", "__before", "__all", "__step", "__later")

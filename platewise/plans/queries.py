@@ -136,8 +136,6 @@ def grouped_mad(spark, sf):
     return ST.grouped_mad(T.cells(spark, sf), ["plate"], FEATURES)
 
 
-_BH = "row_number() OVER (PARTITION BY {k} pvalue IS NULL ORDER BY pvalue, guide)"
-
 
 def _bh_sql(family: str) -> str:
     k = f"{family}, " if family else ""
@@ -155,6 +153,11 @@ def bh_by(spark, sf):
     return ST.benjamini_hochberg(T.guides(spark, sf), by=["gene"], tie=["guide"]).select("guide", "gene", "pvalue", "qvalue")
 
 
+@query("benjamini_hochberg_large", _bh_sql(""), 9)
+def bh_large(spark, sf):
+    return ST.benjamini_hochberg_large(T.guides(spark, sf), tie=["guide"], buckets=16).select("guide", "gene", "pvalue", "qvalue")
+
+
 @query("permutation_pvalue", rsql("SELECT grp, (1.0 + count(*) FILTER (value >= 50)) / (1.0 + count(value)) AS pvalue FROM pop GROUP BY grp", "pvalue", prefix=WP))
 def permutation_p(spark, sf):
     g = T.populations(spark, sf).groupBy("grp").agg(F.collect_list("value").alias("null"))
@@ -410,6 +413,13 @@ def drop_na(spark, sf):
     return S.drop_na_columns(T.cells(spark, sf), FEATURES)
 
 
+@query("blocklist", "SELECT feature FROM (VALUES ('Cells_AreaShape_Area'), ('Nuclei_Intensity_MeanIntensity_DNA'), ('Cytoplasm_Texture_Contrast_ER_3_00_256'), ('Cells_RadialDistribution_FracAtD_Mito_2of4'), ('Nuclei_Location_Center_X'), ('emb_17')) v(feature)")
+def blocklist(spark, sf):
+    """Names on the list go, under any object."""
+    kept = S.without_blocklisted(_FEATURE_NAMES, ["Nuclei_Correlation_Correlation_DNA_AGP"])
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
 @query("drop_outliers", rsql(" UNION ALL ".join(f"SELECT '{f}' AS feature, max(abs({f})) AS largest, max(abs({f})) <= 500 AS keep FROM cells" for f in FEATURES), "largest", prefix=WC))
 def drop_outliers(spark, sf):
     return S.drop_outliers(T.cells(spark, sf), FEATURES)
@@ -694,6 +704,13 @@ def map_multilabel(spark, sf):
     return P.map_scores(ap, e.select(F.col("vec_id").alias("i"), "label"), "label")
 
 
+@query("map_permutation_pvalues")
+def map_permutation(spark, sf):
+    e = T.embedded(spark, sf).where("vec_id < 150")
+    p = P.similarity_pairs(e, "vec_id", "v", ordered=True)
+    return P.map_permutation_pvalues(p, e.select(F.col("vec_id").alias("i"), "label"), "label", 20)
+
+
 @query("map_pvalues")
 def map_p(spark, sf):
     e = T.embedded(spark, sf)
@@ -772,6 +789,11 @@ def hits(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200)
 
 
+@query("hit_calling_replicates")
+def hits_replicates(spark, sf):
+    return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, replicate="batch")
+
+
 @query("hit_calling_ks")
 def hits_ks(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", "ks", 200)
@@ -1140,6 +1162,12 @@ def sphere(spark, sf):
     return cov.select(F.explode("m").alias("m")).select("m.*")
 
 
+@query("sphere_epsilon")
+def sphere_epsilon(spark, sf):
+    e = _emb_wide(spark, sf, 4)
+    return _batch().select_epsilon(e, list("abcd"), F.col("control"), "label", "vec_id", [1e-6, 1e-2, 1.0])
+
+
 @query("tvn")
 def tvn(spark, sf):
     return _batch().tvn(_emb_wide(spark, sf, 4), list("abcd"), "batch", F.col("control"))
