@@ -9,12 +9,13 @@
 Words are compared without case and punctuation. Items are broadcast in slices of `slice_items`, so the size of what
 is sent is bounded however large the benchmark is. No table is shuffled but the counts.
 
-Defined results: null or empty texts and items without words match nothing; items shorter than n words are one seed;
-repeated items and rows are reported each; rows with a null id are reported with a null id.
+Defined results: null or empty texts and items of fewer than n words match nothing; repeated items and rows are
+reported each; rows with a null id are reported with a null id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,20 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import batch
 from platewise.llm.lm_score import _hash
-from platewise.llm.ngram_join import ngrams_of
+from platewise.llm.ngram_join import mix
 
 
-class PlainWords(dict):
-    """word -> hash of its letters and digits in lower case; 0 for a word of punctuation."""
+#: ASCII characters that are neither letters nor digits nor white space.
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\x0b\x0c\r")
+_WIDE_MARKS = re.compile(r"[^\x00-\x7f\w]")
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        plain = "".join(filter(str.isalnum, word.decode("utf-8", "replace").lower()))
-        self[word] = h = _hash(plain.encode()) or 1 if plain else 0
-        return h
 
-    def of(self, text: str | None) -> np.ndarray:
-        found = [self[w] for w in (text or "").encode().split()]
-        x = np.array(found, np.int64)
-        return x[x != 0]
+def plain_words(text: str | None) -> list[bytes]:
+    """Words in lower case without what is not a letter or digit; words of nothing else vanish."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _WIDE_MARKS.sub("", text)
+    return text.encode().translate(None, _MARKS).split()
 
 
 def smith_waterman(item: np.ndarray, words: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
@@ -66,12 +64,13 @@ class Seeds:
     BITS = 20
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        words = PlainWords()
+        forms = [plain_words(t) for _, t in items]
+        self.known = {f: _hash(f) or 1 for fs in forms for f in fs}
         self.n, self.ids = n, [i for i, _ in items]
-        self.words = [words.of(t) for _, t in items]
+        self.words = [np.array([self.known[f] for f in fs], np.int64) for fs in forms]
         grams, owner, offset = [], [], []
         for k, w in enumerate(self.words):
-            g = ngrams_of(w.tolist(), n)
+            g = self.grams_at(w, np.arange(max(0, len(w) - n + 1)))
             grams.append(g)
             owner.append(np.full(len(g), k, np.int64))
             offset.append(np.arange(len(g)))
@@ -97,24 +96,40 @@ class Seeds:
             keep[order] = rank < np.repeat(np.maximum(least, -(-size // 2)), size)
         self._set(self.grams[keep], self.owner[keep], self.offset[keep])
 
-    def positions(self, grams: np.ndarray) -> np.ndarray:
-        """Where a text's n-grams are n-grams of an item."""
-        at = np.flatnonzero(self.filter[(grams & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
-        if not len(at) or not len(self.unique):
-            return at[:0]
-        found = np.minimum(np.searchsorted(self.unique, grams[at]), len(self.unique) - 1)
-        return at[self.unique[found] == grams[at]]
+    def word_hashes(self, text: str | None) -> np.ndarray:
+        """Hash of each word; 0 for a word that no item has."""
+        get = self.known.get
+        return np.array([get(w, 0) for w in plain_words(text)], np.int64)
+
+    def grams_at(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the n-grams that begin at these words."""
+        w = words.view(np.uint64)
+        h = mix(w[at] + np.uint64(self.n)) if len(at) else np.empty(0, np.uint64)
+        for j in range(1, self.n):
+            h = mix(h + w[at + j])
+        return h
 
-    def text_grams(self, words: np.ndarray) -> np.ndarray:
-        grams = ngrams_of(words.tolist(), self.n) if len(words) else np.empty(0, np.uint64)
-        return grams
+    def seeds_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of a text's n-grams that are n-grams of an item; only runs of items' words are hashed."""
+        known = words != 0
+        at = known[: max(0, len(words) - self.n + 1)].copy()
+        for j in range(1, self.n):
+            at &= known[j : j + len(at)]
+        at = np.flatnonzero(at)
+        grams = self.grams_at(words, at)
+        some = self.filter[(grams & np.uint64((1 << self.BITS) - 1)).astype(np.int64)]
+        at, grams = at[some], grams[some]
+        if not len(at) or not len(self.unique):
+            return at[:0], grams[:0]
+        found = np.minimum(np.searchsorted(self.unique, grams), len(self.unique) - 1)
+        hit = self.unique[found] == grams
+        return at[hit], grams[hit]
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, seeds hit, from, to): merged windows of the text around the hits of each item."""
-        grams = self.text_grams(words)
-        at = self.positions(grams)
+        at, grams = self.seeds_of(words)
         if len(at):
-            a, b = np.searchsorted(self.grams, grams[at]), np.searchsorted(self.grams, grams[at], "right")
+            a, b = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
             place = np.repeat(at, b - a)
             entry = np.concatenate([np.arange(x, y) for x, y in zip(a, b)])
             start = place - self.offset[entry]
@@ -127,9 +142,9 @@ class Seeds:
                 for part in np.split(s, cut):
                     yield int(k), len(part), max(0, int(part[0]) - margin), min(len(words), int(part[-1]) + size + margin)
 
-    def matches(self, text: str | None, memo: PlainWords, threshold: float) -> list[tuple[int, float, int, int, int]]:
+    def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item id, score share, seeds hit, from, to in plain words), the best window of each item that reaches the threshold."""
-        words = memo.of(text)
+        words = self.word_hashes(text)
         best: dict[int, tuple] = {}
         for k, n, a, b in self.hits(words):
             item = self.words[k]
@@ -157,11 +172,10 @@ def _counts(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         seeds: Seeds = shared.value
-        memo, total = PlainWords(), np.zeros(len(seeds.unique), np.int64)
+        total = np.zeros(len(seeds.unique), np.int64)
         for b in batches:
             for t in b.column(0):
-                grams = seeds.text_grams(memo.of(t.as_py()))
-                found = np.unique(grams[seeds.positions(grams)])
+                found = np.unique(seeds.seeds_of(seeds.word_hashes(t.as_py()))[1])
                 total[np.searchsorted(seeds.unique, found)] += 1
         some = np.flatnonzero(total)
         yield batch(schema, (seeds.unique[some].view(np.int64), total[some]))
@@ -188,9 +202,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
 
     def finder(shared):
         def run(batches):
-            seeds, memo = shared.value, PlainWords()
+            seeds = shared.value
             for b in batches:
-                out = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1)) for m in seeds.matches(t.as_py(), memo, threshold)]
+                out = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1)) for m in seeds.matches(t.as_py(), threshold)]
                 if out:
                     yield batch(_PAIRS, zip(*out))
 
@@ -210,9 +224,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold
 
     def cleaner(shared):
         def run(batches):
-            seeds, memo = shared.value, PlainWords()
+            seeds = shared.value
             for b in batches:
-                yield b.filter(pa.array([not seeds.matches(t.as_py(), memo, threshold) for t in b.column(where)], pa.bool_()))
+                yield b.filter(pa.array([not seeds.matches(t.as_py(), threshold) for t in b.column(where)], pa.bool_()))
 
         return run
 
