@@ -2,14 +2,16 @@
 
 Rows are distinct n-gram sets (documents of equal sets are one class), columns are n-grams. Only the columns that can
 decide a pair are multiplied: with n-grams ordered from rare to frequent, two sets of Jaccard t or more share at least
-k n-grams among their first a - ceil(t a) + k. k grows with the size a of a set, so pairs that meet in a chance n-gram
-or two never pass. The product sums the overlap of each pair over these columns, one block of columns in each task,
-discards pairs whose sizes differ too much or whose overlap is below k, and verifies the rest on the whole sets.
+k n-grams among their first a - ceil(t a) + k. k is a sixteenth of the size a of a set, well above what sets share by
+chance, so pairs that meet in a few common n-grams never pass. The product sums the overlap of each pair over these columns, one block of columns in each task,
+discards pairs that cannot reach the Jaccard by their sizes and places or whose overlap is below k, and verifies the
+rest on the whole sets.
 
 What is asked for is each document's component, so links inside a known component need not be found again:
-1. columns with many rows first link all rows to one of them (a star, as many pairs as rows) and the verified links
-   are closed to components;
-2. the product then runs over all columns for pairs of different components. A large group of near copies has become
+1. columns first link every row to the hub that it shares most of them with (a star, no more pairs than
+   rows) and the verified links are closed to components;
+2. the product then runs over all columns for pairs of different components, each over the first n-grams that a link of
+   its two sizes must share. A large group of near copies has become
    one component by then and costs no square of its size. No pair is dropped otherwise: every link between two
    components passes the exact bounds above.
 
@@ -27,12 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.llm.common import batch, materialize
 from platewise.llm.components import components
-from platewise.llm.lm_score import WordHashes
+from platewise.llm.lm_score import WORDS
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -60,7 +62,7 @@ class Sets:
     """text -> sorted distinct n-gram hashes."""
 
     def __init__(self, n: int):
-        self.n, self.memo = n, WordHashes()
+        self.n, self.memo = n, WORDS
 
     def __call__(self, text: str | None) -> np.ndarray:
         memo = self.memo
@@ -76,7 +78,7 @@ def least_overlap(a, num: int, den: int):
 
 def needed(a):
     """k: how many of the first n-grams two sets of size a must share."""
-    return 1 + a // 40
+    return 1 + a // 16
 
 
 def prefix(values: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -140,15 +142,26 @@ def _prefixes(docs: DataFrame, n: int, shared, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, grams array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("grams", pa.binary()), *[(f"x{i}", pa.int64()) for i in range(4)]])
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers: bit i tells whether an odd number of the n-grams fall to i.
+
+    Two sets differ in at least as many n-grams as their bits do, which bounds their overlap.
+    """
+    return np.packbits((np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         sets = Sets(n)
         for b in batches:
-            yield batch(schema, (b.column(0).to_pylist(), [sets(t.as_py()).tobytes() for t in b.column(1)]))
+            found = [sets(t.as_py()) for t in b.column(1)]
+            bits = np.array([parity(x) for x in found], np.int64).reshape(-1, 4)
+            yield batch(_SETS, (b.column(0).to_pylist(), [x.tobytes() for x in found], *bits.T))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, grams binary, x0 long, x1 long, x2 long, x3 long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,16 +185,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return two.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "u long, v long")
 
 
-def _near(x: Column, y: Column, num: int, den: int) -> Column:
-    """Sizes that allow the Jaccard: t * larger <= smaller."""
-    return (x * den >= y * num) & (y * den >= x * num)
+def _possible(num: int, den: int) -> Column:
+    """Whether a pair that meets in a cell can still have the Jaccard, by sizes n, places p and shared cells before q.
+
+    Common n-grams before this one are shared cells of both, those after it lie behind both places.
+    """
+    most = F.least("qa", "qb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return most * den >= (F.col("na") + F.col("nb") - most) * num
+
+
+def _early(num: int, den: int) -> Column:
+    """Whether a cell lies among the first n-grams of both sets that a link of these two sizes must share _few of."""
+    both = F.col("na") + F.col("nb")
+    overlap = F.floor((both * num + num + den - 1) / (num + den))
+    few = _few(F.least("na", "nb"))
+    return (F.col("pa") < F.col("na") - overlap + few) & (F.col("pb") < F.col("nb") - overlap + few)
+
+
+def _few(n: Column) -> Column:
+    """How many of their early n-grams a pair must share; below k, so that early cells are always prefix cells."""
+    return (n / 128).cast("long") + 1
+
+
+def _close(num: int, den: int) -> Column:
+    """The same by the parity bits of both sets."""
+    apart = sum((F.bit_count(F.col(f"x{i}a").bitwiseXOR(F.col(f"x{i}b"))) for i in range(4)), F.lit(0))
+    twice = F.col("na") + F.col("nb") - apart
+    return twice * den >= (2 * (F.col("na") + F.col("nb")) - twice) * num
 
 
 def _k(n: Column) -> Column:
-    return (n / 40).cast("long") + 1
+    return (n / 16).cast("long") + 1
 
 
-def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, frequent: int = 65_536, star_from: int = 9, rows_id: str = "doc_id") -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, frequent: int = 32_768, star_from: int = 2, rows_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text); Jaccard num / den or more links."""
     spark = docs.sparkSession
     docs = docs.select(F.col(rows_id).cast("long").alias("doc_id"), "text")
@@ -192,33 +229,38 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     linkable = profiles.where("n > 0 and doc_id is not null")
     classes = materialize(linkable.groupBy("sig", "n").agg(F.min("doc_id").alias("rep")))
 
-    # columns of the product that more than one row has
+    # cells of the columns that more than one row has; p: place in the set's order, q: such cells before it, c: all of them
     rows = _prefixes(docs, n, shared, num, den).join(classes.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"])
-    cells = rows.select(F.col("doc_id").alias("id"), "n", F.explode("grams").alias("gram"))
-    columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("hub")).where("rows > 1")
-    cells = cells.join(columns, "gram")
+    cells = rows.select(F.col("doc_id").alias("id"), "n", F.posexplode("grams").alias("p", "gram"))
+    columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    own = Window.partitionBy("id")
+    cells = cells.join(columns, "gram").withColumns({"q": F.row_number().over(own.orderBy("p")) - 1, "c": F.count(F.lit(1)).over(own)})
     # a set that shares fewer columns with others than k has no partner
-    cells = materialize(cells)
-    able = cells.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") >= _k(F.col("n"))).select("id")
-    able = materialize(able)
+    cells = materialize(cells.where(F.col("c") >= _k(F.col("n"))))
+    able = cells.where("q = 0").select("id")
     sets = materialize(_sets(docs.join(able.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), n))
 
-    # 1. stars of the columns with many rows
+    # 1. stars of the columns with many rows: the hub is the set with most shared cells, the least edited of its kind
     many = cells.where(F.col("rows") >= star_from)
-    hubs = many.where("id = hub").select("gram", F.col("n").alias("n_hub"))
-    star = many.where("id <> hub").join(hubs, "gram").where(_near(F.col("n"), F.col("n_hub"), num, den))
-    star = star.groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n_hub")).alias("n")).where(F.col("c") * 2 >= _k(F.col("n")))
+    hubs = many.groupBy("gram").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa")), F.struct("c", -F.col("id"))).alias("h")).select("gram", "h.*")
+    spokes = many.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"))
+    star = spokes.join(hubs, "gram").where((F.col("a") != F.col("b")) & _possible(num, den))
+    star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("n")).where(F.col("c") * 2 >= _k(F.col("n")))
+    star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
     links = materialize(_verified(star.select("a", "b"), sets, num, den))
     known = materialize(components(links))
 
     # 2. the product over pairs of different components
-    placed = cells.join(able, "id", "left_semi").join(known, "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("component"))
+    bits = [f"x{i}" for i in range(4)]
+    placed = cells.join(known, "id", "left").select("gram", "id", "n", "p", "q", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
-    placed = materialize(placed.join(mixed, "gram", "left_semi"))
-    left = placed.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = placed.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    product = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("na"), F.col("nb"), num, den))
-    pairs = product.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("na", "nb")).alias("n")).where(F.col("overlap") >= _k(F.col("n")))
+    placed = materialize(placed.join(mixed, "gram", "left_semi").join(sets.select("id", *bits), "id"))
+    left, right = (
+        placed.select("gram", *[F.col(x).alias(y + s) for x, y in (("id", ""), ("n", "n"), ("p", "p"), ("q", "q"), ("component", "c"))], *[F.col(x).alias(x + s) for x in bits]) for s in "ab"
+    )
+    product = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _early(num, den) & _possible(num, den) & _close(num, den))
+    pairs = product.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("na", "nb")).alias("n"))
+    pairs = pairs.where(F.col("overlap") >= _few(F.col("n")))
     more = materialize(_verified(pairs.select("a", "b"), sets, num, den))
     whole = components(more.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v"))))
 
