@@ -172,7 +172,8 @@ def test_elias_fano_and_trie(tmp_path):
         missing = np.setdiff1d(rng.integers(0, top, 200, dtype=np.uint64), values)
         assert (ef.find(missing) == -1).all()
     words = np.array([3, 9, 2**63 + 5], np.uint64)
-    lm_score.Trie.write(str(tmp_path / "t"), words, np.array([1, 2, 3], np.uint16), np.array([0, 2, 2]), np.array([7, 1, 4]), np.array([10, 20, 30], np.uint16))
+    packed = lm_score.Trie.pack(words, np.array([1, 2, 3], np.uint16), np.array([0, 2, 2]), np.array([7, 1, 4]), np.array([10, 20, 30], np.uint16))
+    (tmp_path / "t").write_bytes(packed)
     trie = lm_score.Trie.open(str(tmp_path / "t"))
     w = trie.word(np.array([3, 4, 2**63 + 5, 2**63 + 5], np.uint64))
     assert w.tolist() == [0, -1, 2, 2]
