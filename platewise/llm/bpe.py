@@ -110,7 +110,7 @@ class Vocabulary:
     """Ranks of a rank file (lines of base64 token and rank) behind the two tiers."""
 
     #: Pre-tokens remembered at most in each worker; a full memory is emptied, which costs time only.
-    REMEMBER = 600_000
+    REMEMBER = 300_000
 
     def __init__(self, data: bytes):
         pairs = [line.split() for line in data.splitlines() if line.strip()]
