@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The documents that hold each word n-gram of the benchmark are counted over the whole corpus. Every item keeps the
-   rarer half of its n-grams that occur (eight at least) as seeds, so phrases of common words find nothing.
+1. Every word n-gram of an item is a seed, however many texts hold it: copies of an item make its own n-grams frequent,
+   so none is left out for its count.
 2. A text is joined with the items whose seeds it holds. Around the hits, at the item's length and half of it on each
-   side, words are aligned locally (match +2, mismatch -1, gap -1). The pair is reported if the score reaches
-   `threshold` of the item's perfect score; an edited copy with a third of its words changed still does, chance does not (0.1).
+   side, the item's words are counted: an alignment of `threshold` has that share of them at least, so windows with
+   fewer (phrases of common words) are left. The others are aligned locally (match +2, mismatch -1, gap -1). The pair is
+   reported if the score reaches `threshold` of the item's perfect score; an edited copy with a third of its words
+   changed still does if three words in a row are left, chance does not (0.1).
 
 Words are compared without case and punctuation. Items are broadcast in slices of `slice_items`, so the size of what
-is sent is bounded however large the benchmark is. No table is shuffled but the counts.
+is sent is bounded however large the benchmark is. No table is shuffled.
 
 Defined results: null or empty texts and items of fewer than n words match nothing; repeated items and rows are
 reported each; rows with a null id are reported with a null id.
@@ -68,34 +70,20 @@ class Seeds:
         self.known = {f: _hash(f) or 1 for fs in forms for f in fs}
         self.n, self.ids = n, [i for i, _ in items]
         self.words = [np.array([self.known[f] for f in fs], np.int64) for fs in forms]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         grams, owner, offset = [], [], []
         for k, w in enumerate(self.words):
             g = self.grams_at(w, np.arange(max(0, len(w) - n + 1)))
             grams.append(g)
             owner.append(np.full(len(g), k, np.int64))
             offset.append(np.arange(len(g)))
-        self._set(*(np.concatenate(x) if x else np.empty(0, np.int64) for x in (grams, owner, offset)))
-
-    def _set(self, grams: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+        grams, owner, offset = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (grams, owner, offset))
         order = np.argsort(grams, kind="stable")
         self.grams, self.owner, self.offset = grams[order].astype(np.uint64), owner[order], offset[order]
         self.unique = np.unique(self.grams)
         self.filter = np.zeros(1 << self.BITS, np.bool_)
         self.filter[(self.unique & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
-    def keep_rare(self, count: dict[int, int], least: int = 8) -> None:
-        n = np.array([count.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        keep = np.zeros(len(n), np.bool_)
-        order = np.lexsort((self.offset, n, self.owner))
-        order = order[n[order] > 0]  # what no text holds finds nothing
-        owner = self.owner[order]
-        if len(owner):
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            size = np.diff(np.append(first, len(owner)))
-            rank = np.arange(len(owner)) - np.repeat(first, size)
-            keep[order] = rank < np.repeat(np.maximum(least, -(-size // 2)), size)
-        self._set(self.grams[keep], self.owner[keep], self.offset[keep])
-
     def word_hashes(self, text: str | None) -> np.ndarray:
         """Hash of each word; 0 for a word that no item has."""
         get = self.known.get
@@ -142,12 +130,20 @@ class Seeds:
                 for part in np.split(s, cut):
                     yield int(k), len(part), max(0, int(part[0]) - margin), min(len(words), int(part[-1]) + size + margin)
 
+    def shared(self, k: int, words: np.ndarray) -> int:
+        """How many of an item's words are among these, each as often as both have it: no alignment matches more."""
+        own, times = self.bags[k]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(times, np.bincount(at[own[at] == words], minlength=len(own))).sum())
+
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item id, score share, seeds hit, from, to in plain words), the best window of each item that reaches the threshold."""
         words = self.word_hashes(text)
         best: dict[int, tuple] = {}
         for k, n, a, b in self.hits(words):
             item = self.words[k]
+            if self.shared(k, words[a:b]) / len(item) < threshold:
+                continue
             score, end = smith_waterman(item, words[a:b])
             share = score / (2 * len(item))
             if share >= threshold and (k not in best or share > best[k][1]):
@@ -167,30 +163,10 @@ def _slices(benchmark: DataFrame, slice_items: int) -> Iterator[list[tuple[int,
         yield part
 
 
-def _counts(docs: DataFrame, shared) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        seeds: Seeds = shared.value
-        total = np.zeros(len(seeds.unique), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                found = np.unique(seeds.seeds_of(seeds.word_hashes(t.as_py()))[1])
-                total[np.searchsorted(seeds.unique, found)] += 1
-        some = np.flatnonzero(total)
-        yield batch(schema, (seeds.unique[some].view(np.int64), total[some]))
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def rare_seeds(docs: DataFrame, benchmark: DataFrame, n: int, slice_items: int) -> Iterator:
-    """Broadcast seeds, slice by slice. At most the n-grams of one slice reach the driver."""
-    context = docs.sparkSession.sparkContext
+def all_seeds(docs: DataFrame, benchmark: DataFrame, n: int, slice_items: int) -> Iterator:
+    """Broadcast seeds, slice by slice. At most the n-grams of one slice are in the driver."""
     for items in _slices(benchmark, slice_items):
-        seeds = Seeds(items, n)
-        counts = _counts(docs, context.broadcast(seeds)).toPandas()
-        seeds.keep_rare(dict(zip(counts["gram"].tolist(), counts["n"].tolist())))
-        yield context.broadcast(seeds)
+        yield docs.sparkSession.sparkContext.broadcast(Seeds(items, n))
 
 
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("from_word", pa.int64()), ("to_word", pa.int64())])
@@ -212,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for shared in rare_seeds(docs, benchmark, n, slice_items):
+    for shared in all_seeds(docs, benchmark, n, slice_items):
         part = rows.mapInArrow(finder(shared), _PAIRS_SQL)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], _PAIRS_SQL)
@@ -231,6 +207,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold
         return run
 
     out = docs
-    for shared in rare_seeds(docs, benchmark, n, slice_items):
+    for shared in all_seeds(docs, benchmark, n, slice_items):
         out = out.mapInArrow(cleaner(shared), docs.schema)
     return out

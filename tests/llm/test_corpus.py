@@ -276,6 +276,29 @@ def test_decontamination(spark, frame):
     assert decontaminate.contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_of_edited_copies_beside_verbatim_ones(spark, frame):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = {k: [word() for _ in range(40)] for k in range(12)}
+    texts, want = [], set()
+    for k, item in items.items():
+        copies = [item] * rng.randint(1, 5)
+        for _ in range(3):
+            copy = list(item)
+            for j in rng.sample(range(40), 13):
+                copy[j] = word()
+            copies.append(copy)
+        for copy in copies:
+            share = _align(item, copy) / (2 * len(item))
+            if share >= 0.4 and any(copy[j : j + 3] == item[j : j + 3] for j in range(38)):
+                want.add((len(texts), k))
+            texts.append([word() for _ in range(50)] + copy + [word() for _ in range(50)])
+    docs = frame([(i, " ".join(w)) for i, w in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
