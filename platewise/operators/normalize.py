@@ -144,6 +144,6 @@ def knn_fill(left: pd.DataFrame, right: pd.DataFrame, features: list[str], k: in
         dist = np.where(n > 0, far * x.shape[1] / np.maximum(n, 1), np.inf)
         order = np.argsort(dist, kind="stable")
         for j in np.flatnonzero(~seen):
-            near = [r for r in order if have[r, j] and np.isfinite(dist[r])][:k]
-            out[i, j] = d[near, j].mean() if near else mean[j]
+            near = order[(have[:, j] & np.isfinite(dist))[order]][:k]
+            out[i, j] = d[near, j].mean() if len(near) else mean[j]
     return left.assign(**{f: out[:, j] for j, f in enumerate(features)})

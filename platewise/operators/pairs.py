@@ -271,19 +271,46 @@ def map_null_pvalues(ap: DataFrame, labels: DataFrame, label: str, null_size: in
 def map_permutation_pvalues(pairs: DataFrame, labels: DataFrame, label: str, n_permutations: int = 100, seed: int = 0) -> DataFrame:
     """(label, score, pvalue, qvalue): labels dealt anew among the rows by hash, n times; pairs: ordered (i, j, sim).
 
-    Every permutation ranks all pairs again, so this null is for consensus profiles.
+    A row's neighbours are sorted once; only equal similarities are dealt with in each permutation, positives first.
+    The labels of all permutations (rows x n_permutations) are in the driver and sent to every worker.
     """
     spark = pairs.sparkSession
     place = labels.withColumn("k", F.row_number().over(Window.orderBy("i")))
     draws = labels.select(F.col("i").alias("to")).crossJoin(spark.range(n_permutations).select(F.col("id").alias("d")))
     dealt = draws.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.lit(seed), "d", "to"), "to"))).join(place, "k").select("d", F.col("to").alias("i"), label)
     every = dealt.unionByName(labels.select(F.lit(-1).cast("long").alias("d"), "i", label))
-    a, b = every.withColumnRenamed(label, "la"), every.select("d", F.col("i").alias("j"), F.col(label).alias("lb"))
-    ranked = pairs.select("i", "j", "sim").join(a, "i").join(b, ["d", "j"]).withColumn("positive", F.col("la") == F.col("lb"))
-    w = Window.partitionBy("d", "i").orderBy(F.desc("sim"), F.desc("positive"), "j")
-    hit = F.col("positive").cast("long")
-    rows = ranked.withColumns({"rank": F.row_number().over(w), "hits": F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    ap = rows.where("positive").groupBy("d", "i", "la").agg(F.avg(F.col("hits") / F.col("rank")).alias("ap"))
+    kind = dict(labels.dtypes)[label]
+    pdf = every.select("d", "i", F.col(label).alias("la")).toPandas()
+    codes, values = pd.factorize(pdf["la"])  # -1 for no label
+    ids, place_of = np.unique(pdf["i"].to_numpy(np.int64), return_inverse=True)
+    code = np.full((n_permutations + 1, len(ids)), -1, np.int32)
+    code[pdf["d"].to_numpy() + 1, place_of] = codes
+    shared = spark.sparkContext.broadcast((ids, code, values))
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, code, values = shared.value
+        own = int(np.searchsorted(ids, rows["i"].iloc[0]))
+        j, sim = rows["j"].to_numpy(np.int64), rows["sim"].to_numpy(float)
+        at = np.minimum(np.searchsorted(ids, j), max(0, len(ids) - 1))
+        known = ids[at] == j
+        out = []
+        if own < len(ids) and ids[own] == rows["i"].iloc[0]:
+            at, sim = at[known], sim[known]
+            order = np.argsort(-sim, kind="stable")
+            at, level = at[order], np.cumsum(np.append(0, np.diff(-sim[order]) > 0))[: len(order)]
+            tied = len(level) > 0 and level[-1] + 1 < len(level)
+            for d, c in enumerate(code):
+                if c[own] < 0:
+                    continue
+                positive = c[at] == c[own]
+                if tied:
+                    positive = positive[np.argsort(2 * level + ~positive, kind="stable")]
+                ranks = np.flatnonzero(positive) + 1
+                if len(ranks):
+                    out.append((d - 1, values[c[own]], float((np.arange(1, len(ranks) + 1) / ranks).mean())))
+        return pd.DataFrame(out, columns=["d", "la", "ap"])
+
+    ap = pairs.select("i", "j", "sim").groupBy("i").applyInPandas(rank, f"d long, la {kind}, ap double")
     score = ap.groupBy("d", F.col("la").alias(label)).agg(F.avg("ap").alias("score"))
     obs = score.where("d = -1").drop("d")
     null = score.where("d >= 0").select(label, F.col("score").alias("null"))

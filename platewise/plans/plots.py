@@ -111,7 +111,7 @@ def pl_control_drift(spark, sf):
 
 @query("pl_dendrogram")
 def pl_dendrogram(spark, sf):
-    w = A.consensus_median(T.wells(spark, sf), FEATURES, ["well", "pert"]).withColumn("id", F.concat("well", "pert")).orderBy("id").limit(60)
+    w = A.consensus_median(T.wells(spark, sf), FEATURES, ["well", "pert"]).withColumn("id", F.concat("well", "pert"))
     _, z = M.cluster(w, "id", FEATURES)
     return spark.createDataFrame([(int(a), int(b), float(h), int(n)) for a, b, h, n in z], "a long, b long, height double, size long")
 
@@ -223,9 +223,9 @@ def pl_moa_confusion(spark, sf):
 
 @query("pl_moa_enrichment")
 def pl_moa_enrichment(spark, sf):
-    p = P.similarity_pairs(T.embedded(spark, sf).where("vec_id < 200"), "vec_id", "v", keep=["label"], ordered=True)
+    p = P.similarity_pairs(T.embedded(spark, sf), "vec_id", "v", keep=["label"], ordered=True)
     m = P.moa_enrichment(p, "label", 10)
-    return wide(m.where("i < 20"), "i", "moa", F.max(minus_log10("qvalue")), list(range(10)))
+    return wide(m, "i", "moa", F.max(minus_log10("qvalue")), list(range(10)))
 
 
 @query("pl_nan_matrix", rsql(f"SELECT plate, {', '.join(f'avg(({f} IS NULL)::INT) AS {f}' for f in FEATURES)} FROM cells GROUP BY plate", "q p d t", prefix=WC))

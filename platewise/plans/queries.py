@@ -115,8 +115,7 @@ def impute_zero(spark, sf):
 
 @query("impute_knn")
 def impute_knn(spark, sf):
-    rows = T.cells(spark, sf).where("supp < 10")
-    return Z.impute(rows, FEATURES, ["plate"], F.col("control"), "knn", n_donors=500, row_id="row_id").select("row_id", "q")
+    return Z.impute(T.cells(spark, sf), FEATURES, ["plate"], F.col("control"), "knn", row_id="row_id").select("row_id", "q")
 
 
 # ---------------------------------------------------------------- grouped statistics
@@ -706,7 +705,7 @@ def map_multilabel(spark, sf):
 
 @query("map_permutation_pvalues")
 def map_permutation(spark, sf):
-    e = T.embedded(spark, sf).where("vec_id < 150")
+    e = T.embedded(spark, sf)
     p = P.similarity_pairs(e, "vec_id", "v", ordered=True)
     return P.map_permutation_pvalues(p, e.select(F.col("vec_id").alias("i"), "label"), "label", 20)
 
@@ -856,8 +855,8 @@ def bootstrap_medians_only(spark, sf):
 
 @query("bootstrap_features")
 def bootstrap_features(spark, sf):
-    c = T.cells(spark, sf).where("supp <= 24").withColumn("gene", F.col("supp") % 8)
-    g = E.bootstrap_medians(c.withColumn("supp", F.when(F.col("control"), F.col("supp") + 1000).otherwise(F.col("supp"))), "p", "supp", "gene", F.col("control"))
+    c = T.cells(spark, sf).withColumn("gene", F.col("supp") % 8)
+    g = E.bootstrap_medians(c.withColumn("supp", F.when(F.col("control"), -F.col("supp")).otherwise(F.col("supp"))), "p", "supp", "gene", F.col("control"))
     return E.bootstrap_genes(g, "gene")
 
 
