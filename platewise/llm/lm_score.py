@@ -2,14 +2,16 @@
 
 The model is a bigram model with a Dirichlet prior: P(w | v) = (c(v w) + m(v) * P(w)) / (c(v) + m(v)) with m(v) = mu *
 c(v) ** power, as a frequent context has more distinct followers. P is the additive unigram estimate (c + 0.1) / (N + 0.1 * (V + 1)), which leaves one share for unseen words. Both sum to one.
-A context v is modelled if it is the start of a text or one of the `contexts` most frequent words; after any other
-word P(w) is used. Counts come from every training text.
+Every context that a training text has is modelled; after any other word P(w) is used. Counts come from every training
+text. `contexts` sets only how many words' counts are sent to every worker, never the result.
 
 The model grows with the corpus, so no process holds it. The trie is cut into shards by the hash of an n-gram's last
 word. A token and its context travel to the shard once and serve twice: as a count if its text is for training, and
 as a query. Words among the `contexts` most frequent have their counts everywhere (a fixed number), and so do the
 bigrams among the `head` most frequent words (head * head at most); these are scored where the text is read. What is
 left for a shard is a word of at most N / contexts occurrences or a bigram of at most N / head, so no shard is hot.
+A token after a rarer context travels to the shard of its context too, which counts the context and the bigram. If its
+word is rare as well, both counts go on to the word's shard, where they meet the counts of words.
 
 In each level keys are an Elias-Fano sequence, pointers to the next level are another, and log10 probabilities are
 codes of 16 bits, rounded down, so that probabilities never sum to more than one. Levels lie in one memory map. A bigram is looked up by the successor of its context within its word's range.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import batch, materialize
 
-NONE = 65_535  # a context that is not modelled
+NONE = 65_535  # a context that another shard scores
 
 
 def _hash(word: bytes) -> int:
@@ -192,6 +194,7 @@ class Common:
         self.start, self.head, self.mu, self.total = len(order), min(head, len(order)), mu * np.maximum(self.counts, 1.0) ** power, total
         by_hash = np.argsort(hashes[order])
         self.sorted, self.ids = hashes[order][by_hash], by_hash.astype(np.int32)
+        self.prior, self.power = mu, power
         self.space = total + 0.1 * (distinct + 1)
         self.base = np.log10((self.counts[:-1] + 0.1) / self.space)  # of each known id
         self.unseen = float(np.log10(0.1 / self.space))
@@ -208,6 +211,11 @@ class Common:
     def smooth(self, pair_counts: np.ndarray, context: np.ndarray, base: np.ndarray) -> np.ndarray:
         return np.log10((pair_counts + self.mu[context] * np.power(10.0, base)) / (self.counts[context] + self.mu[context]))
 
+    def smooth_rare(self, pair_counts: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """log10 probability after contexts of these counts; the unigram estimate where a context has none."""
+        m = self.prior * np.maximum(counts, 1.0) ** self.power
+        return np.where(counts > 0, np.log10((pair_counts + m * np.power(10.0, base)) / (counts + m)), base)
+
     def head_pair(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Key of a bigram of the head, -1 elsewhere; the start of a text counts as a head context."""
         row = np.where(context == self.start, self.head, context)
@@ -297,6 +305,8 @@ def _count_head(rows: DataFrame, shared) -> DataFrame:
 
 _SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("train", pa.binary()), ("words", pa.binary()), ("contexts", pa.binary())])
 _SENT_SQL = "shard int, kind int, block long, docs binary, sizes binary, train binary, words binary, contexts binary"
+_FOUND = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("meta", pa.binary()), ("words", pa.binary()), ("blocks", pa.binary()), ("counts", pa.binary())])
+_FOUND_SQL = "target int, block long, docs binary, score binary, base binary, known binary, meta binary, words binary, blocks binary, counts binary"
 _PART = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("meta", pa.binary())])
 _PART_SQL = "block long, docs binary, score binary, base binary, known binary, meta binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -316,7 +326,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _send(rows: DataFrame, shared, shards: int) -> DataFrame:
-    """Scores what is known everywhere (kind 2) and sends rare words (0) and bigrams of frequent words (1) to shards."""
+    """Scores what is known everywhere (kind 2) and sends rare words (0), bigrams of frequent words (1) and what follows rare words (3) to shards."""
 
     def run(batches):
         common: Common = shared.value
@@ -328,7 +338,7 @@ def _send(rows: DataFrame, shared, shards: int) -> DataFrame:
             base = np.where(known, common.base[np.maximum(word, 0)] if len(common.base) else 0.0, 0.0)
             pair = common.head_pair(context, word)
             in_head = pair >= 0
-            score = np.where(known & (context < 0), base, 0.0)
+            score = np.zeros(len(word))
             row = np.where(context == common.start, common.head, context)
             w, r = word[in_head].astype(np.int64), row[in_head].astype(np.int64)
             at = trie.pair(w, r)
@@ -337,12 +347,12 @@ def _send(rows: DataFrame, shared, shards: int) -> DataFrame:
             here = [np.add.reduceat(x, first) for x in (score, base, known.astype(np.int64))]
             block = int(keys[0])
             yield batch(_SENT, ([int(_mix(keys[:1])[0] % shards)], [2], [block], [b""], [here[0].tobytes()], [here[1].tobytes()], [here[2].astype(np.uint32).tobytes()], [_meta(ids, held, sizes).tobytes()]))
-            for kind, take in ((0, np.flatnonzero(~known)), (1, np.flatnonzero(known & (context >= 0) & ~in_head))):
+            for kind, take in ((0, np.flatnonzero(~known)), (1, np.flatnonzero(known & (context >= 0) & ~in_head)), (3, np.flatnonzero(context < 0))):
                 if not len(take):
                     continue
-                c = np.where(context[take] < 0, NONE, context[take]).astype(np.uint16)
-                k = hashes[take] if kind == 0 else word[take].astype(np.uint16)
-                route = _mix(k.astype(np.int64) if kind == 0 else k.astype(np.int64) << 16 | c)
+                c = hashes[take - 1] if kind == 3 else np.where(context[take] < 0, NONE, context[take]).astype(np.uint16)
+                k = word[take].astype(np.uint16) if kind == 1 else hashes[take]
+                route = _mix(c if kind == 3 else k if kind == 0 else k.astype(np.int64) << 16 | c)
                 shard = (route % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 k, c, d, shard = k[order], c[order], doc[take][order], shard[order]
@@ -379,19 +389,34 @@ def score_shard(common: Common, kind: int, words: np.ndarray, contexts: np.ndarr
     modelled = contexts != NONE
     at = trie.pair(w, np.where(modelled, contexts, NONE))
     back = base + common.back_off[np.where(modelled, contexts, 0)]
-    score = np.where(modelled, np.where(at >= 0, trie.pair_codes[np.maximum(at, 0)].astype(np.float64) / -STEP if len(codes) else 0.0, back), base)
+    score = np.where(modelled, np.where(at >= 0, trie.pair_codes[np.maximum(at, 0)].astype(np.float64) / -STEP if len(codes) else 0.0, back), 0.0)
     return score, base, w >= 0
 
 
-def _score(sent: DataFrame, shared) -> DataFrame:
-    """One row for each block of texts and shard: sums for the block's texts that the shard has tokens of."""
+def count_tail(words: np.ndarray, contexts: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count of the bigram, count of its context) of each token after a rare context."""
+    _, context = np.unique(contexts, return_inverse=True)
+    _, word = np.unique(words, return_inverse=True)
+    both = context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+    seen, n = np.unique(both[train], return_counts=True)
+    if not len(seen):
+        return np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
+    at = EliasFano(len(seen), *EliasFano.parts(seen)).find(both)
+    return np.where(at >= 0, n[np.maximum(at, 0)], 0), np.bincount(context[train], minlength=int(context.max()) + 1)[context]
+
+
+def _score(sent: DataFrame, shared, shards: int) -> DataFrame:
+    """One row for each block of texts and shard: sums for the block's texts that the shard has tokens of.
+
+    Rows with a target are rare words after rare contexts with their counts, on the way to the words' shard.
+    """
 
     def run(tab: pa.Table) -> pa.Table:
         common: Common = shared.value
         kinds = np.array(tab.column("kind").to_pylist())
         blocks = tab.column("block").to_pylist()
         col = {n: tab.column(n) for n in ("docs", "sizes", "train", "words", "contexts")}
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in _FOUND]
 
         def raw(name: str, i: int) -> bytes:
             return col[name][int(i)].as_py()
@@ -399,19 +424,39 @@ def _score(sent: DataFrame, shared) -> DataFrame:
         def gather(name: str, rows: np.ndarray, dtype) -> np.ndarray:
             return np.concatenate([np.frombuffer(raw(name, i), dtype) for i in rows])
 
-        def put(*row) -> None:
-            for x, y in zip(out, row):
+        def put(*row, target=None, sent=(None, None, None)) -> None:
+            for x, y in zip(out, (target, *row, *sent)):
                 x.append(y)
 
-        for kind in (0, 1):
+        for kind in (0, 1, 3):
             rows = np.flatnonzero(kinds == kind)
             if not len(rows):
                 continue
             each = [np.frombuffer(raw("sizes", i), np.uint32).astype(np.int64) for i in rows]
             sizes = np.concatenate(each)
             train = np.repeat(gather("train", rows, np.bool_), sizes)
-            words = gather("words", rows, np.int64 if kind == 0 else np.uint16)
-            score, base, known = score_shard(common, kind, words, gather("contexts", rows, np.uint16), train)
+            words = gather("words", rows, np.uint16 if kind == 1 else np.int64)
+            contexts = gather("contexts", rows, np.int64 if kind == 3 else np.uint16)
+            if kind == 3:
+                pairs, counts = count_tail(words, contexts, train)
+                word = common.lookup(words)
+                score = np.zeros(len(words))
+                near = word >= 0
+                score[near] = common.smooth_rare(pairs[near], counts[near], common.base[word[near]])
+                far = np.flatnonzero(~near)
+                if len(far):
+                    doc = np.repeat(gather("docs", rows, np.uint32), sizes)
+                    block = np.repeat(np.repeat([blocks[i] for i in rows], [len(x) for x in each]), sizes)
+                    target = (_mix(words[far]) % np.uint64(shards)).astype(np.int32)
+                    order = np.argsort(target, kind="stable")
+                    far, target = far[order], target[order]
+                    cuts = np.flatnonzero(np.diff(target)) + 1
+                    for a, b in zip([0, *cuts], [*cuts, len(far)]):
+                        f = far[a:b]
+                        sent = (words[f].tobytes(), block[f].astype(np.int64).tobytes(), np.stack([pairs[f], counts[f]]).astype(np.int64).tobytes())
+                        put(None, doc[f].tobytes(), None, None, None, None, target=int(target[a]), sent=sent)
+            else:
+                score, base, known = score_shard(common, kind, words, contexts, train)
             first = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(score, first)]
             if kind == 0:
@@ -424,9 +469,48 @@ def _score(sent: DataFrame, shared) -> DataFrame:
                 at += len(x)
         for i in np.flatnonzero(kinds == 2):
             put(blocks[i], None, raw("sizes", i), raw("train", i), raw("words", i), raw("contexts", i))
+        return pa.Table.from_batches([batch(_FOUND, out)])
+
+    return sent.groupBy("shard").applyInArrow(run, _FOUND_SQL)
+
+
+def _score_tail(found: DataFrame, words: DataFrame, shared, shards: int) -> DataFrame:
+    """Rows like those of _score for rare words after rare contexts, whose counts meet those of the words by shard."""
+    schema = pa.schema([("target", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())])
+
+    def deal(batches):
+        for b in batches:
+            hashes = b.column(0).to_numpy(zero_copy_only=False)
+            yield batch(schema, ((_mix(hashes) % np.uint64(shards)).astype(np.int32), hashes, b.column(1)))
+
+    def run(sent: pa.Table, counted: pa.Table) -> pa.Table:
+        common: Common = shared.value
+        raw = lambda name, dtype: np.concatenate([np.frombuffer(x.as_py(), dtype) for x in sent.column(name)])
+        out: list[list] = [[] for _ in _PART]
+        if len(sent):
+            words, block, doc = raw("words", np.int64), raw("blocks", np.int64), raw("docs", np.uint32)
+            pairs, counts = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in sent.column("counts")], axis=1)
+            hashes, n = counted.column("hash").to_numpy(), counted.column("n").to_numpy()
+            base = np.full(len(words), common.unseen)
+            if len(hashes):
+                order = np.argsort(hashes)
+                hashes, n = hashes[order], n[order]
+                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+                base = np.where(hashes[at] == words, np.log10((n[at] + 0.1) / common.space), base)
+            score = common.smooth_rare(pairs, counts, base)
+            order = np.lexsort((doc, block))
+            block, doc, score = block[order], doc[order], score[order]
+            first = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(doc) != 0)))
+            sums, block, doc = np.add.reduceat(score, first), block[first], doc[first]
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
+                for x, y in zip(out, (int(block[a]), doc[a:b].tobytes(), sums[a:b].tobytes(), np.zeros(b - a).tobytes(), np.zeros(b - a, np.uint32).tobytes(), None)):
+                    x.append(y)
         return pa.Table.from_batches([batch(_PART, out)])
 
-    return sent.groupBy("shard").applyInArrow(run, _PART_SQL)
+    sent = found.where("target is not null").select("target", "docs", "words", "blocks", "counts")
+    dealt = words.select("hash", "n").mapInArrow(deal, "target int, hash long, n long")
+    return sent.groupBy("target").cogroup(dealt.groupBy("target")).applyInArrow(run, _PART_SQL)
 
 
 def _sum_blocks(parts: DataFrame) -> DataFrame:
@@ -468,5 +552,7 @@ def score_documents(docs: DataFrame, contexts: int = 50_000, head: int = 1024, m
     common.set_head(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(common)
     shards = max(1, -(-int(total) // shard_tokens))
-    scored = _sum_blocks(_score(_send(rows, shared, shards), shared))
+    found = materialize(_score(_send(rows, shared, shards), shared, shards))
+    parts = found.where("target is null").select(*_PART.names).unionByName(_score_tail(found, words, shared, shards))
+    scored = _sum_blocks(parts)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -212,6 +212,17 @@ def test_lm_score(spark, frame, corpus):
             assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
 
 
+def test_lm_score_models_every_context(spark, frame, corpus):
+    want = _lm(corpus)
+    for contexts, shard in ((10, 300), (0, 10**6), (100, 50)):
+        got = {r["doc_id"]: r for r in lm_score.score_documents(frame(corpus), contexts=contexts, head=4, shard_tokens=shard).collect()}
+        for i, (n, known, total, base, score) in want.items():
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+            assert math.isclose(r["base_score"], base, rel_tol=1e-12)
+            assert score - n / lm_score.STEP - 1e-6 <= r["score"] <= score + 1e-6
+
+
 def test_lm_score_beats_the_unigrams_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm_score.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
