@@ -150,14 +150,18 @@ def predict(docs: DataFrame, model: ContextTrees) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: ContextTrees) -> DataFrame:
-    """The rows of docs with a language, with all their columns."""
+    """The rows of docs with a language, with all their columns.
+
+    A row is rejected if its text is null or has no letter, whatever the model: language and score decide nothing. So
+    rows with letters stay also where no language was learned, though predict calls them undetermined.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index("text")
 
     def run(batches):
         trees = shared.value
         for b in batches:
-            yield b.filter(pa.array([trees.predict(t.as_py())[0] != UNDETERMINED for t in b.column(where)], pa.bool_()))
+            yield b.filter(pa.array([bool(x) and has_letter(x) if not trees.langs else trees.predict(x)[0] != UNDETERMINED for x in b.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -336,6 +336,13 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert all(len(r["ids"]) == r["n_tokens"] for r in got.collect())
 
 
+def test_language_stage_keeps_letters_without_any_label(spark, frame):
+    import corpus_pipeline
+
+    docs = frame([(1, "some words"), (2, None), (3, ""), (4, "123"), (None, "é")]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {1, None}
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
