@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.special import col_f_sf
-from platewise.operators.stats import average_rank, join_fit
+from platewise.operators.stats import average_rank, correlation, join_fit
 
 
 def constant_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> list[str]:
@@ -129,4 +129,4 @@ def spearman_within(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFra
     """(by…, rho, n): correlation of average ranks of complete rows."""
     rows = df.where(f"{x} is not null and {y} is not null")
     ranked = rows.select(*by, average_rank(x, list(by)).alias("rx"), average_rank(y, list(by)).alias("ry"))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*by).agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))

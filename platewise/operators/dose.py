@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import special as S
-from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, join_fit, to_long
+from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, correlation, join_fit, to_long
 
 
 def usable(df: DataFrame, compound: str, dose: str, min_doses: int = 2) -> DataFrame:
@@ -24,7 +24,7 @@ def spearman(df: DataFrame, compound: str, dose: str, response: str, p_values: b
     """(compound, n, rho[, pvalue]): correlation of average ranks."""
     rows = usable(df, compound, dose).where(f"`{response}` is not null")
     ranked = rows.select(compound, average_rank(dose, [compound]).alias("a"), average_rank(response, [compound]).alias("b"))
-    out = ranked.groupBy(compound).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("rho"))
+    out = ranked.groupBy(compound).agg(F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("rho"))
     if not p_values:
         return out
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(F.abs("rho") < 1, 1 - F.col("rho") * F.col("rho")))
@@ -139,7 +139,7 @@ def dose_features(df: DataFrame, features: Sequence[str], compound: str, dose: s
     cross = F.when((b >= cutoff_mads) & a.isNull(), F.col("x")).when((b >= cutoff_mads) & (a < cutoff_mads), F.lag("x").over(w) + (cutoff_mads - a) / (b - a) * (F.col("x") - F.lag("x").over(w)))
     ranked = med.withColumns({"cross": cross, "rx": average_rank("x", ["compound", "feature"]), "rz": average_rank("z", ["compound", "feature"])})
     out = ranked.groupBy("compound", "feature").agg(
-        F.pow(F.lit(10.0), F.min("cross")).alias("bmd"), F.max(F.abs("z")).alias("max_z"), F.max_by("z", F.struct(F.abs("z"), "x")).alias("peak"), F.corr("rx", "rz").alias("rho"), F.count(F.lit(1)).alias("n_doses")
+        F.pow(F.lit(10.0), F.min("cross")).alias("bmd"), F.max(F.abs("z")).alias("max_z"), F.max_by("z", F.struct(F.abs("z"), "x")).alias("peak"), correlation("rx", "rz").alias("rho"), F.count(F.lit(1)).alias("n_doses")
     )
     out = out.withColumn("direction", F.signum("peak").cast("int")).drop("peak")
     if not p_values:

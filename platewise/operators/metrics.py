@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.operators.stats import to_long
+from platewise.operators.stats import correlation, to_long
 
 
 def anova_r2(df: DataFrame, components: Sequence[str], key: str) -> DataFrame:
@@ -25,7 +25,7 @@ def anova_r2(df: DataFrame, components: Sequence[str], key: str) -> DataFrame:
 
 def pearson_r2(df: DataFrame, components: Sequence[str], key: str) -> DataFrame:
     """(feature, r2, variance) against a numeric key; 0 if constant."""
-    stats = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.pow(F.nanvl(F.corr(c, key), F.lit(None).cast("double")), F.lit(2.0)), F.lit(0.0)).alias("r2"), F.var_samp(c).alias("variance")) for c in components]
+    stats = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.pow(correlation(c, key), F.lit(2.0)), F.lit(0.0)).alias("r2"), F.var_samp(c).alias("variance")) for c in components]
     return df.agg(F.array(*stats).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from platewise.functions.special import col_chi2_sf
 from platewise.functions.wells import parse_feature_name
 from platewise.operators.qc import feature_metrics
-from platewise.operators.stats import average_rank, benjamini_hochberg, to_long
+from platewise.operators.stats import average_rank, benjamini_hochberg, correlation, to_long
 
 DEFAULT_OPERATIONS = ("drop_degenerate", "blocklist", "drop_na_columns", "variance_threshold", "correlation_threshold")
 
@@ -86,7 +86,7 @@ def correlated_pairs(df: DataFrame, features: Sequence[str], method: str = "pear
     pairs = list(combinations(feats, 2))
     out = None
     for i in range(0, len(pairs), block):
-        part = df.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r")) for a, b in pairs[i : i + block]]).alias("p"))
+        part = df.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation(a, b).alias("r")) for a, b in pairs[i : i + block]]).alias("p"))
         part = part.select(F.explode("p").alias("p")).select("p.*")
         out = part if out is None else out.unionByName(part)
     return out

@@ -92,6 +92,16 @@ def median_and_spread(df: DataFrame, by: Sequence[str], features: Sequence[str],
     return out
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of the rows where both are known; NULL for fewer than two rows or where a side is constant.
+
+    Built on moments, as the built-in `corr` divides by zero for a constant side in ANSI mode.
+    """
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def robust_z(x: Column, center: Column, mad: Column) -> Column:
     """(x - median) / (1.4826 MAD); no spread gives 0."""
     return F.when(mad * MAD_SCALE <= NO_SPREAD, F.lit(0.0)).otherwise((x - center) / (mad * MAD_SCALE))

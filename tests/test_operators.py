@@ -266,3 +266,24 @@ def test_guide_screens(spark):
     got = {r["gene"]: r for r in E.aggregate_guides(df, "p", "gene", F.col("ctl"), "guide", n_null=2000).collect()}
     assert got["g10"]["is_hit"] and math.isclose(got["g10"]["statistic"], 2 * 3.0902323, rel_tol=1e-6)
     assert sum(r["is_hit"] for r in got.values()) <= 2
+
+
+def test_correlation_of_constant_tied_and_short_input(spark):
+    rows = [("const", 1.0, 2.0), ("const", 1.0, 3.0), ("one", 1.0, 1.0), ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", 3.0, 6.0), ("gap", 1.0, None), ("gap", None, 2.0), ("ties", 1.0, 1.0), ("ties", 1.0, 2.0), ("ties", 2.0, 1.0), ("ties", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r["r"] for r in df.groupBy("k").agg(ST.correlation("x", "y").alias("r")).collect()}
+    assert got["const"] is None and got["one"] is None and got["gap"] is None
+    assert abs(got["line"] - 1.0) < 1e-12 and abs(got["ties"]) < 1e-12
+    assert df.where("k = 'none'").agg(ST.correlation("x", "y")).first()[0] is None
+
+
+def test_correlating_operators_take_constant_features(spark):
+    rows = [(i, i % 3, float(i), 7.0, float(i * i % 5), i < 4, 0.0 if i < 4 else float(1 + i % 4)) for i in range(16)]
+    df = spark.createDataFrame(rows, "id long, g long, a double, b double, c double, control boolean, dose double").withColumn("compound", F.lit("x"))
+    for method in ("pearson", "spearman"):
+        got = {(r["feature_a"], r["feature_b"]): r["r"] for r in S.correlated_pairs(df, ["a", "b", "c"], method).collect()}
+        assert got["a", "b"] is None and got["b", "c"] is None and got["a", "c"] is not None
+    assert {r["feature"]: r["r2"] for r in M.pearson_r2(df, ["a", "b"], "c").collect()}["b"] == 0.0
+    assert A.spearman_within(df, "b", "c", ["g"]).where("rho is not null").count() == 0
+    assert D.spearman(df, "compound", "dose", "b").first()["rho"] is None
+    assert D.dose_features(df, ["a", "c"], "compound", "dose", F.col("control"), 0.1, 2).count() == 2
