@@ -1,10 +1,13 @@
 """Corpus preparation in five stages, each on all that the one before kept.
 
-Language identification drops documents without a language, exact deduplication keeps the largest id of equal texts,
-the n-gram join keeps the smallest id of each component of near copies by op6's definition (three words, Jaccard 0.9;
-texts that are less alike stay), decontamination drops documents that hold a
-benchmark item, and the tokenizer turns what is left into ids. Each stage's rows are written as Parquet in the shared
-folder and read again by the next.
+Language identification drops documents without a language, exact deduplication keeps one row of each text (the largest
+id), the n-gram join keeps the smallest id of each component of near copies (five words, Jaccard 0.8), decontamination
+drops documents that hold a benchmark item, and the tokenizer turns what is left into ids. Each stage's rows are written
+as Parquet in the shared folder and read again by the next; a stage's folder goes when the next one is written.
+
+Defined results: null texts and texts without a letter go in the first stage. Ids may be null or repeated: a stage
+drops rows, not ids, so rows of one id with different texts are judged each; a null id counts as the largest where the
+smallest stays and as the smallest where the largest stays. Columns other than doc_id, text and lang are carried along.
 """
 
 from __future__ import annotations
@@ -13,25 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
-from platewise.llm.common import release, shared_dir, table
+from platewise.llm.common import discard, materialize, table
 from platewise.llm.queries import rank_file
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in `dropped`; rows with a null id stay."""
-    return docs.join(dropped.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return exact_dedup.distinct_texts(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, ngram_join.ngram_components(docs).where("doc_id <> component_id"))
+    return ngram_join.one_of_each_component(docs, n=5, num=80, den=100)
 
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        release(spark)
+        docs = materialize(stage(spark, docs, sf_dir))
+        if written is not None:
+            discard(written)
+        written = docs
     return docs

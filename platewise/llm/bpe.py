@@ -5,7 +5,8 @@ probe and one comparison. Any other pre-token is merged by a heap of candidate p
 byte runs, so a run of n bytes costs O(n log n).
 
 Defined results: null and empty texts have no tokens; a text of any length is encoded whole; special tokens do not
-exist; input columns other than the id and the text are ignored, so clashing names cannot disturb the result.
+exist; rows with a null id keep it, and repeated rows are encoded each; an empty table gives an empty result; input
+columns other than the id and the text are ignored, so clashing names cannot disturb the result.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import hashlib
 import heapq
 import re
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from platewise.llm.common import batch
+from platewise.llm.common import batch, slices
 
 #: Pre-token pattern and the white space of its \s (Unicode White_Space).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,9 +68,9 @@ class PerfectHash:
         parts = [self._parts(k) for k in keys]
         for i, (a, _, _) in enumerate(parts):
             buckets[a % m].append(i)
-        self.shift = shift = [0] * m
+        self.shift = shift = array("q", bytes(8 * m))
         self.slot_key: list[bytes | None] = [None] * n
-        self.slot_value = [-1] * n
+        self.slot_value = array("i", [-1]) * n
         for b in sorted((b for b in range(m) if len(buckets[b]) > 1), key=lambda b: -len(buckets[b])):
             d = 0
             while True:
@@ -107,21 +110,31 @@ class PerfectHash:
 
 
 class Vocabulary:
-    """Ranks of a rank file (lines of base64 token and rank) behind the two tiers."""
+    """Ranks of a rank file (lines of base64 token and rank) behind the two tiers.
 
-    #: Pre-tokens remembered at most in each worker; a full memory is emptied, which costs time only.
-    REMEMBER = 300_000
+    The perfect hash answers for whole pre-tokens. The heap looks up millions of pairs, for which a plain table over the
+    same byte strings is several times faster in Python and costs some 3 MB.
+    """
+
+    #: Bytes of pre-tokens remembered at most by one task; a full memory is emptied, which costs time only.
+    REMEMBER = 32 << 20
 
     def __init__(self, data: bytes):
         pairs = [line.split() for line in data.splitlines() if line.strip()]
-        self.tokens = [base64.b64decode(a) for a, _ in pairs]
-        self.ids = [int(b) for _, b in pairs]
-        self.whole = PerfectHash(self.tokens)
-        self.rank = dict(zip(self.tokens, self.ids))
-        self.by_id = dict(zip(self.ids, self.tokens))
-        self.by_text = {str(i): t for i, t in self.by_id.items()}
+        tokens = [base64.b64decode(a) for a, _ in pairs]
+        self.ids = array("i", [int(b) for _, b in pairs])
+        self.whole = PerfectHash(tokens)
+        self.rank = dict(zip(tokens, self.ids))
+        self.by_id: list[bytes | None] = [None] * (max(self.ids, default=-1) + 1)
+        for i, t in zip(self.ids, tokens):
+            self.by_id[i] = t
         self.memory: dict[str, str] = {}
-        self.length: dict[str, int] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Empties the memory of pre-tokens, as at the end of a task."""
+        self.memory.clear()
+        self.held = 0
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -158,8 +171,9 @@ class Vocabulary:
         if found is None:
             found = " ".join(map(str, self.piece(piece.encode())))
             if len(piece) <= 64:
-                if len(self.memory) >= self.REMEMBER:
-                    self.memory.clear()
+                self.held += 210 + 2 * len(piece)  # two strings and their place in the table
+                if self.held >= self.REMEMBER:
+                    self.forget()
                 self.memory[piece] = found
         return found
 
@@ -168,9 +182,12 @@ class Vocabulary:
         memory, miss = self.memory, self._ids_text
         return " ".join([memory.get(p) or miss(p) for p in pre_tokens(text)])
 
-    def encode(self, text: str) -> list[int]:
+    def encode_array(self, text: str) -> np.ndarray:
         joined = self.encode_text(text)
-        return list(map(int, joined.split(" "))) if joined else []
+        return np.fromstring(joined, np.int32, sep=" ") if joined else np.empty(0, np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids))
@@ -210,9 +227,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         v = vocabulary(data.value)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield batch(_ENCODED, (ids, [v.encode(t or "") for t in texts]))
+        for b in slices(batches):
+            yield batch(_ENCODED, (b.column(0), [v.encode_array(t.as_py() or "") for t in b.column(1)]))
+        v.forget()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -224,8 +241,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         v = vocabulary(data.value)
-        for b in batches:
-            yield batch(schema, (b.column(0).to_pylist(), [v.decode(x or []) for x in b.column(1).to_pylist()]))
+        for b in slices(batches):
+            yield batch(schema, (b.column(0), [v.decode(x.as_py() or []) for x in b.column(1)]))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
@@ -239,16 +256,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         v = vocabulary(data.value)
-        sha, by_text = hashlib.sha256, v.by_text
-        for b in batches:
+        sha = hashlib.sha256
+        for b in slices(batches):
             n, ids_sha, out_sha = [], [], []
             for t in b.column(1):
                 joined = v.encode_text(t.as_py() or "")
-                ids = joined.split(" ") if joined else []
+                ids = np.fromstring(joined, np.int32, sep=" ") if joined else ()
                 n.append(len(ids))
                 ids_sha.append(sha(joined.encode()).hexdigest())
-                out_sha.append(sha(b"".join(map(by_text.__getitem__, ids))).hexdigest())
-            yield batch(_DIGEST, (b.column(0).to_pylist(), n, ids_sha, out_sha))
+                out_sha.append(sha(v.decode(ids)).hexdigest())
+            yield batch(_DIGEST, (b.column(0), n, ids_sha, out_sha))
+        v.forget()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

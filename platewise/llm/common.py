@@ -1,11 +1,13 @@
-"""Helpers shared by the text operators: table access, materialisation and fixed text rules."""
+"""Helpers shared by the text operators: table access, materialisation, hashes and fixed text rules."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word and line rules: [\x20\x09-\x0D].
@@ -17,27 +19,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is missing (tests)."""
+    """A fresh folder below spark.checkpoint.dir. Only a session of one machine may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:/tmp/platewise-checkpoints"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file:{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, is computed once, survives lost executors."""
+#: Shuffle files of a finished write are of no further use; without this they stay until the driver's next collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write as Parquet and read back."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished steps whose frames are no longer referenced."""
-    import gc
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, is computed once, survives lost executors."""
+    return write_table(df, shared_dir(df.sparkSession))
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/llm-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def word_hash(word: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class WordHashes(dict):
+    """word -> hash for the words met lately. A full memory is emptied, so a task holds some 15 MB at most."""
+
+    LIMIT = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h = word_hash(word)
+        return h
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what Python makes of one batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

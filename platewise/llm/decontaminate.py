@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import batch
-from platewise.llm.lm_score import _hash
+from platewise.llm.common import batch, slices, word_hash
 from platewise.llm.ngram_join import mix
 
 
@@ -67,7 +66,7 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         forms = [plain_words(t) for _, t in items]
-        self.known = {f: _hash(f) or 1 for fs in forms for f in fs}
+        self.known = {f: word_hash(f) or 1 for fs in forms for f in fs}
         self.n, self.ids = n, [i for i, _ in items]
         self.words = [np.array([self.known[f] for f in fs], np.int64) for fs in forms]
         self.bags = [np.unique(w, return_counts=True) for w in self.words]
@@ -179,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
     def finder(shared):
         def run(batches):
             seeds = shared.value
-            for b in batches:
+            for b in slices(batches):
                 out = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1)) for m in seeds.matches(t.as_py(), threshold)]
                 if out:
                     yield batch(_PAIRS, zip(*out))
@@ -201,7 +200,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold
     def cleaner(shared):
         def run(batches):
             seeds = shared.value
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not seeds.matches(t.as_py(), threshold) for t in b.column(where)], pa.bool_()))
 
         return run

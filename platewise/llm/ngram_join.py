@@ -32,9 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import batch, materialize
+from platewise.llm.common import WordHashes, batch, discard, materialize, slices
 from platewise.llm.components import components
-from platewise.llm.lm_score import WORDS
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,7 +61,7 @@ class Sets:
     """text -> sorted distinct n-gram hashes."""
 
     def __init__(self, n: int):
-        self.n, self.memo = n, WORDS
+        self.n, self.memo = n, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         memo = self.memo
@@ -112,7 +111,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
             found, count = found[count >= 3], count[count >= 3]
             return batch(_PROFILE, (_signed(found), count, [None] * len(found)))
 
-        for b in batches:
+        for b in slices(batches):
             sizes, sigs = [], []
             for t in b.column(1):
                 x = sets(t.as_py())
@@ -121,7 +120,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
                 held.append(x)
                 size += len(x)
             yield batch(_PROFILE, (b.column(0).to_pylist(), sizes, sigs))
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield often()
                 held, size = [], 0
         if size:
@@ -135,7 +134,7 @@ def _prefixes(docs: DataFrame, n: int, shared, num: int, den: int) -> DataFrame:
 
     def run(batches):
         sets, frequent = Sets(n), shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [sets(t.as_py()) for t in b.column(1)]
             yield batch(schema, (b.column(0).to_pylist(), [len(x) for x in found], [_signed(prefix(x, frequent, num, den)) for x in found]))
 
@@ -156,7 +155,7 @@ def parity(x: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         sets = Sets(n)
-        for b in batches:
+        for b in slices(batches):
             found = [sets(t.as_py()) for t in b.column(1)]
             bits = np.array([parity(x) for x in found], np.int64).reshape(-1, 4)
             yield batch(_SETS, (b.column(0).to_pylist(), [x.tobytes() for x in found], *bits.T))
@@ -238,7 +237,7 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     # a set that shares fewer columns with others than k has no partner
     cells = materialize(cells.where(F.col("c") >= _k(F.col("n"))))
     able = cells.where("q = 0").select("id")
-    sets = materialize(_sets(docs.join(able.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), n))
+    sets = materialize(_sets(docs.join(able.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), n))
 
     # 1. stars of the columns with many rows: the hub is the set with most shared cells, the least edited of its kind
     many = cells.where(F.col("rows") >= star_from)
@@ -268,3 +267,16 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     out = profiles.join(named, "sig", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each component, with all columns of docs; a null id counts as the largest.
+
+    Rows, not ids, are joined, so rows of one id with different texts are compared like any others. docs should be a
+    table as it was read: its rows are numbered by their place in the files, which is the same in every scan.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = ngram_components(rows, n, num, den, rows_id="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
+    ids = rows.select("__row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("order"))
+    stays = found.join(ids, "__row").groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(docs.columns)

@@ -10,7 +10,8 @@ on nothing before. So pre-tokens that end two characters before an edit are safe
 behind the edit agree from there on.
 
 Defined results: null texts are empty; null edits are none; positions beyond the text are moved to its end, lengths
-are cut there; edits apply in order, each to the result of the one before; further columns are ignored.
+are cut there; edits apply in order, each to the result of the one before; rows with a null id keep it and repeated
+rows are counted each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.bpe import pre_tokens, vocabulary, vocabulary_bytes
-from platewise.llm.common import batch
+from platewise.llm.common import batch, slices
 
 
 class TokenTree:
@@ -167,7 +168,7 @@ def edited_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(data.value)
         count = v.count
-        for b in batches:
+        for b in slices(batches):
             out: list[list[int]] = [[], [], [], []]
             for text, edits in zip(b.column(1), b.column(2).to_pylist()):
                 tree = TokenTree(text.as_py() or "", count)
@@ -178,7 +179,8 @@ def edited_counts(docs: DataFrame, path: str) -> DataFrame:
                 out[1].append(tree.n_tokens)
                 out[2].append(tree.n_pre_tokens)
                 out[3].append(tree.encoded)
-            yield batch(_SCHEMA, (b.column(0).to_pylist(), *out))
+            yield batch(_SCHEMA, (b.column(0), *out))
+        v.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits").mapInArrow(
         run, "doc_id long, n_tokens long, n_tokens_edited long, n_pre_tokens long, n_reencoded long"

@@ -27,10 +27,27 @@ def test_exact_dedup_compares_texts_under_equal_digests(spark, frame, corpus):
     strong = {r["doc_id"]: tuple(r)[1:4] for r in exact_dedup.exact_dedup(docs).collect()}
     assert {r["doc_id"]: tuple(r)[1:4] for r in exact_dedup.exact_dedup(docs, digest=weak, salts=3).collect()} == strong
     assert exact_dedup.exact_dedup(docs.where("doc_id < 0")).count() == 0
+    nulls = frame([(None, "a"), (None, "b"), (None, "b"), (7, "c"), (None, "c")])
+    for digest in (exact_dedup.sha256_digest, lambda text: F.unhex(F.lit("00"))):
+        got = sorted(tuple(map(str, r))[:4] for r in exact_dedup.exact_dedup(nulls, digest=digest).collect())
+        assert got == sorted([("7", "7", "2", "True"), ("None", "7", "2", "False"), ("None", "None", "1", "True"), *[("None", "None", "2", "True")] * 2])
     repeated = frame([(1, "a"), (1, "a"), (None, "a"), (2, "b")])
     assert sorted((r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(repeated).collect()) == [(1, 3)] * 3 + [(2, 1)]
 
 
+def test_distinct_texts_keeps_a_row_of_every_text(spark, frame, corpus):
+    rows = [(1, "a"), (1, "b"), (9, "a"), (None, "c"), (None, "c"), (5, None), (4, ""), (1, "b")]
+    for digest in (exact_dedup.sha256_digest, lambda text: F.unhex(F.lit("00"))):
+        out = exact_dedup.distinct_texts(frame(rows), digest=digest, salts=2)
+        assert out.columns == frame(rows).columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted([("9", "a"), ("1", "b"), ("None", "c"), ("5", None)], key=lambda x: (x[0], str(x[1])))
+    last = {}
+    for i, t in corpus:
+        last[t or ""] = max(i, last.get(t or "", -1))
+    assert {r["doc_id"] for r in exact_dedup.distinct_texts(frame(corpus)).collect()} == set(last.values())
+    assert exact_dedup.distinct_texts(frame(corpus).where("doc_id < 0")).count() == 0
+
+
 def _roots(ids, links):
     parent = {i: i for i in ids}
 
@@ -317,22 +334,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     rows = [(r["doc_id"], r["text"]) for r in source.collect()]
     extra = [(900_000 + i, t, None, None, None) for i, t in enumerate([None, "123", rows[0][1], rows[1][1] + " more", bench.first()["text"]])]
+    extra += [(rows[2][0], "another text under an id that is taken", None, None, None), (None, rows[3][1] + " of a row without id", None, None, None), (None, "two rows", None, None, None), (None, "two rows", None, None, None)]
     both = source.unionByName(spark.createDataFrame(extra, source.schema))
     both.write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
 
     left = [(i, t) for i, t in [*rows, *[(e[0], e[1]) for e in extra]] if t and any(map(str.isalpha, t))]
-    last = {t: i for i, t in sorted(left)}
-    left = [(i, t) for i, t in left if last[t] == i]
-    sets = _sets(left)
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    low, high = (lambda i: -1 if i is None else i), (lambda i: 10**9 if i is None else i)
+    last = {t: i for i, t in sorted(left, key=lambda x: low(x[0]))}
+    left = sorted([(i, t) for t, i in last.items()], key=lambda x: high(x[0]))  # by place from here on
+    sets = _sets([(k, t) for k, (_, t) in enumerate(left)], 5)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = _roots(list(sets), links)
-    left = [(i, t) for i, t in left if root[i] == i]
+    left = [x for k, x in enumerate(left) if root[k] == k]
     plain = lambda t: [y for y in ("".join(filter(str.isalnum, w.lower())) for w in t.split()) if y]
     items = [" ".join(plain(r["text"])) for r in bench.collect()]
     left = [(i, t) for i, t in left if not any(f" {x} " in f" {' '.join(plain(t))} " for x in items)]
-    assert {r["doc_id"] for r in got.select("doc_id").collect()} == {i for i, _ in left}
+    assert sorted(high(r["doc_id"]) for r in got.select("doc_id").collect()) == sorted(high(i) for i, _ in left)
     assert all(len(r["ids"]) == r["n_tokens"] for r in got.collect())
 
 

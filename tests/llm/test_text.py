@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -103,10 +105,80 @@ def test_edited_counts_frame(spark, frame, vocab):
     assert token_counts.edited_counts(none, PATH).count() == 0
 
 
-def test_language_model_is_a_distribution():
+def _ppm(training, order):
+    """Code length of a text by the plain recursion of prediction by partial matching, one byte at a time."""
+    follow = {}
+    for t in training:
+        data = b"\0" * order + t.lower().encode()
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                node = follow.setdefault(data[i - k : i], {})
+                node[data[i]] = node.get(data[i], 0) + 1
+
+    def p(context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        node = follow.get(context)
+        if not node:
+            return p(shorter, byte)
+        t, d = sum(node.values()), len(node)
+        if byte in node:
+            return node[byte] / (t if d == 256 else t + d)
+        return d / (t + d) * p(shorter, byte) / (1 - sum(p(shorter, x) for x in node))
+
+    def bits(text):
+        data = b"\0" * order + text.lower().encode()
+        return -sum(math.log2(p(data[i - order : i], data[i])) for i in range(order, len(data)))
+
+    return p, bits
+
+
+@pytest.mark.parametrize("order", [0, 1, 3])
+def test_language_model_equals_the_plain_recursion(order):
+    training = {"en": ["the cat sat on the mat", "a hat"], "fr": ["le chat est sur le tapis", "été à l'île"], "zh": ["猫坐在垫子上"]}
+    trees = langid.ContextTrees(training, order)
+    texts = ["the mat", "Le Tapis, là-bas!", "q\0\0z", "猫", "зима", "x" * 50, "\x7f the île"]
+    together = trees.code_lengths_of(texts, step=7)
+    for text, row in zip(texts, together):
+        want = [_ppm(training[lang], order)[1](text) for lang in trees.langs]
+        assert np.allclose(row, want, rtol=1e-4) and np.allclose(trees.code_lengths(text), want, rtol=1e-4)
+    p, _ = _ppm(training["fr"], order)
+    contexts = [b"le "[3 - order :], b"\0\0\0"[:order], b"zzz"[:order]]
+    for c in contexts:
+        assert math.isclose(sum(p(c, b) for b in range(256)), 1.0, rel_tol=1e-9)
+
+
+def test_language_query_equals_the_plain_recursion(spark, frame):
+    rng = random.Random(4)
+    letters = {"en": "abcde é", "fr": "bcdef é", "zh": "猫坐在垫 ab"}
+    rows = [(i, lang, "".join(rng.choices(letters[lang], k=rng.randint(0, 60)))) for i, lang in enumerate(list(letters) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    train = {}
+    for i, lang, t in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            train.setdefault(lang, []).append(t)
+    models = {lang: _ppm(train[lang], 3)[1] for lang in sorted(train)}
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, _, t in rows:
+        if not any(map(str.isalpha, t)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        bits = {lang: bits(t) for lang, bits in models.items()}
+        best = min(bits, key=bits.get)
+        assert got[i]["lang_pred"] == best
+        assert math.isclose(got[i]["score"], 1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel_tol=1e-3)
+
+
+def test_language_sample_is_bounded_and_cuts_long_texts(spark):
+    docs = spark.createDataFrame([(i, "xy"[i % 2], "w" * (5 if i % 2 else 900)) for i in range(40)], "doc_id long, lang string, text string")
+    taken = langid.sample(docs, 4, 100, 1 << 20)
+    assert {lang: [len(t) for t in texts] for lang, texts in taken.items()} == {"x": [100] * 4, "y": [5] * 4}
+    assert {len(x) for x in langid.sample(docs, 300, 100, 400).values()} == {2}
+
+
+def test_language_model_prefers_its_language():
     trees = langid.ContextTrees({"en": ["the cat sat on the mat"] * 3, "fr": ["le chat est sur le tapis"] * 3})
-    total = np.exp2(-trees.bits.reshape(-1, trees.a, 2).astype(float)).sum(1)
-    assert np.allclose(total, 1.0, atol=1e-4)
     assert trees.predict("the mat")[0] == "en" and trees.predict("le tapis")[0] == "fr"
     assert trees.predict(None) == ("und", 0.0) and trees.predict("123 ...") == ("und", 0.0)
     long = "the cat " * 200_000
