@@ -1,160 +1,201 @@
 """Language-model scoring by an Elias-Fano n-gram trie.
 
-The model is a bigram model with a Dirichlet prior: P(w | v) = (c(v w) + m(v) * P(w)) / (c(v) + m(v)) with m(v) = mu *
-c(v) ** power, as a frequent context has more distinct followers. P is the additive unigram estimate (c + 0.1) / (N + 0.1 * (V + 1)), which leaves one share for unseen words. Both sum to one.
-Every context that a training text has is modelled; after any other word P(w) is used. Counts come from every training
-text. `contexts` sets only how many words' counts are sent to every worker, never the result.
-
-The model grows with the corpus, so no process holds it. The trie is cut into shards by the hash of an n-gram's last
-word. A token and its context travel to the shard once and serve twice: as a count if its text is for training, and
-as a query. Words among the `contexts` most frequent have their counts everywhere (a fixed number), and so do the
-bigrams among the `head` most frequent words (head * head at most); these are scored where the text is read. What is
-left for a shard is a word of at most N / contexts occurrences or a bigram of at most N / head, so no shard is hot.
-A token after a rarer context travels to the shard of its context too, which counts the context and the bigram. If its
-word is rare as well, both counts go on to the word's shard, where they meet the counts of words.
-
-In each level keys are an Elias-Fano sequence, pointers to the next level are another, and log10 probabilities are
-codes of 16 bits, rounded down, so that probabilities never sum to more than one. Levels lie in one memory map. A bigram is looked up by the successor of its context within its word's range.
-
-Words are told apart by 64-bit hashes. Defined results: null and empty texts are the end token alone; with no
-training text every token has probability one; rows with a null id are scored, not learned; repeated rows are scored
-each; further columns are ignored.
+The model is a bigram model with a Dirichlet prior. With c the counts of the training texts and P1 the additive unigram
+estimate (c(w) + 0.1) / (N + 0.1 (V + 1)):
+    P(w | v) = (c(v w) + m P1(w)) / (c(v) + m),  m = mu * c(v) ** power
+After a word that no training text has, P1(w) is used. Every word and every pair of every training text is modelled.
+
+Training freezes a model in a folder of the shared store, which any later call can score with: the head (the most
+frequent words with their counts, a fixed number, which every worker gets) and the shards of a trie, a row each. A
+shard has the words that are not in the head, with their counts, and under each word of any kind the words that stood
+before it. Keys and pointers are Elias-Fano sequences and stay packed: low bits of any width, high bits in unary with a
+select directory. A pair is found by the successor of its second key within the range that the pointers give to its
+first. Pairs carry relative frequencies as codes of 16 bits (exact counts up to 4,096, steps of 1/2048 octave beyond);
+counts of words, which the additive estimate needs exactly, are whole numbers.
+
+Scoring sends pairs to shards and codes back. Texts are read in blocks. A block asks for each of its distinct pairs
+once, so a word or a phrase that a third of all texts hold costs one question for each block. Pairs go to shards by
+their second word; the pairs of the `split` most frequent words are dealt over SPREAD ranges of the first word. The
+smoothing needs no further question: the context of a token is the token before it. A shard is streamed: its trie lies
+in a memory map, and the blocks' questions pass by it one batch at a time.
+
+Blocks are cut again from the texts when the codes come back, which costs reading them twice, not carrying them through
+the shuffle. So docs should be a table as it was read: its rows come in the same order in every scan. If they ever did
+not, the digest of a block's pairs would differ, and the query fails instead of scoring wrongly.
+
+Words are told apart by 64-bit hashes. Defined results: null and empty texts are the end token alone; with no training
+text every token has probability one; rows with a null id are scored, not learned; repeated rows are scored (and
+learned) each; texts of any length are read in pieces; an empty table gives an empty result; further columns, also
+clashing ones, are ignored.
 """
 
 from __future__ import annotations
 
 import mmap
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import batch, materialize
+from platewise.llm.common import batch, discard, materialize, shared_dir, word_hash, write_table
 
-NONE = 65_535  # a context that another shard scores
+END, START = b" end", b" start"  # no word holds a space
+_U = np.uint64
+_EMPTY = np.empty(0, np.int64)
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-END, START = _hash(b" end"), _hash(b" start")  # no word holds a space
-
-
-class WordHashes(dict):
-    """word -> hash, for as many words as fit; a full memory is emptied."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = h = _hash(word)
-        return h
-
-
-#: One memory for all tasks of a worker process.
-WORDS = WordHashes()
-
-
-# ---------------------------------------------------------------- the trie
+# ---------------------------------------------------------------- packed sequences
 
 
 class EliasFano:
-    """A non-decreasing sequence of n values: low bits as plain bytes, high bits in unary."""
+    """A non-decreasing sequence of n values, queried as it is packed.
+
+    low: the low `low_bits` bits of each value, one after another in words of 64 bits. high: bit h + i is set for the
+    high part h of value i. The directory holds the ones before each word of `high`; zeros follow from it.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.unpackbits(np.asarray(high))
-        at = np.flatnonzero(ones)[:n]
-        self.bucket = at - np.arange(n)  # select1(i) - i
-        last = int(self.bucket[-1]) if n else 0
-        self.starts = np.searchsorted(self.bucket, np.arange(last + 2))
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.top = int(self._one(np.array([n - 1]))[0]) - (n - 1) if n else -1  # high part of the last value
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        v = values.astype(np.uint64)
+        """(low_bits, low, high) of non-decreasing values below 2 ** 64."""
+        v = np.asarray(values).astype(_U)
         n = len(v)
         top = int(v[-1]) if n else 0
-        low_bits = 0
-        while low_bits < 56 and (top >> low_bits) > 2 * max(1, n):
-            low_bits += 8
-        low = v[:, None].view(np.uint8).reshape(n, 8)[:, : low_bits // 8] if n else np.empty((0, low_bits // 8), np.uint8)
-        high = (v >> np.uint64(low_bits)).astype(np.int64)
-        bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return low_bits, np.ascontiguousarray(low), np.packbits(bits)
+        bits = max(0, (top // max(1, n)).bit_length() - 1)
+        low = np.zeros(n * bits // 64 + 2, _U)
+        if bits:
+            x, at = v & _U((1 << bits) - 1), np.arange(n, dtype=np.int64) * bits
+            word, shift = at >> 6, (at & 63).astype(_U)
+            np.add.at(low, word, x << shift)
+            over = np.flatnonzero(shift.astype(np.int64) + bits > 64)
+            np.add.at(low, word[over] + 1, x[over] >> (_U(64) - shift[over]))
+        at = (v >> _U(bits)).astype(np.int64) + np.arange(n)
+        high = np.zeros((int(at[-1]) + 2) // 64 + 1 if n else 1, _U)
+        np.add.at(high, at >> 6, _U(1) << (at & 63).astype(_U))
+        return bits, low, high
+
+    def _one(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th one (from 0) of the high bits."""
+        word = np.searchsorted(self.ones, k, "right") - 1
+        return word * 64 + self._select(self.high[word], k - self.ones[word])
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return word * 64 + self._select(~self.high[word], k - self.zeros[word])
+
+    @staticmethod
+    def _select(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Place of a one in each word, `left` ones before it."""
+        place = np.zeros(len(x), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(x & _U((1 << half) - 1)).astype(np.int64)
+            up = left >= count
+            left = left - np.where(up, count, 0)
+            place += np.where(up, half, 0)
+            x = np.where(up, x >> _U(half), x)
+        return place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.low_bits // 8):
-            out |= self.low[i, k].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        if not self.low_bits:
+            return np.zeros(len(i), _U)
+        at = i * self.low_bits
+        word, shift = at >> 6, (at & 63).astype(_U)
+        return (self.low[word] >> shift | self.low[word + 1] << _U(1) << (_U(63) - shift)) & _U((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return self.bucket[i].astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+        i = np.asarray(i, np.int64)
+        return (self._one(i) - i).astype(_U) << _U(self.low_bits) | self._low(i)
+
+    def find(self, keys: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of each key, found as its successor within [first, stop); -1 where the successor is another value."""
+        keys = np.asarray(keys).astype(_U)
+        out = np.full(len(keys), -1, np.int64)
+        high = (keys >> _U(self.low_bits)).astype(np.int64)
+        at = np.flatnonzero((high >= 0) & (high <= self.top))
+        if not len(at):
+            return out
+        h = high[at]
+        end = self._zero(h) - h  # values with a high part of at most h
+        begin = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
+        if first is not None:
+            begin, end = np.maximum(begin, first[at]), np.minimum(end, stop[at])
+        want = keys[at] & _U((1 << self.low_bits) - 1)
+        last = end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            mid = (begin[open_] + end[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            begin[open_] = np.where(less, mid + 1, begin[open_])
+            end[open_] = np.where(less, end[open_], mid)
+            open_ = open_[begin[open_] < end[open_]]
+        hit = np.flatnonzero(begin < last)
+        hit = hit[self._low(begin[hit]) == want[hit]]
+        out[at[hit]] = begin[hit]
+        return out
+
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, found as its successor; -1 where the successor is another value."""
-        keys = keys.astype(np.uint64)
-        high = (keys >> np.uint64(self.low_bits)).astype(np.int64)
-        ok = high < len(self.starts) - 1
-        h = np.where(ok, high, 0)
-        a, b = (self.starts[h], self.starts[h + 1]) if self.n else (np.zeros(len(keys), np.int64),) * 2
-        want = keys & np.uint64((1 << self.low_bits) - 1)
-        lo, hi = a.copy(), b.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = np.zeros(len(keys), np.bool_)
-            less[open_] = self._low(mid[open_]) < want[open_]
-            lo = np.where(open_ & less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        hit = ok & (lo < b)
-        hit[hit] = self._low(lo[hit]) == want[hit]
-        return np.where(hit, lo, -1)
+#: Codes up to here are the count itself; each further octave has STEP codes.
+EXACT, STEP = 4096, 2048.0
 
 
-#: A code is -log10 p in steps of 1 / STEP; rounding up makes probabilities smaller.
-STEP = 2048.0
+def quantise(counts: np.ndarray) -> np.ndarray:
+    c = np.maximum(np.asarray(counts, np.float64), 1.0)
+    return np.where(c <= EXACT, np.asarray(counts), np.minimum(EXACT + np.rint(STEP * np.log2(c / EXACT)), 65_535)).astype(np.uint16)
 
 
-def quantise(log10p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(-log10p * STEP - 1e-9), 65_535).astype(np.uint16)
+def counts_of(codes: np.ndarray) -> np.ndarray:
+    x = codes.astype(np.float64)
+    return np.where(x <= EXACT, x, EXACT * np.exp2((x - EXACT) / STEP))
 
 
 class Trie:
-    """word -> contexts, most specific value last. Words are any 64-bit keys, contexts are numbers below 65,536."""
+    """Words of one shard and, under each word, the words that stood before it.
 
-    def __init__(self, words: EliasFano, pointers: EliasFano, pairs: EliasFano, word_codes: np.ndarray, pair_codes: np.ndarray):
-        self.words, self.pointers, self.pairs, self.word_codes, self.pair_codes = words, pointers, pairs, word_codes, pair_codes
+    Words are numbers: those of the head first, then the shard's own, ascending by hash.
+    """
+
+    def __init__(self, head: int, words: EliasFano, pointers: EliasFano, pairs: EliasFano, counts: np.ndarray, codes: np.ndarray):
+        self.head, self.words, self.pointers, self.pairs, self.counts, self.codes = head, words, pointers, pairs, counts, codes
 
     @staticmethod
-    def pack(words: np.ndarray, word_codes: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_codes: np.ndarray) -> bytes:
-        """One block of bytes. words ascending; pairs ascending by (index of the word, context)."""
-        pointers = np.searchsorted(pair_word, np.arange(len(words) + 1))
-        out = []
-        for values in (words, pointers, pair_word.astype(np.uint64) << np.uint64(16) | pair_context.astype(np.uint64)):
-            low_bits, low, high = EliasFano.parts(values)
-            out += [np.array([len(values), low_bits, low.nbytes, high.nbytes], np.int64).tobytes(), low.tobytes(), high.tobytes()]
-        for codes in (word_codes, pair_codes):
-            out += [np.array([len(codes)], np.int64).tobytes(), codes.tobytes()]
+    def pack(head: int, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, codes: np.ndarray) -> bytes:
+        """One block of bytes, in pieces of 8. words: ascending hashes; pairs: ascending word * (head + len(words)) + word before."""
+        n = head + len(words)
+        sequences = (words, np.searchsorted(pairs // max(1, n), np.arange(n + 1)), pairs)
+        width = np.min_scalar_type(int(counts.max())) if len(counts) else np.dtype(np.uint8)
+        plain = (counts.astype(width), codes.astype(np.uint16))
+        packed = [(len(v), *EliasFano.parts(v)) for v in sequences]
+        numbers = [head, *[x for m, bits, low, high in packed for x in (m, bits, len(low), len(high))], *[x for a in plain for x in (len(a), a.itemsize)]]
+        out = [np.array(numbers, np.int64).tobytes()]
+        for _, _, low, high in packed:
+            out += [low.tobytes(), high.tobytes()]
+        out += [a.tobytes() + b"\0" * (-a.nbytes % 8) for a in plain]
         return b"".join(out)
 
     @classmethod
     def view(cls, data: np.ndarray) -> Trie:
-        """A trie over packed bytes, which may be a mapped file; levels are views, nothing is copied but the codes."""
-        at, parts = 0, []
-        for _ in range(3):
-            n, low_bits, a, b = np.frombuffer(data[at : at + 32].tobytes(), np.int64).tolist()
-            at += 32
-            parts.append(EliasFano(n, low_bits, data[at : at + a].reshape(n, low_bits // 8), data[at + a : at + a + b]))
-            at += a + b
-        for _ in range(2):
-            n = int(np.frombuffer(data[at : at + 8].tobytes(), np.int64)[0])
-            parts.append(np.frombuffer(data[at + 8 : at + 8 + 2 * n].tobytes(), np.uint16))
-            at += 8 + 2 * n
-        return cls(*parts)
+        """A trie over packed bytes; nothing is copied but the select directories."""
+        numbers, at, parts = data[: 8 * 17].view(np.int64).tolist(), 8 * 17, []
+        for k in range(3):
+            n, bits, a, b = numbers[1 + 4 * k : 5 + 4 * k]
+            parts.append(EliasFano(n, bits, data[at : at + 8 * a].view(_U), data[at + 8 * a : at + 8 * (a + b)].view(_U)))
+            at += 8 * (a + b)
+        for k in range(2):
+            n, width = numbers[13 + 2 * k : 15 + 2 * k]
+            parts.append(data[at : at + n * width].view(np.dtype(f"u{width}")))
+            at += -(-n * width // 8) * 8
+        return cls(numbers[0], *parts)
 
     @classmethod
     def mapped(cls, data: bytes) -> Trie:
@@ -168,391 +209,432 @@ class Trie:
         """A trie in a file of packed bytes, mapped."""
         return cls.view(np.memmap(path, np.uint8, "r"))
 
-    def word(self, keys: np.ndarray) -> np.ndarray:
-        return self.words.find(keys)
-
-    def pair(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Index of the bigram in its word's range, or -1."""
-        found = self.pairs.find(np.maximum(word, 0).astype(np.uint64) << np.uint64(16) | context.astype(np.uint64))
-        w = np.maximum(word, 0)
-        if self.words.n:
-            inside = (found.astype(np.int64) >= self.pointers.get(w).astype(np.int64)) & (found < self.pointers.get(w + 1).astype(np.int64))
-        else:
-            inside = np.zeros(len(found), np.bool_)
-        return np.where((word >= 0) & inside, found, -1)
-
-
-# ---------------------------------------------------------------- the frozen common part
-
-
-class Common:
-    """What every worker has: totals, the most frequent words and the bigrams among the very most frequent."""
-
-    def __init__(self, total: int, distinct: int, hashes: np.ndarray, counts: np.ndarray, texts: int, head: int, mu: float, power: float):
-        order = np.lexsort((hashes, -counts))
-        self.counts = np.append(counts[order], texts)  # by id: 0 is the most frequent; the last is the start of a text
-        self.start, self.head, self.mu, self.total = len(order), min(head, len(order)), mu * np.maximum(self.counts, 1.0) ** power, total
-        by_hash = np.argsort(hashes[order])
-        self.sorted, self.ids = hashes[order][by_hash], by_hash.astype(np.int32)
-        self.prior, self.power = mu, power
-        self.space = total + 0.1 * (distinct + 1)
-        self.base = np.log10((self.counts[:-1] + 0.1) / self.space)  # of each known id
-        self.unseen = float(np.log10(0.1 / self.space))
-        self.back_off = np.log10(self.mu / (self.counts + self.mu))  # of each context
-        self.pairs = np.zeros(0, np.int64)
-        self.pair_codes = np.zeros(0, np.uint16)
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+    def word(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word that is not in the head, or -1."""
+        at = self.words.find(hashes)
+        return np.where(at >= 0, self.head + at, -1)
+
+    def pair(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Index of each pair among the words that stood before its word, or -1."""
+        out = np.full(len(word), -1, np.int64)
+        at = np.flatnonzero((word >= 0) & (before >= 0))
+        if len(at) and self.pairs.n:
+            w = word[at]
+            out[at] = self.pairs.find(w * (self.head + self.words.n) + before[at], self.pointers.get(w).astype(np.int64), self.pointers.get(w + 1).astype(np.int64))
+        return out
+
+    def code(self, pair: np.ndarray) -> np.ndarray:
+        return np.where(pair >= 0, self.codes[np.maximum(pair, 0)], 0).astype(np.uint16) if len(self.codes) else np.zeros(len(pair), np.uint16)
+
+    def count(self, word: np.ndarray) -> np.ndarray:
+        """Training count of each of the shard's own words; 0 for -1."""
+        at = word - self.head
+        return np.where(at >= 0, self.counts[np.maximum(at, 0)], 0).astype(np.int64) if len(self.counts) else np.zeros(len(word), np.int64)
+
+
+class Head:
+    """The most frequent words: number 0 is the start of a text, the others follow by count."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.counts, order = counts, np.argsort(hashes)
+        self.sorted, self.number = hashes[order], order
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
         if not len(self.sorted):
-            return np.full(len(hashes), -1, np.int32)
+            return np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.ids[at], -1).astype(np.int32)
+        return np.where(self.sorted[at] == hashes, self.number[at], -1)
 
-    def smooth(self, pair_counts: np.ndarray, context: np.ndarray, base: np.ndarray) -> np.ndarray:
-        return np.log10((pair_counts + self.mu[context] * np.power(10.0, base)) / (self.counts[context] + self.mu[context]))
 
-    def smooth_rare(self, pair_counts: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability after contexts of these counts; the unigram estimate where a context has none."""
-        m = self.prior * np.maximum(counts, 1.0) ** self.power
-        return np.where(counts > 0, np.log10((pair_counts + m * np.power(10.0, base)) / (counts + m)), base)
+# ---------------------------------------------------------------- reading texts
 
-    def head_pair(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Key of a bigram of the head, -1 elsewhere; the start of a text counts as a head context."""
-        row = np.where(context == self.start, self.head, context)
-        inside = (row >= 0) & (word >= 0) & (word < self.head) & ((row < self.head) | (context == self.start))
-        return np.where(inside, row.astype(np.int64) * self.head + word, -1)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-    def set_head(self, pairs: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(pairs)
-        self.pairs = pairs[order]
-        row, word = self.pairs // max(1, self.head), self.pairs % max(1, self.head)
-        context = np.where(row == self.head, self.start, row)
-        self.pair_codes = quantise(self.smooth(counts[order], context, self.base[word]))
 
-    def head_trie(self) -> Trie:
-        """The bounded part as a trie like those of the shards."""
-        row, word = self.pairs // max(1, self.head), self.pairs % max(1, self.head)
-        order = np.lexsort((row, word))
-        return Trie.mapped(Trie.pack(np.arange(self.head), quantise(self.base[: self.head]), word[order], row[order], self.pair_codes[order]))
+def _pieces(text: bytes, step: int) -> Iterator[bytes]:
+    """A text cut at white space into pieces of some `step` bytes."""
+    at = 0
+    while len(text) - at > step:
+        cut = _SPACE.search(text, at + step)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
-# ---------------------------------------------------------------- reading texts
+class Block:
+    """Tokens of many texts as numbers of the block's own words.
 
+    A text is one or more segments. A segment begins with tokens that are context only (`lead`): the start, or the last
+    two tokens of the segment before it.
+    """
 
-def _tokens(batches, size: int = 400_000):
-    """Blocks of whole texts: row keys, ids, training flags, tokens of each, all token hashes."""
-    memo = WORDS
-    keys, ids, train, held, sizes, hashes = [], [], [], [], [], []
+    def __init__(self):
+        self.x: list[int] = []
+        self.ids: dict[bytes, int] = defaultdict()  # a new word gets the next number
+        self.ids.default_factory = self.ids.__len__
+        for w in (START, END):
+            self.ids[w]
+        self.segments: list[tuple] = []  # key, doc_id, train, held out, first place, lead
+
+    def put(self, words: list[bytes]) -> None:
+        self.x.extend(map(self.ids.__getitem__, words))
+
+    def close(self) -> Block:
+        self.hashes = np.array([word_hash(w) for w in self.ids], np.int64).view(_U)
+        self.n = len(self.ids)
+        self.x = np.array(self.x, np.int64)
+        self.first = np.array([s[4] for s in self.segments], np.int64)
+        self.sizes = np.diff(np.append(self.first, len(self.x)))
+        self.place = np.arange(len(self.x)) - np.repeat(self.first, self.sizes)
+        self.lead = np.repeat(np.array([s[5] for s in self.segments], np.int64), self.sizes)
+        return self
+
+    def pairs(self, head: Head, counted: bool) -> Pairs:
+        """The distinct pairs: all that scoring asks for, or those that count."""
+        at = np.flatnonzero(self.place >= (self.lead if counted else 1))
+        keys, of = np.unique(self.x[at] * self.n + self.x[at - 1], return_inverse=True)
+        return Pairs(self, head, keys, of, at)
+
+
+class Pairs:
+    """Distinct pairs of a block, by word and then by the word before; `of` and `at`: the pair of each place."""
+
+    #: Parts of a frequent word's pairs, and how many words count as such.
+    SPREAD, SPLIT = 64, 1024
+
+    def __init__(self, block: Block, head: Head, keys: np.ndarray, of: np.ndarray, at: np.ndarray):
+        self.keys, self.of, self.at = keys, of, at
+        self.word, self.before = keys // max(1, block.n), keys % max(1, block.n)
+        self.number = head.find(block.hashes)  # of each word of the block
+        h = block.hashes
+        part = _mix(h[self.before]) % _U(self.SPREAD) + _U(1)
+        number = self.number[self.word]
+        self.route = _mix(h[self.word] + np.where((number >= 0) & (number < self.SPLIT), part, _U(0)))
+
+    def digest(self) -> int:
+        return int(np.bitwise_xor.reduce(self.route, initial=_U(len(self.keys))).view(np.int64))
 
-    def block():
-        return np.array(keys, np.int64), ids, np.array(train, np.bool_), held, np.array(sizes, np.int64), np.array(hashes, np.int64)
 
-    for b in batches:
-        for key, doc, learns, kept, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
-            words = (text.as_py() or "").encode().lower().split()
-            hashes += [memo[w] for w in words]
-            hashes.append(END)
-            keys.append(key)
-            ids.append(doc)
-            train.append(learns)
-            held.append(kept)
-            sizes.append(len(words) + 1)
-            if len(hashes) >= size:
-                yield block()
-                keys, ids, train, held, sizes, hashes = [], [], [], [], [], []
-    if keys:
-        yield block()
-
-
-def _count_words(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
-    def run(batches):
-        for _, _, train, _, sizes, hashes in _tokens(batches, 2_000_000):
-            yield batch(schema, np.unique(hashes[np.repeat(train, sizes)], return_counts=True))
 
-    return rows.where("train").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+def _blocks(batches, size: int) -> Iterator[tuple[int, Block]]:
+    """(number, block) of rows (key, doc_id, train, held_out, text); numbers are unique over all tasks."""
+    block, number = Block(), None
+    for b in batches:
+        for key, doc, train, held, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
+            number = key if number is None else number
+            block.segments.append((key, doc, train, held, len(block.x), 1))
+            block.x.append(0)
+            pieces = list(_pieces((text.as_py() or "").encode().lower(), 4 * size))
+            while pieces:
+                block.put(pieces.pop(0).split())
+                if pieces and len(block.x) >= size:
+                    names = list(block.ids)
+                    before = [names[i] for i in block.x[-2:]]
+                    yield number, block.close()
+                    block, number = Block(), number + 1
+                    block.segments.append((key, doc, train, held, 0, 2))
+                    block.put(before)
+            block.x.append(1)
+            if len(block.x) >= size:
+                yield number, block.close()
+                block, number = Block(), number + 1
+    if block.segments:
+        yield number, block.close()
+
+
+def _shares(route: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by shard, borders): what belongs to shard s is order[borders[s] : borders[s + 1]]."""
+    shard = (route % _U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+_RARE = 65_535  # stands for a word that is not in the head; its hash follows apart
+
+
+def _pack(block: Block, p: Pairs, shards: int, counts: tuple | None) -> Iterator[tuple[int, bytes]]:
+    """(shard, bytes): its words with the number of their pairs, the words before them, and counts of pairs and words if any."""
+    order, borders = _shares(p.route, shards)
+    for s in range(shards):
+        own = order[borders[s] : borders[s + 1]]  # ascending by word, as the sort is stable
+        if not len(own):
+            continue
+        words, first = np.unique(p.word[own], return_index=True)
+        size = np.diff(np.append(first, len(own))).astype(np.uint32)
+        before = p.before[own]
+        w, v = p.number[words], p.number[before]
+        rare_w, rare_v = words[w < 0], before[v < 0]
+        out = [np.array([len(words), len(own), len(rare_w), len(rare_v)], np.int64).tobytes(), block.hashes[rare_w].tobytes(), block.hashes[rare_v].tobytes()]
+        out += [size.tobytes(), np.where(w < 0, _RARE, w).astype(np.uint16).tobytes(), np.where(v < 0, _RARE, v).astype(np.uint16).tobytes()]
+        if counts is not None:
+            out += [counts[0][own].astype(np.uint32).tobytes(), counts[1][rare_w].astype(np.uint32).tobytes()]
+        yield s, b"".join(out)
+
+
+def _unpack(data: bytes, counted: bool) -> tuple:
+    """(words, sizes, before, hashes of rare words, hashes of rare words before[, counts of pairs, counts of rare words])."""
+    n, m, a, b = np.frombuffer(data, np.int64, 4).tolist()
+    at, out = 32, []
+    for size, kind in ((a, _U), (b, _U), (n, np.uint32), (n, np.uint16), (m, np.uint16), *(((m, np.uint32), (a, np.uint32)) if counted else ())):
+        out.append(np.frombuffer(data, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return (out[3], out[2].astype(np.int64), out[4], out[0], out[1], *out[5:])
+
+
+def _numbers(marks: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Numbers of words: head numbers, and those of the rare words in turn."""
+    out = marks.astype(np.int64)
+    out[marks == _RARE] = rare
+    return out
+
+
+# ---------------------------------------------------------------- training
+
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+_SENT_SQL = "shard int, block long, data binary"
+_TRIES = pa.schema([("shard", pa.int32()), ("trie", pa.binary())])
+_TRIES_SQL = "shard int, trie binary"
+_HEAD_SQL = "number long, hash long, n long, tokens long, words long, shards long"
+
+
+def _runs(batches) -> Iterator[tuple]:
+    """Rows (shard, block, data) of a sorted partition."""
+    for b in batches:
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
+
+
+def build_trie(head: int, rows: list[tuple]) -> bytes:
+    """Packed trie of unpacked rows with counts."""
+    words = np.unique(np.concatenate([x for r in rows for x in r[3:5]])) if rows else np.empty(0, _U)
+    n = head + len(words)
+    counts = np.zeros(len(words), np.int64)
+    keys, times = [], []
+    for marks, sizes, before, rare_w, rare_v, c2, c1 in rows:
+        own = np.searchsorted(words, rare_w)
+        np.add.at(counts, own, c1.astype(np.int64))
+        w, v = _numbers(marks, head + own), _numbers(before, head + np.searchsorted(words, rare_v))
+        keys.append(np.repeat(w, sizes) * n + v)
+        times.append(c2)
+    pairs, of = np.unique(np.concatenate(keys) if keys else _EMPTY, return_inverse=True)
+    count2 = np.bincount(of, np.concatenate(times) if times else _EMPTY, minlength=len(pairs))
+    return Trie.pack(head, words, counts, pairs, quantise(count2))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
+    return docs.select(
+        F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part != 0, F.lit(False)).alias("train"),
+        F.coalesce(part == 0, F.lit(False)).alias("held_out"), "text",
+    )
 
 
-def _contexts(common: Common, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id of each token, id of its context); -1 where it is not among the frequent words."""
-    word = common.lookup(hashes)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.cumsum(sizes) - sizes] = common.start
-    return word, context
+def _word_counts(block: Block) -> np.ndarray:
+    """Count of each of the block's words; the start counts its texts."""
+    begins = np.flatnonzero((block.place == 0) & (block.lead == 1))
+    return np.bincount(np.concatenate([block.x[block.place >= block.lead], block.x[begins]]), minlength=block.n)
 
 
-def _count_head(rows: DataFrame, shared) -> DataFrame:
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+@dataclass
+class Model:
+    """A frozen model: `path` holds the shards' tries and the head, which has a fixed size."""
 
-    def run(batches):
-        common: Common = shared.value
-        counts = np.zeros((common.head + 1) * common.head, np.int64)
-        for _, _, train, _, sizes, hashes in _tokens(batches):
-            word, context = _contexts(common, sizes, hashes)
-            pair = common.head_pair(context, word)
-            pair = pair[(pair >= 0) & np.repeat(train, sizes)]
-            found, n = np.unique(pair, return_counts=True)
-            counts[found] += n
-        found = np.flatnonzero(counts)
-        yield batch(schema, (found, counts[found]))
+    path: str
+    shards: int
+    tokens: int
+    words: int
+    head: Head
 
-    return rows.where("train").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        rows = spark.read.schema(_HEAD_SQL).parquet(f"{path}/head").orderBy("number").toPandas()
+        head = rows[rows["number"] >= 0]
+        return cls(path, int(rows["shards"][0]), int(rows["tokens"][0]), int(rows["words"][0]), Head(head["hash"].to_numpy(np.int64).view(_U), head["n"].to_numpy(np.int64)))
 
+    def tries(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(_TRIES_SQL).parquet(f"{self.path}/tries")
 
-# ---------------------------------------------------------------- scoring
 
-_SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("train", pa.binary()), ("words", pa.binary()), ("contexts", pa.binary())])
-_SENT_SQL = "shard int, kind int, block long, docs binary, sizes binary, train binary, words binary, contexts binary"
-_FOUND = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("meta", pa.binary()), ("words", pa.binary()), ("blocks", pa.binary()), ("counts", pa.binary())])
-_FOUND_SQL = "target int, block long, docs binary, score binary, base binary, known binary, meta binary, words binary, blocks binary, counts binary"
-_PART = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("meta", pa.binary())])
-_PART_SQL = "block long, docs binary, score binary, base binary, known binary, meta binary"
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-_OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def train(docs: DataFrame, path: str | None = None, head_words: int = 60_000, shard_bytes: int = 8 << 20, least_shards: int = 64, block_tokens: int = 600_000) -> Model:
+    """Learn from the training texts of docs (doc_id, text) and freeze the model in a folder of the shared store.
 
+    `head_words` (below 65,000) decides what is sent to every worker, never a result.
+    """
+    if head_words >= _RARE - 1:
+        raise ValueError("head_words must be below 65,534")
+    spark, rows = docs.sparkSession, _rows(docs).where("train")
+    path = path or shared_dir(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(least_shards, -(-int(size) // shard_bytes))
+    start = word_hash(START)
+    counted = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        for _, block in _blocks(batches, block_tokens):
+            n = _word_counts(block)
+            yield batch(counted, (block.hashes.view(np.int64)[n > 0], n[n > 0]))
+
+    words = materialize(rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    tokens, distinct = words.where(F.col("hash") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    top = words.where(F.col("hash") != start).orderBy(F.desc("n"), "hash").limit(head_words).toPandas()
+    texts = words.where(F.col("hash") == start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    discard(words)
+    kept = [(0, start, int(texts)), *zip(range(1, len(top) + 1), top["hash"].tolist(), top["n"].tolist())]
+    spark.createDataFrame([(*k, int(tokens), int(distinct), shards) for k in kept], _HEAD_SQL).coalesce(1).write.parquet(f"{path}/head")
+    shared = spark.sparkContext.broadcast(Model.load(spark, path).head)
+
+    def send(batches):
+        head = shared.value
+        for number, block in _blocks(batches, block_tokens):
+            p = block.pairs(head, counted=True)
+            counts = np.bincount(p.of, minlength=len(p.keys)), _word_counts(block)
+            yield batch(_SENT, zip(*[(s, number, data) for s, data in _pack(block, p, shards, counts)]))
+
+    def build(batches):
+        head, now, rows = shared.value, None, []
+        for shard, _, data in _runs(batches):
+            if shard != now and rows:
+                yield batch(_TRIES, ([now], [build_trie(len(head), rows)]))
+                rows.clear()
+            now = shard
+            rows.append(_unpack(data.as_py(), True))
+        if rows:
+            yield batch(_TRIES, ([now], [build_trie(len(head), rows)]))
+
+    sent = rows.mapInArrow(send, _SENT_SQL)
+    write_table(sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, _TRIES_SQL), f"{path}/tries")
+    return Model.load(spark, path)
 
-def _meta(ids: list, held: list, sizes: np.ndarray) -> np.ndarray:
-    """Ids, then 4 * tokens + 2 * (the id is null) + held out."""
-    none = np.array([x is None for x in ids], np.int64)
-    return np.concatenate([np.array([x or 0 for x in ids], np.int64), 4 * sizes + 2 * none + np.array(held, np.int64)])
 
+# ---------------------------------------------------------------- scoring
+
+_FOUND = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("digest", pa.int64()), ("segments", pa.binary()), ("data", pa.binary())])
+_FOUND_SQL = "block long, shard int, digest long, segments binary, data binary"
+_OUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_OUT_SQL = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_CHANGED = "the texts of a block changed between two scans of the table"
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
 
+def answer(trie: Trie | None, data: bytes) -> bytes:
+    """Codes of pairs and counts of rare words, in the order of the questions."""
+    marks, sizes, before, rare_w, rare_v = _unpack(data, False)
+    if trie is None:
+        return b"\0" * (2 * len(before) + 8 * len(rare_w))
+    own = trie.word(rare_w)
+    codes = trie.code(trie.pair(np.repeat(_numbers(marks, own), sizes), _numbers(before, trie.word(rare_v))))
+    return codes.tobytes() + trie.count(own).tobytes()
 
-def _send(rows: DataFrame, shared, shards: int) -> DataFrame:
-    """Scores what is known everywhere (kind 2) and sends rare words (0), bigrams of frequent words (1) and what follows rare words (3) to shards."""
 
+def _questions(rows: DataFrame, shared, shards: int, block_tokens: int) -> DataFrame:
     def run(batches):
-        common: Common = shared.value
-        trie = common.head_trie()
-        for keys, ids, train, held, sizes, hashes in _tokens(batches):
-            word, context = _contexts(common, sizes, hashes)
-            doc = np.repeat(np.arange(len(keys)), sizes)
-            known = word >= 0
-            base = np.where(known, common.base[np.maximum(word, 0)] if len(common.base) else 0.0, 0.0)
-            pair = common.head_pair(context, word)
-            in_head = pair >= 0
-            score = np.zeros(len(word))
-            row = np.where(context == common.start, common.head, context)
-            w, r = word[in_head].astype(np.int64), row[in_head].astype(np.int64)
-            at = trie.pair(w, r)
-            score[in_head] = np.where(at >= 0, trie.pair_codes[np.maximum(at, 0)].astype(np.float64) / -STEP if len(trie.pair_codes) else 0.0, common.back_off[context[in_head]] + base[in_head])
-            first = np.cumsum(sizes) - sizes
-            here = [np.add.reduceat(x, first) for x in (score, base, known.astype(np.int64))]
-            block = int(keys[0])
-            yield batch(_SENT, ([int(_mix(keys[:1])[0] % shards)], [2], [block], [b""], [here[0].tobytes()], [here[1].tobytes()], [here[2].astype(np.uint32).tobytes()], [_meta(ids, held, sizes).tobytes()]))
-            for kind, take in ((0, np.flatnonzero(~known)), (1, np.flatnonzero(known & (context >= 0) & ~in_head)), (3, np.flatnonzero(context < 0))):
-                if not len(take):
-                    continue
-                c = hashes[take - 1] if kind == 3 else np.where(context[take] < 0, NONE, context[take]).astype(np.uint16)
-                k = word[take].astype(np.uint16) if kind == 1 else hashes[take]
-                route = _mix(c if kind == 3 else k if kind == 0 else k.astype(np.int64) << 16 | c)
-                shard = (route % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                k, c, d, shard = k[order], c[order], doc[take][order], shard[order]
-                cuts = np.flatnonzero(np.diff(shard)) + 1
-                out: list[list] = [[], [], [], [], [], [], [], []]
-                for a, b in zip([0, *cuts], [*cuts, len(shard)]):
-                    own, n = np.unique(d[a:b], return_counts=True)  # d is ascending within a shard
-                    for x, y in zip(out, (shard[a], kind, block, own.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), train[own].tobytes(), k[a:b].tobytes(), c[a:b].tobytes())):
-                        x.append(y)
-                yield batch(_SENT, out)
+        for number, block in _blocks(batches, block_tokens):
+            p = block.pairs(shared.value, counted=False)
+            yield batch(_SENT, zip(*[(s, number, data) for s, data in _pack(block, p, shards, None)]))
 
     return rows.mapInArrow(run, _SENT_SQL)
 
 
-def score_shard(common: Common, kind: int, words: np.ndarray, contexts: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 probability, log10 of the unigram estimate, known) of each token of one shard; it learns from `train`."""
-    contexts = contexts.astype(np.int64)
-    if kind == 0:
-        keys = words.astype(np.int64).view(np.uint64)
-        known_keys, n = np.unique(keys[train], return_counts=True)
-        base_of = np.log10((n + 0.1) / common.space)
-    else:
-        keys = words.astype(np.uint64)
-        known_keys = np.unique(keys)
-        base_of = common.base[known_keys.astype(np.int64)]
-    index = np.searchsorted(known_keys, keys[train])
-    both = index.astype(np.int64) << 16 | contexts[train]
-    both, n = np.unique(both[contexts[train] != NONE], return_counts=True)
-    p_word, p_context = both >> 16, both & 0xFFFF
-    codes = quantise(common.smooth(n, p_context, base_of[p_word])) if len(both) else np.zeros(0, np.uint16)
-    trie = Trie.mapped(Trie.pack(known_keys, quantise(base_of), p_word, p_context, codes))
-    w = trie.word(keys)
-    base = np.where(w >= 0, base_of[np.maximum(w, 0)] if len(base_of) else 0.0, common.unseen)
-    modelled = contexts != NONE
-    at = trie.pair(w, np.where(modelled, contexts, NONE))
-    back = base + common.back_off[np.where(modelled, contexts, 0)]
-    score = np.where(modelled, np.where(at >= 0, trie.pair_codes[np.maximum(at, 0)].astype(np.float64) / -STEP if len(codes) else 0.0, back), 0.0)
-    return score, base, w >= 0
-
-
-def count_tail(words: np.ndarray, contexts: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count of the bigram, count of its context) of each token after a rare context."""
-    _, context = np.unique(contexts, return_inverse=True)
-    _, word = np.unique(words, return_inverse=True)
-    both = context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
-    seen, n = np.unique(both[train], return_counts=True)
-    if not len(seen):
-        return np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
-    at = EliasFano(len(seen), *EliasFano.parts(seen)).find(both)
-    return np.where(at >= 0, n[np.maximum(at, 0)], 0), np.bincount(context[train], minlength=int(context.max()) + 1)[context]
-
-
-def _score(sent: DataFrame, shared, shards: int) -> DataFrame:
-    """One row for each block of texts and shard: sums for the block's texts that the shard has tokens of.
-
-    Rows with a target are rare words after rare contexts with their counts, on the way to the words' shard.
-    """
+def _answers(questions: DataFrame, tries: DataFrame, shards: int) -> DataFrame:
+    """Each shard's trie comes first (block null), then the questions of all blocks pass by it."""
 
-    def run(tab: pa.Table) -> pa.Table:
-        common: Common = shared.value
-        kinds = np.array(tab.column("kind").to_pylist())
-        blocks = tab.column("block").to_pylist()
-        col = {n: tab.column(n) for n in ("docs", "sizes", "train", "words", "contexts")}
-        out: list[list] = [[] for _ in _FOUND]
-
-        def raw(name: str, i: int) -> bytes:
-            return col[name][int(i)].as_py()
-
-        def gather(name: str, rows: np.ndarray, dtype) -> np.ndarray:
-            return np.concatenate([np.frombuffer(raw(name, i), dtype) for i in rows])
-
-        def put(*row, target=None, sent=(None, None, None)) -> None:
-            for x, y in zip(out, (target, *row, *sent)):
-                x.append(y)
-
-        for kind in (0, 1, 3):
-            rows = np.flatnonzero(kinds == kind)
-            if not len(rows):
-                continue
-            each = [np.frombuffer(raw("sizes", i), np.uint32).astype(np.int64) for i in rows]
-            sizes = np.concatenate(each)
-            train = np.repeat(gather("train", rows, np.bool_), sizes)
-            words = gather("words", rows, np.uint16 if kind == 1 else np.int64)
-            contexts = gather("contexts", rows, np.int64 if kind == 3 else np.uint16)
-            if kind == 3:
-                pairs, counts = count_tail(words, contexts, train)
-                word = common.lookup(words)
-                score = np.zeros(len(words))
-                near = word >= 0
-                score[near] = common.smooth_rare(pairs[near], counts[near], common.base[word[near]])
-                far = np.flatnonzero(~near)
-                if len(far):
-                    doc = np.repeat(gather("docs", rows, np.uint32), sizes)
-                    block = np.repeat(np.repeat([blocks[i] for i in rows], [len(x) for x in each]), sizes)
-                    target = (_mix(words[far]) % np.uint64(shards)).astype(np.int32)
-                    order = np.argsort(target, kind="stable")
-                    far, target = far[order], target[order]
-                    cuts = np.flatnonzero(np.diff(target)) + 1
-                    for a, b in zip([0, *cuts], [*cuts, len(far)]):
-                        f = far[a:b]
-                        sent = (words[f].tobytes(), block[f].astype(np.int64).tobytes(), np.stack([pairs[f], counts[f]]).astype(np.int64).tobytes())
-                        put(None, doc[f].tobytes(), None, None, None, None, target=int(target[a]), sent=sent)
+    def run(batches):
+        now, trie = None, None
+        for shard, block, data in _runs(batches):
+            if shard != now:
+                now, trie = shard, None
+            if block is None:
+                trie = Trie.mapped(data.as_py())
             else:
-                score, base, known = score_shard(common, kind, words, contexts, train)
-            first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(score, first)]
-            if kind == 0:
-                sums += [np.add.reduceat(base, first), np.add.reduceat(known.astype(np.uint32), first).astype(np.uint32)]
-            else:  # their unigrams were added where the text was read
-                sums += [np.zeros(len(first)), np.zeros(len(first), np.uint32)]
-            at = 0
-            for i, x in zip(rows, each):
-                put(blocks[i], raw("docs", i), *[y[at : at + len(x)].tobytes() for y in sums], None)
-                at += len(x)
-        for i in np.flatnonzero(kinds == 2):
-            put(blocks[i], None, raw("sizes", i), raw("train", i), raw("words", i), raw("contexts", i))
-        return pa.Table.from_batches([batch(_FOUND, out)])
-
-    return sent.groupBy("shard").applyInArrow(run, _FOUND_SQL)
-
-
-def _score_tail(found: DataFrame, words: DataFrame, shared, shards: int) -> DataFrame:
-    """Rows like those of _score for rare words after rare contexts, whose counts meet those of the words by shard."""
-    schema = pa.schema([("target", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())])
-
-    def deal(batches):
-        for b in batches:
-            hashes = b.column(0).to_numpy(zero_copy_only=False)
-            yield batch(schema, ((_mix(hashes) % np.uint64(shards)).astype(np.int32), hashes, b.column(1)))
-
-    def run(sent: pa.Table, counted: pa.Table) -> pa.Table:
-        common: Common = shared.value
-        raw = lambda name, dtype: np.concatenate([np.frombuffer(x.as_py(), dtype) for x in sent.column(name)])
-        out: list[list] = [[] for _ in _PART]
-        if len(sent):
-            words, block, doc = raw("words", np.int64), raw("blocks", np.int64), raw("docs", np.uint32)
-            pairs, counts = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in sent.column("counts")], axis=1)
-            hashes, n = counted.column("hash").to_numpy(), counted.column("n").to_numpy()
-            base = np.full(len(words), common.unseen)
-            if len(hashes):
-                order = np.argsort(hashes)
-                hashes, n = hashes[order], n[order]
-                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-                base = np.where(hashes[at] == words, np.log10((n[at] + 0.1) / common.space), base)
-            score = common.smooth_rare(pairs, counts, base)
-            order = np.lexsort((doc, block))
-            block, doc, score = block[order], doc[order], score[order]
-            first = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(doc) != 0)))
-            sums, block, doc = np.add.reduceat(score, first), block[first], doc[first]
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(block)]):
-                for x, y in zip(out, (int(block[a]), doc[a:b].tobytes(), sums[a:b].tobytes(), np.zeros(b - a).tobytes(), np.zeros(b - a, np.uint32).tobytes(), None)):
-                    x.append(y)
-        return pa.Table.from_batches([batch(_PART, out)])
-
-    sent = found.where("target is not null").select("target", "docs", "words", "blocks", "counts")
-    dealt = words.select("hash", "n").mapInArrow(deal, "target int, hash long, n long")
-    return sent.groupBy("target").cogroup(dealt.groupBy("target")).applyInArrow(run, _PART_SQL)
-
-
-def _sum_blocks(parts: DataFrame) -> DataFrame:
-    """One row for each text: what its block and the shards found."""
+                yield batch(_FOUND, ([block], [shard], [None], [None], [answer(trie, data.as_py())]))
 
-    def run(tab: pa.Table) -> pa.Table:
-        rows = list(zip(*(tab.column(n).to_pylist() for n in ("docs", "score", "base", "known", "meta"))))
-        _, score, base, known, meta = next(r for r in rows if r[4] is not None)
-        score, base, known = np.frombuffer(score).copy(), np.frombuffer(base).copy(), np.frombuffer(known, np.uint32).astype(np.int64)
-        ids, flags = np.frombuffer(meta, np.int64).reshape(2, -1)
-        for docs, s, b, k, m in rows:
-            if m is None:
-                at = np.frombuffer(docs, np.uint32)  # each text once
-                score[at] += np.frombuffer(s)
-                base[at] += np.frombuffer(b)
-                known[at] += np.frombuffer(k, np.uint32)
-        doc = [None if f & 2 else x for x, f in zip(ids.tolist(), flags.tolist())]
-        return pa.Table.from_batches([batch(_OUT, (doc, flags & 1 == 1, flags >> 2, known, base, score))])
-
-    return parts.groupBy("block").applyInArrow(run, _OUT_SQL)
-
-
-def score_documents(docs: DataFrame, contexts: int = 50_000, head: int = 1024, mu: float = 2.0, power: float = 0.9, shard_tokens: int = 2_500_000) -> DataFrame:
+    both = questions.unionByName(tries.select("shard", F.lit(None).cast("long").alias("block"), F.col("trie").alias("data")))
+    return both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(run, _FOUND_SQL)
+
+
+_SEGMENT = np.dtype([("key", np.int64), ("doc", np.int64), ("none", np.int8), ("held", np.int8), ("first", np.int64), ("lead", np.int8)])
+
+
+def _texts(rows: DataFrame, shared, block_tokens: int) -> DataFrame:
+    """The blocks again, as rows that meet their answers: word numbers of all tokens and the words' hashes."""
+
+    def run(batches):
+        for number, block in _blocks(batches, block_tokens):
+            digest = block.pairs(shared.value, counted=False).digest()
+            segments = np.array([(k, d or 0, d is None, h, a, lead) for k, d, _, h, a, lead in block.segments], _SEGMENT)
+            kind = np.uint16 if block.n <= 65_536 else np.uint32
+            data = np.array([block.n], np.int64).tobytes() + block.hashes.tobytes() + block.x.astype(kind).tobytes()
+            yield batch(_FOUND, ([number], [None], [digest], [segments.tobytes()], [data]))
+
+    return rows.mapInArrow(run, _FOUND_SQL)
+
+
+def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]], model: Model, mu: float, power: float, digest: int) -> pa.RecordBatch:
+    """Sums of each segment of a block; answers: (shard, bytes)."""
+    block, seg = Block(), np.frombuffer(segments, _SEGMENT)
+    block.n = int(np.frombuffer(data, np.int64, 1)[0])
+    block.hashes = np.frombuffer(data, _U, block.n, 8)
+    block.x = np.frombuffer(data, np.uint16 if block.n <= 65_536 else np.uint32, -1, 8 + 8 * block.n).astype(np.int64)
+    sizes = np.diff(np.append(seg["first"], len(block.x)))
+    block.place, block.lead = np.arange(len(block.x)) - np.repeat(seg["first"], sizes), np.repeat(seg["lead"].astype(np.int64), sizes)
+    p = block.pairs(model.head, counted=False)
+    order, borders = _shares(p.route, model.shards)
+    if p.digest() != digest or len(answers) != int((np.diff(borders) > 0).sum()):
+        raise RuntimeError(_CHANGED)
+    counts = np.where(p.number >= 0, model.head.counts[np.maximum(p.number, 0)], 0)
+    codes = np.zeros(len(p.keys), np.uint16)
+    for s, got in answers:
+        own = order[borders[s] : borders[s + 1]]
+        words = np.unique(p.word[own])
+        rare = words[p.number[words] < 0]
+        if len(got) != 2 * len(own) + 8 * len(rare):
+            raise RuntimeError(_CHANGED)
+        codes[own] = np.frombuffer(got, np.uint16, len(own))
+        counts[rare] = np.frombuffer(got[2 * len(own) :], np.int64)
+    c1, c2, before = counts[block.x].astype(np.float64), np.zeros(len(block.x)), np.zeros(len(block.x))
+    c2[p.at] = counts_of(codes)[p.of]
+    before[1:] = c1[:-1]
+    p1 = (c1 + 0.1) / (model.tokens + 0.1 * (model.words + 1))
+    m = mu * np.maximum(before, 1.0) ** power
+    p2 = np.where(before > 0, (c2 + m * p1) / (before + m), p1)
+    own = block.place >= block.lead
+    sums = [np.add.reduceat(np.where(own, x, 0), seg["first"]) for x in (own.astype(np.int64), (c1 > 0).astype(np.int64), np.log10(p1), np.log10(p2))]
+    docs = pa.array(seg["doc"].copy(), mask=seg["none"] != 0)
+    return batch(_OUT, (seg["key"].copy(), docs, seg["held"] != 0, *sums))
+
+
+def score(docs: DataFrame, model: Model, mu: float = 2.0, power: float = 0.9, block_tokens: int = 600_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
-    if contexts >= NONE - 1:
-        raise ValueError("contexts must be below 65,534")
-    spark = docs.sparkSession
-    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part != 0, F.lit(False)).alias("train"),
-        F.coalesce(part == 0, F.lit(False)).alias("held_out"), "text",
-    )
-    words = materialize(_count_words(rows))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("n"), "hash").limit(contexts).toPandas()
-    texts = words.where(F.col("hash") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = Common(int(total), int(distinct), top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(texts), head, mu, power)
-    pairs = _count_head(rows, spark.sparkContext.broadcast(common)).toPandas()
-    common.set_head(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(common)
-    shards = max(1, -(-int(total) // shard_tokens))
-    found = materialize(_score(_send(rows, shared, shards), shared, shards))
-    parts = found.where("target is null").select(*_PART.names).unionByName(_score_tail(found, words, shared, shards))
-    scored = _sum_blocks(parts)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    spark, rows = docs.sparkSession, _rows(docs)
+    shared = spark.sparkContext.broadcast(model.head)
+    found = _answers(_questions(rows, shared, model.shards, block_tokens), model.tries(spark), model.shards)
+    found = write_table(found, shared_dir(spark))
+    frozen = spark.sparkContext.broadcast(model)
+
+    def run(tab: pa.Table) -> pa.Table:
+        rows = list(zip(tab.column("shard").to_pylist(), tab.column("digest").to_pylist(), tab.column("segments"), tab.column("data")))
+        text = [r for r in rows if r[0] is None]
+        if len(text) != 1:
+            raise RuntimeError(_CHANGED)
+        answers = [(s, d.as_py()) for s, _, _, d in rows if s is not None]
+        return pa.Table.from_batches([score_block(text[0][2].as_py(), text[0][3].as_py(), answers, frozen.value, mu, power, text[0][1])])
+
+    scored = found.unionByName(_texts(rows, shared, block_tokens)).groupBy("block").applyInArrow(run, _OUT_SQL)
+    whole = scored.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    )  # a text of many pieces has several rows
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame, mu: float = 2.0, power: float = 0.9, head_words: int = 60_000, shard_bytes: int = 8 << 20, least_shards: int = 64, block_tokens: int = 600_000) -> DataFrame:
+    """`train` on docs, then `score` them."""
+    return score(docs, train(docs, None, head_words, shard_bytes, least_shards, block_tokens), mu, power, block_tokens)

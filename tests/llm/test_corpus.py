@@ -178,7 +178,7 @@ def test_line_dedup_defined_cases(spark, frame):
     assert line_dedup.line_dedup(odd.where("doc_id > 9")).count() == 0
 
 
-def test_elias_fano_and_trie(tmp_path):
+def test_elias_fano():
     rng = np.random.default_rng(1)
     for top in (5, 300, 1 << 40, (1 << 64) - 1):
         values = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
@@ -188,16 +188,49 @@ def test_elias_fano_and_trie(tmp_path):
         assert (ef.find(values) == np.arange(len(values))).all()
         missing = np.setdiff1d(rng.integers(0, top, 200, dtype=np.uint64), values)
         assert (ef.find(missing) == -1).all()
-    words = np.array([3, 9, 2**63 + 5], np.uint64)
-    packed = lm_score.Trie.pack(words, np.array([1, 2, 3], np.uint16), np.array([0, 2, 2]), np.array([7, 1, 4]), np.array([10, 20, 30], np.uint16))
+    same = np.sort(rng.integers(0, 9, 700)).astype(np.uint64)
+    ef = lm_score.EliasFano(700, *lm_score.EliasFano.parts(same))
+    assert (ef.get(np.arange(700)) == same).all() and ef.low.nbytes + ef.high.nbytes < 300
+    empty = lm_score.EliasFano(0, *lm_score.EliasFano.parts(np.empty(0, np.uint64)))
+    assert empty.find(np.array([0, 7], np.uint64)).tolist() == [-1, -1]
+
+
+def test_elias_fano_finds_the_successor_within_a_range_only():
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 3000, 900)).astype(np.uint64)
+    ef = lm_score.EliasFano(len(values), *lm_score.EliasFano.parts(values))
+    keys = rng.integers(0, 3200, 500).astype(np.uint64)
+    first = rng.integers(0, len(values), 500)
+    stop = np.minimum(len(values), first + rng.integers(0, 400, 500))
+    at = np.searchsorted(values, keys)
+    want = [int(i) if a <= i < b and values[i] == k else -1 for k, i, a, b in zip(keys, at, first, stop)]
+    assert ef.find(keys, first, stop).tolist() == want
+
+
+def test_trie_keeps_its_levels_packed(tmp_path):
+    words = np.array([3, 9, 2**63 + 5], np.uint64)  # numbers 2, 3 and 4 after a head of two
+    pairs = np.array([0 * 5 + 3, 1 * 5 + 0, 2 * 5 + 2, 4 * 5 + 1, 4 * 5 + 4])
+    packed = lm_score.Trie.pack(2, words, np.array([7, 0, 300]), pairs, np.array([1, 2, 3, 4, 5]))
     (tmp_path / "t").write_bytes(packed)
-    trie = lm_score.Trie.open(str(tmp_path / "t"))
-    w = trie.word(np.array([3, 4, 2**63 + 5, 2**63 + 5], np.uint64))
-    assert w.tolist() == [0, -1, 2, 2]
-    assert trie.pair(w, np.array([7, 7, 4, 7])).tolist() == [0, -1, 2, -1]
+    for trie in (lm_score.Trie.open(str(tmp_path / "t")), lm_score.Trie.mapped(packed)):
+        w = trie.word(np.array([3, 4, 2**63 + 5], np.uint64))
+        assert w.tolist() == [2, -1, 4] and trie.count(w).tolist() == [7, 0, 300]
+        found = trie.pair(np.array([0, 1, 2, 4, 4, 3, -1, 0]), np.array([3, 0, 2, 1, 4, 0, 1, -1]))
+        assert found.tolist() == [0, 1, 2, 3, 4, -1, -1, -1] and trie.code(found).tolist() == [1, 2, 3, 4, 5, 0, 0, 0]
+        assert not trie.pairs.low.flags.owndata and not trie.codes.flags.owndata  # views of the map
+    rng = np.random.default_rng(0)
+    many = np.unique(rng.integers(0, 1 << 34, 40_000)).astype(np.int64)
+    parts = lm_score.EliasFano.parts(many)
+    assert parts[1].nbytes + parts[2].nbytes < len(many) * (2 + np.log2((1 << 34) / len(many)) + 1) / 8 * 1.05
+
 
+def test_codes_are_exact_counts_first():
+    counts = np.array([0, 1, 2, 4096, 4097, 10**6, 10**9])
+    back = lm_score.counts_of(lm_score.quantise(counts))
+    assert (back[:4] == counts[:4]).all() and np.allclose(back, counts, rtol=2.0**-11)
 
-def _lm(rows, mu=2.0, power=0.9, contexts=10**9):
+
+def _lm(rows, mu=2.0, power=0.9):
     docs = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
     train = [docs[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     c = collections.Counter(w for d in train for w in d)
@@ -210,34 +243,53 @@ def _lm(rows, mu=2.0, power=0.9, contexts=10**9):
         for v, w in zip(["<"] + d[:-1], d):
             p0 = (c[w] + 0.1) / space
             base += math.log10(p0)
-            known = v == "<" or c[v] > 0
             m = mu * max(c[v], 1) ** power
-            score += math.log10((pairs[v, w] + m * p0) / (c[v] + m)) if known else math.log10(p0)
+            score += math.log10((pairs[v, w] + m * p0) / (c[v] + m)) if c[v] else math.log10(p0)
         out[i] = (len(d), sum(c[w] > 0 for w in d), n, base, score)
     return out
 
 
+def _same_scores(got, want):
+    got = {r["doc_id"]: r for r in got}
+    assert got.keys() == want.keys()
+    for i, (n, known, total, base, score) in want.items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-12) and math.isclose(r["score"], score, rel_tol=1e-12)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
+
+
 def test_lm_score(spark, frame, corpus):
     want = _lm(corpus)
-    for head, shard in ((4, 300), (1024, 10**6), (0, 100)):
-        got = {r["doc_id"]: r for r in lm_score.score_documents(frame(corpus), head=head, shard_tokens=shard).collect()}
-        for i, (n, known, total, base, score) in want.items():
-            r = got[i]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-            assert math.isclose(r["base_score"], base, rel_tol=1e-12)
-            assert score - n / lm_score.STEP - 1e-6 <= r["score"] <= score + 1e-6  # codes are rounded down
-            assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
+    for head, shards, block in ((60_000, 64, 600_000), (0, 1, 10**6), (5, 3, 40), (100, 200, 300)):
+        got = lm_score.score_documents(frame(corpus), head_words=head, least_shards=shards, block_tokens=block).collect()
+        _same_scores(got, want)
 
 
-def test_lm_score_models_every_context(spark, frame, corpus):
-    want = _lm(corpus)
-    for contexts, shard in ((10, 300), (0, 10**6), (100, 50)):
-        got = {r["doc_id"]: r for r in lm_score.score_documents(frame(corpus), contexts=contexts, head=4, shard_tokens=shard).collect()}
-        for i, (n, known, total, base, score) in want.items():
-            r = got[i]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-            assert math.isclose(r["base_score"], base, rel_tol=1e-12)
-            assert score - n / lm_score.STEP - 1e-6 <= r["score"] <= score + 1e-6
+def test_lm_score_of_one_very_long_text(spark, frame, corpus):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(700)}" for _ in range(9000)]
+    rows = [*corpus[:30], (1001, " ".join(words)), (1002, " ".join(words[2000:4000]) + "\n" + "z" * 5000)]
+    _same_scores(lm_score.score_documents(frame(rows), block_tokens=200, head_words=20).collect(), _lm(rows))
+
+
+def test_lm_score_of_every_word_beyond_any_limit(spark, frame):
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(60)]
+    _same_scores(lm_score.score_documents(frame(rows), head_words=10, least_shards=5).collect(), _lm(rows))
+
+
+def test_lm_model_is_frozen(spark, frame, corpus, tmp_path):
+    learnt, others = corpus[:80], [(i, t) for i, t in corpus[80:]]
+    model = lm_score.train(frame(learnt), path=f"file:{tmp_path}/model", head_words=30)
+    again = lm_score.Model.load(spark, model.path)
+    assert (again.tokens, again.words, again.shards) == (model.tokens, model.words, model.shards)
+    both = {r["doc_id"]: r["score"] for r in lm_score.score(frame(learnt), again).collect()}
+    want = {r["doc_id"]: r["score"] for r in lm_score.score_documents(frame(learnt)).collect()}
+    assert both.keys() == want.keys() and all(math.isclose(both[i], want[i], rel_tol=1e-12) for i in want)
+    scored = {r["doc_id"]: r["score"] for r in lm_score.score(frame([*learnt, *others]), again).collect()}
+    assert all(math.isclose(scored[i], want[i], rel_tol=1e-12) for i in want) and len(scored) == len(corpus)
 
 
 def test_lm_score_beats_the_unigrams_on_held_out(spark):
