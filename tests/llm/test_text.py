@@ -220,6 +220,75 @@ def test_html_without_article_takes_the_long_region():
     assert html_text.extract(page) == "\n\n".join(["word " * 39 + "word"] * 3)
 
 
+def test_html_names_that_only_look_like_boilerplate_keep_their_text():
+    para = "Words of the story that go on for a while and then some more. " * 3
+    for start, end in (('<div class="search-results">', "</div>"), ("<article>", "</article>"), ("<main>", "</main>"), ("", "")):
+        page = f'<body><nav><a href=x>Home</a></nav>{start}<p class="share-price">{para}one</p><p id="tag">{para}two</p><div class="related-work"><p>{para}three</p></div>{end}<footer>x</footer></body>'
+        assert [t.rsplit(" ", 1)[1] for t in html_text.extract(page).split("\n\n")] == ["one", "two", "three"]
+    for name in ("ad", "ad-slot-2", "cookieNotice", "site-header", "reader comments", "share-buttons"):
+        assert html_text._suspect_name(name), name
+    for name in ("share-price", "search-results", "tag", "article-header", "main-content", "adobe", "menuetto"):
+        assert not html_text._suspect_name(name), name
+
+
+def test_html_windows_decide_between_marks_and_text(monkeypatch):
+    para = "<p>" + "word " * 60 + "</p>"
+    cards = "".join(f"<article><a href=/{k}>Story {k}</a> soon</article>" for k in range(4))
+    assert html_text.extract(f"<body>{cards}<div>{para * 4}</div></body>") == "\n\n".join(["word " * 59 + "word"] * 4)
+    short = "<article><h1>Title</h1><p>A short article it is.</p><form>Name</form><p>End.</p></article><div>Some words beside it</div>"
+    assert html_text.extract(short) == "Title\n\nA short article it is.\n\nEnd."
+    only = f'<body><div class="widget">{para * 2}</div></body>'  # a suspect container with all the text there is
+    assert html_text.extract(only).count("word") == 120
+    stray = f"<body><div>{para}</div><nav>x</nav><nav>y</nav><nav>z</nav><div>far away</div></body>"
+    assert html_text.extract(stray) == "word " * 59 + "word"
+    monkeypatch.setattr(html_text, "regions", lambda lengths, window: [(0, len(lengths))])  # without surge and dive
+    assert html_text.extract(stray) != "word " * 59 + "word"
+
+
+def test_html_unclosed_elements_hide_nothing_more():
+    assert html_text.extract("<p>before</p><noscript><p>inside") == "before\n\ninside"
+    assert html_text.extract("<p>a text</p><iframe src=x><p>b text") == "a text\n\nb text"
+    assert html_text.extract("<p>one text</p>" + "<button>" * 20_000 + "<p>two text") == "one text\n\ntwo text"
+    assert html_text.extract("<p>text</p><script>var x") == "text"
+
+
+def test_html_very_long_page():
+    page = "<article>" + "<p>some words of it</p>" * 40_000 + "</article>"
+    assert html_text.extract(page) == "\n\n".join(["some words of it"] * 40_000)
+
+
+def _windows(sizes, window):
+    """Regions by their definition: text lines belong together if no window between them is empty."""
+    text = [i for i, x in enumerate(sizes) if x]
+    found = []
+    for i in text:
+        if found and i - found[-1][1] <= window:
+            found[-1][1] = i
+        else:
+            found.append([i, i])
+    return [(a, b + 1) for a, b in found]
+
+
+def test_html_pages_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for page in range(150):
+        lines = []  # (html, text or None, length)
+        for k in range(rng.randint(1, 25)):
+            kind = rng.choice(["text", "text", "text", "link", "nav", "form"])
+            words = " ".join(f"w{page}x{k}x{j}" for j in range(rng.choice([1, 2, 8, 30])))
+            lines.append({"text": (f"<div>{words}</div>", words, len(words)), "link": (f"<div><a href=#>{words}</a></div>", words, 0), "nav": (f"<nav>{words}</nav>", None, 0), "form": (f"<form>{words}</form>", None, 0)}[kind])
+        sizes = [n for _, _, n in lines]
+        found = _windows(sizes, 3)
+        peaks = [max(sum(sizes[i : min(i + 3, b)]) for i in range(a, max(a + 1, b - 2))) for a, b in found]
+        kept = [lines[i][1] for (a, b), p in zip(found, peaks) if p >= 0.2 * max(peaks) for i in range(a, b) if lines[i][1]]
+        rows.append((page, "u", "<body>" + "".join(h for h, _, _ in lines) + "</body>"))
+        want[page] = "\n\n".join(kept)
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_html_defined_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "v", "<p>x"), (3, "v", "<p>x"), (None, "w", "<p unclosed"), (4, "z", "a < b &amp; c <i>d</i>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "0 as text", "'q' as n_chars")
