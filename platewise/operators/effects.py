@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import special as S
-from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, cumulative_counts, join_fit, to_long
+from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, cumulative_counts, join_fit, running_total, to_long
 
 
 def _long(df: DataFrame, features: Sequence[str], group: str, control: Column, ids: Sequence[str] = ()) -> DataFrame:
@@ -46,19 +46,22 @@ def robust_effect(df: DataFrame, features: Sequence[str], group: str, control: C
 def mann_whitney(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, p_values: bool = True, exact_up_to: int = 8) -> DataFrame:
     """(group, feature, u, n1, n2[, pvalue, qvalue]): each group against the controls, ranks with ties at their mean.
 
-    Controls are repeated for each group, so keep groups to profiles. p is exact for small untied samples, else the
-    tie-corrected normal with continuity correction; q is over the whole table.
+    u is the sum over the group's rows of the controls below, equal ones at half. The controls are ranked once: each
+    value of a feature knows how many of them are below it and equal to it, and groups are joined by value. p is exact
+    for small untied samples, else the tie-corrected normal with continuity correction; q is over the whole table.
     """
     long = _long(df, features, group, control, [row_id])
-    groups = long.where(~F.col("__ctl")).select(F.col(group).alias("group")).distinct()
-    ctl = long.where("__ctl").select("feature", "value").crossJoin(groups).select("group", "feature", "value", F.lit(True).alias("c"))
-    both = ctl.unionByName(long.where(~F.col("__ctl")).select(F.col(group).alias("group"), "feature", "value", F.lit(False).alias("c")))
-    ties = F.count(F.lit(1)).over(Window.partitionBy("group", "feature", "value"))
-    ranked = both.withColumns({"r": average_rank("value", ["group", "feature"]), "t": ties})
-    agg = ranked.groupBy("group", "feature").agg(
-        F.sum(F.when(~F.col("c"), F.col("r"))).alias("r1"), F.count(F.when(~F.col("c"), 1)).alias("n1"), F.count(F.when(F.col("c"), 1)).alias("n2"), F.sum(F.col("t") * F.col("t") - 1.0).alias("tie")
+    below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ctl = long.groupBy("feature", "value").agg(F.count(F.when(F.col("__ctl"), 1)).alias("eq"))
+    ctl = ctl.withColumn("lt", F.coalesce(F.sum("eq").over(below), F.lit(0)))
+    cube = lambda t: t * t * t - t
+    total = ctl.groupBy("feature").agg(F.sum("eq").alias("n2"), F.sum(cube(F.col("eq").cast("double"))).alias("tie2"))
+    own = long.where(~F.col("__ctl")).groupBy(F.col(group).alias("group"), "feature", "value").agg(F.count(F.lit(1)).alias("k"))
+    eq, k = F.col("eq").cast("double"), F.col("k").cast("double")
+    agg = own.join(ctl, ["feature", "value"]).groupBy("group", "feature").agg(
+        F.sum(k * (F.col("lt") + eq / 2.0)).alias("u"), F.sum("k").alias("n1"), F.sum(cube(eq + k) - cube(eq)).alias("tie1")
     )
-    agg = agg.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0)
+    agg = agg.join(total, "feature").withColumn("tie", F.col("tie1") + F.col("tie2"))
     if not p_values:
         return agg.select("group", "feature", "u", "n1", "n2")
     n = (F.col("n1") + F.col("n2")).cast("double")
@@ -294,24 +297,20 @@ def moderate(s2: np.ndarray, dof: float) -> tuple[np.ndarray, float]:
 
 
 def tail_counts(df: DataFrame, score: str, control: Column, row_id: str) -> DataFrame:
-    """Rows with the numbers of controls and others at or above their score; one ordered window, not a range join."""
-    ge = Window.orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    c = control.cast("long")
-    return df.where(F.col(score).isNotNull()).withColumns({"ctl_ge": F.sum(c).over(ge), "all_ge": F.count(F.lit(1)).over(ge)})
+    """Rows with the numbers of controls and of all rows at or above their score: running totals, not a range join."""
+    return running_total(df, score, {"ctl_ge": control.cast("long"), "all_ge": F.lit(1).cast("long")}, descending=True)
 
 
 def empirical_fdr(df: DataFrame, score: str, control: Column, row_id: str, alpha: float = 0.01, criterion: str = "p") -> DataFrame:
     """(row_id, score, pvalue, qvalue, is_hit) of the non-controls with a score, from the controls' tail shares."""
     rows = tail_counts(df.withColumn("__c", control), score, F.col("__c"), row_id)
-    every = Window.partitionBy()
-    rows = rows.withColumns({"nc": F.sum(F.col("__c").cast("long")).over(every), "nt": F.sum((~F.col("__c")).cast("long")).over(every)})
-    rows = rows.where(~F.col("__c"))
+    counts = df.where(F.col(score).isNotNull()).agg(F.sum(control.cast("long")).alias("nc"), F.sum((~control).cast("long")).alias("nt"))
+    rows = rows.where(~F.col("__c")).crossJoin(counts)  # one row
     p = (F.col("ctl_ge") + 1.0) / (F.col("nc") + 1.0)
     fdr = (F.col("ctl_ge") / F.col("nc")) / ((F.col("all_ge") - F.col("ctl_ge")) / F.col("nt"))
     rows = rows.withColumns({"pvalue": p, "fdr": fdr})
-    low = Window.orderBy(F.col(score).asc()).rangeBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.greatest(F.min("fdr").over(low), F.col("pvalue")))
-    out = rows.withColumn("qvalue", q)
+    low = running_total(rows, score, {"low": F.col("fdr")}, least=["low"])
+    out = low.withColumn("qvalue", F.least(F.lit(1.0), F.greatest("low", "pvalue")))
     hit = F.col("pvalue") <= alpha if criterion == "p" else F.col("qvalue") <= alpha
     return out.select(row_id, score, "pvalue", "qvalue", hit.alias("is_hit"))
 
@@ -324,8 +323,7 @@ def guide_activity(df: DataFrame, features: Sequence[str], reference: Column, gu
     fit = join_fit(long.where("__r"), med, ["feature"]).groupBy("feature").agg((F.median(F.abs(F.col("value") - F.col("m"))) * MAD_SCALE).alias("s"), F.first("m").alias("m")).where("s > 1e-9")
     z = join_fit(long, fit, ["feature"], "inner").groupBy(guide, "__r").agg(F.sqrt(F.avg(F.pow((F.col("value") - F.col("m")) / F.col("s"), F.lit(2.0)))).alias("activity"))
     rows = tail_counts(z, "activity", F.col("__r"), guide)
-    n = F.sum(F.col("__r").cast("long")).over(Window.partitionBy())
-    rows = rows.withColumn("n", n)
+    rows = rows.crossJoin(z.where("activity is not null").agg(F.sum(F.col("__r").cast("long")).alias("n")))  # one row
     return rows.select(guide, "activity", F.when(~F.col("__r"), (F.col("ctl_ge") + 1.0) / (F.col("n") + 1.0)).alias("pvalue"))
 
 

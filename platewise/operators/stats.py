@@ -118,9 +118,11 @@ def average_rank(value: Column | str, by: Sequence[str | Column] = (), descendin
 def benjamini_hochberg(df: DataFrame, p: str = "pvalue", by: Sequence[str] = (), out: str = "qvalue", tie: Sequence[str] = ()) -> DataFrame:
     """q of each p within its family; NULL p stays NULL and is not counted.
 
-    Families are the partitions of one window, so a family is one task of (p, rank) rows; `benjamini_hochberg_large`
-    has none of that limit.
+    Families named by keys are the partitions of one window. A whole table as one family goes through fixed buckets of
+    p (`benjamini_hochberg_large`), so it is not one task.
     """
+    if not by:
+        return benjamini_hochberg_large(df, p, out, tie)
     family = Window.partitionBy(*by, F.col(p).isNull())
     up = family.orderBy(F.col(p).asc(), *tie)
     step = F.least(F.lit(1.0), F.col(p) * F.count(F.lit(1)).over(family) / F.row_number().over(up))
@@ -159,9 +161,15 @@ def bucketed(df: DataFrame, value: str, buckets: int = 64, name: str = "__bucket
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(border, lambda b: b < F.col(value)))))
 
 
-def benjamini_hochberg_large(df: DataFrame, p: str = "pvalue", out: str = "qvalue", tie: Sequence[str] = (), buckets: int = 64) -> DataFrame:
-    """The same for one family of any size: ranks and running minima within buckets, joined over the few buckets."""
-    rows = bucketed(df, p, buckets)
+def p_bucket(p: Column, buckets: int) -> Column:
+    """Ordered bucket of a p-value: equal steps down to 1 / buckets, below that one for each halving."""
+    small = -F.floor(-F.log2(F.greatest(p, F.lit(1e-300))))
+    return F.when(p.isNotNull(), F.when(p < 1.0 / buckets, small - 1).otherwise(F.floor(F.least(p, F.lit(1.0)) * buckets)))
+
+
+def benjamini_hochberg_large(df: DataFrame, p: str = "pvalue", out: str = "qvalue", tie: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """The same for one family of any size: ranks and running minima within buckets of p, joined over the few buckets."""
+    rows = df.withColumn("__bucket", p_bucket(F.col(p), buckets))
     local = Window.partitionBy("__bucket").orderBy(F.col(p).asc(), *tie)
     sizes = rows.where("__bucket is not null").groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     every = Window.orderBy("__bucket")  # over the buckets only
@@ -175,3 +183,21 @@ def benjamini_hochberg_large(df: DataFrame, p: str = "pvalue", out: str = "qvalu
     own = F.min("__step").over(local.rowsBetween(0, Window.unboundedFollowing))
     q = F.when(F.col("__bucket").isNotNull(), F.least(own, F.coalesce("__later", F.lit(1.0))))
     return done.withColumn(out, q).drop("__bucket", "__n", "__before", "__all", "__step", "__later")
+
+
+def running_total(df: DataFrame, value: str, totals: dict[str, Column], descending: bool = False, least: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """Rows of a known value with sums (of `least`: minima) over all rows at or before it in the order of the value.
+
+    Ties count as before. Windows run within buckets of the value and once more over the few buckets, so the order of
+    the whole table is never one task.
+    """
+    rows = bucketed(df.where(F.col(value).isNotNull()).withColumns({f"__x_{k}": x for k, x in totals.items()}), value, buckets)
+    order, around = (F.col(value).desc(), F.col("__bucket").desc()) if descending else (F.col(value).asc(), F.col("__bucket").asc())
+    local = Window.partitionBy("__bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(around).rowsBetween(Window.unboundedPreceding, -1)  # over the buckets only
+    over = lambda k, x: (F.min if k in least else F.sum)(x)
+    each = rows.groupBy("__bucket").agg(*[over(k, F.col(f"__x_{k}")).alias(f"__t_{k}") for k in totals])
+    each = each.select("__bucket", *[over(k, F.col(f"__t_{k}")).over(before).alias(f"__b_{k}") for k in totals])
+    joined = join_fit(rows.withColumns({f"__l_{k}": over(k, F.col(f"__x_{k}")).over(local) for k in totals}), each, ["__bucket"])
+    whole = {k: F.least(f"__l_{k}", f"__b_{k}") if k in least else F.col(f"__l_{k}") + F.coalesce(f"__b_{k}", F.lit(0)) for k in totals}
+    return joined.withColumns(whole).drop("__bucket", *[f"__{c}_{k}" for k in totals for c in "xlb"])

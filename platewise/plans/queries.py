@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -284,6 +286,66 @@ def synthetic(spark, sf):
     return SRC.synthetic_plate(spark)
 
 
+# ---------------------------------------------------------------- files and shapes of profiles
+
+
+def _folder(spark) -> str:
+    """A fresh folder: below spark.checkpoint.dir where the session has one, else of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _named_wells(spark, sf):
+    return T.wells(spark, sf).select(F.col("plate").alias("Metadata_Plate"), F.col("well").alias("Metadata_Well"), F.col("pert").alias("Metadata_Perturbation"), "control", *[F.col(f).alias(f"Cells_AreaShape_{f}") for f in FEATURES])
+
+
+_NAMED = "plate AS Metadata_Plate, well AS Metadata_Well, " + each("@ AS Cells_AreaShape_@")
+_NAMED_FEATURES = each("Cells_AreaShape_@", sep=" ")
+
+
+@query("profiles_round_trip", rsql(f"SELECT {_NAMED} FROM wells WHERE control", _NAMED_FEATURES, prefix=WW))
+def profiles_round_trip(spark, sf):
+    """Written with their description and read again."""
+    path, feats = _folder(spark), tuple(f"Cells_AreaShape_{f}" for f in FEATURES)
+    SRC.write(_named_wells(spark, sf).where("control").drop("control", "Metadata_Perturbation"), SRC.ProfileMeta("well", feats), path)
+    rows, meta = SRC.read(spark, path)
+    return rows.select("Metadata_Plate", "Metadata_Well", *meta.features)
+
+
+@query("read_profiles", rsql(f"SELECT {_NAMED}, pert AS Metadata_Perturbation, ascii(well) - 65 AS Metadata_Row, CAST(substr(well, 2) AS INTEGER) - 1 AS Metadata_Col FROM wells", _NAMED_FEATURES, prefix=WW))
+def read_profiles(spark, sf):
+    """Two files of profiles stacked into one table."""
+    path, w = _folder(spark), _named_wells(spark, sf)
+    for name, part in (("a", w.where("control")), ("b", w.where("not control"))):
+        part.drop("control").write.csv(f"{path}/{name}.csv", header=True)
+    rows, meta = SRC.read_profiles(spark, [f"{path}/a.csv", f"{path}/b.csv"])
+    return rows.select("Metadata_Plate", "Metadata_Well", "Metadata_Perturbation", "Metadata_Row", "Metadata_Col", *meta.features)
+
+
+@query("from_embedding", rsql("SELECT vec_id, label, len(v) AS n_features, v[1] AS first, v[64] AS last FROM e", "first last", prefix=f"WITH e AS ({EMBEDDED})"))
+def from_embedding(spark, sf):
+    rows, _ = SRC.from_embedding(T.embedded(spark, sf), "v", ["vec_id", "label"])
+    return rows.select("vec_id", "label", F.size("features").cast("long").alias("n_features"), F.col("features")[0].alias("first"), F.col("features")[63].alias("last"))
+
+
+@query("image_table", f"{WC} SELECT DISTINCT plate || '|' || well AS Metadata_ImageID, ascii(well) AS ImageQuality_Row, length(plate) AS ImageQuality_Name FROM cells")
+def image_table(spark, sf):
+    c = T.cells(spark, sf).withColumns({"Metadata_ImageID": F.concat_ws("|", "plate", "well"), "ImageQuality_Row": F.when(F.col("row_id") % 3 != 0, F.ascii("well")), "ImageQuality_Name": F.length("plate")})
+    return SRC.image_table(c)
+
+
+@query("read_export", "SELECT CAST(p_size % 10 AS INTEGER) AS ImageNumber, CAST(p_partkey AS BIGINT) AS ObjectNumber, p_retailprice + 0.0 AS Cells_AreaShape_Area, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS Nuclei_AreaShape_Area, 'P' || (p_size % 10) AS Metadata_Plate, CAST((p_size % 10) / 2.0 AS DOUBLE) AS ImageQuality_Focus FROM part")
+def read_export(spark, sf):
+    """A directory of an export: objects, their children and the images."""
+    path, part = _folder(spark), T.read(spark, sf, "part")
+    image, number = (F.col("p_size") % 10).alias("ImageNumber"), F.col("p_partkey")
+    part.select(image, number.alias("ObjectNumber"), F.col("p_retailprice").alias("AreaShape_Area")).write.csv(f"{path}/Cells.csv", header=True)
+    part.where("p_partkey % 4 <> 0").select(image, (number + 7).alias("ObjectNumber"), number.alias("Parent_Cells"), F.col("p_size").alias("AreaShape_Area")).write.csv(f"{path}/Nuclei.csv", header=True)
+    part.select(image).distinct().select("ImageNumber", F.concat(F.lit("P"), F.col("ImageNumber").cast("string")).alias("Metadata_Plate"), (F.col("ImageNumber") / 2.0).alias("ImageQuality_Focus")).write.csv(f"{path}/Image.csv", header=True)
+    out = SRC.read_export(spark, path, "Cells", ["Nuclei"])
+    return out.select("ImageNumber", F.col("ObjectNumber").cast("long").alias("ObjectNumber"), F.col("Cells_AreaShape_Area").cast("double").alias("Cells_AreaShape_Area"), F.col("Nuclei_AreaShape_Area").cast("double").alias("Nuclei_AreaShape_Area"), "Metadata_Plate", F.col("ImageQuality_Focus").cast("double").alias("ImageQuality_Focus"))
+
+
 # ---------------------------------------------------------------- quality control
 
 
@@ -499,7 +561,7 @@ def kruskal(spark, sf):
     return S.kruskal(T.cells(spark, sf), FEATURES, "plate", p_values=False)
 
 
-@query("feature_batch_sensitivity_pvalues")
+@query("feature_batch_sensitivity_pvalues", digits=4)
 def kruskal_p(spark, sf):
     return S.kruskal(T.cells(spark, sf), FEATURES, "plate")
 
@@ -581,9 +643,9 @@ def similarity_top(spark, sf):
     return P.nearest(_pairs(spark, sf), 5).select("i", "j", "sim")
 
 
-@query("similarity_pearson", rsql(f"WITH e AS ({EMBEDDED}), c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM e WHERE vec_id < 100), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM c) SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (a.n * b.n) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id", "sim"))
+@query("similarity_pearson", rsql(f"WITH e AS ({EMBEDDED}), c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM e), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM c) SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (a.n * b.n) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id", "sim"))
 def similarity_pearson(spark, sf):
-    return P.similarity_pairs(T.embedded(spark, sf).where("vec_id < 100"), "vec_id", "v", "pearson").select("i", "j", "sim")
+    return P.similarity_pairs(T.embedded(spark, sf), "vec_id", "v", "pearson").select("i", "j", "sim")
 
 
 @query("replicate_similarity", rsql('SELECT label_i AS "group", median(sim) AS median_sim, count(*) AS n_pairs FROM pairs WHERE i < j AND label_i = label_j GROUP BY label_i', "median_sim", prefix=PAIRS))
@@ -634,13 +696,13 @@ def local_density(spark, sf):
     return P.local_density(pts, "row_id", "x", "y", ["fld"])
 
 
-_NET = "edges AS (SELECT DISTINCT least(l_partkey % 500, l_suppkey) AS ga, greatest(l_partkey % 500, l_suppkey) AS gb FROM lineitem WHERE l_partkey % 500 <> l_suppkey AND l_orderkey % 5 = 0), nodes AS (SELECT ga AS g FROM edges UNION SELECT gb FROM edges), pp AS (SELECT * FROM pairs WHERE i < j AND i IN (SELECT g FROM nodes) AND j IN (SELECT g FROM nodes)), cut AS (SELECT quantile_cont(sim, 0.95) AS cut FROM pp), m AS (SELECT sim >= cut AS top, ga IS NOT NULL AS known FROM pp LEFT JOIN edges ON ga = least(i, j) AND gb = greatest(i, j), cut)"
+_NET = "edges AS (SELECT DISTINCT least(l_partkey % 500, l_suppkey) AS ga, greatest(l_partkey % 500, l_suppkey) AS gb FROM lineitem WHERE l_partkey % 500 <> l_suppkey), nodes AS (SELECT ga AS g FROM edges UNION SELECT gb FROM edges), pp AS (SELECT * FROM pairs WHERE i < j AND i IN (SELECT g FROM nodes) AND j IN (SELECT g FROM nodes)), cut AS (SELECT quantile_cont(sim, 0.95) AS cut FROM pp), m AS (SELECT sim >= cut AS top, ga IS NOT NULL AS known FROM pp LEFT JOIN edges ON ga = least(i, j) AND gb = greatest(i, j), cut)"
 
 
 @query("network_enrichment", rsql("SELECT *, (top_known + 0.5) * (rest_other + 0.5) / ((top_other + 0.5) * (rest_known + 0.5)) AS odds_ratio FROM (SELECT count(*) FILTER (top AND known) AS top_known, count(*) FILTER (top AND NOT known) AS top_other, count(*) FILTER (NOT top AND known) AS rest_known, count(*) FILTER (NOT top AND NOT known) AS rest_other FROM m)", "odds_ratio", prefix=f"{PAIRS}, {_NET}"))
 def network(spark, sf):
     p = _pairs(spark, sf, ordered=False).withColumns({"gene_i": F.col("i"), "gene_j": F.col("j")})
-    li = T.read(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_partkey") % 500).alias("a"), F.col("l_suppkey").alias("b"))
+    li = T.read(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("a"), F.col("l_suppkey").alias("b"))
     return P.network_table(p, "gene", li, p_values=False)
 
 
@@ -847,17 +909,19 @@ def aggregate_guides(spark, sf):
 _BOOT = "med AS (SELECT supp AS guide, count(*) AS n, quantile_disc(d, 0.5) AS med FROM cells WHERE NOT control GROUP BY supp)"
 
 
+def _guide_bootstrap(spark, sf, feature):
+    c = T.cells(spark, sf).withColumn("gene", F.col("supp") % 8)
+    return E.bootstrap_medians(c.withColumn("supp", F.when(F.col("control"), -F.col("supp")).otherwise(F.col("supp"))), feature, "supp", "gene", F.col("control"))
+
+
 @query("bootstrap_lower_medians", rsql("SELECT guide, n, med FROM med", "med", prefix=f"{WC}, {_BOOT}"))
 def bootstrap_medians_only(spark, sf):
-    c = T.cells(spark, sf).where("not control")
-    return c.groupBy(F.col("supp").alias("guide")).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by d)").alias("med"))
+    return _guide_bootstrap(spark, sf, "d").select(F.col("supp").alias("guide"), "n", F.col("median").alias("med"))
 
 
 @query("bootstrap_features")
 def bootstrap_features(spark, sf):
-    c = T.cells(spark, sf).withColumn("gene", F.col("supp") % 8)
-    g = E.bootstrap_medians(c.withColumn("supp", F.when(F.col("control"), -F.col("supp")).otherwise(F.col("supp"))), "p", "supp", "gene", F.col("control"))
-    return E.bootstrap_genes(g, "gene")
+    return E.bootstrap_genes(_guide_bootstrap(spark, sf, "p"), "gene")
 
 
 @query("guide_qc_flags", rsql("SELECT guide, gene, coalesce(pvalue >= 0.3 AND s - sg >= 1 AND (s - sg) * 2 >= k - 1, FALSE) AS inactive, cells < 10 AS thin FROM (SELECT *, coalesce((pvalue < 0.3)::INT, 0) AS sg, count(*) OVER (PARTITION BY gene) AS k, sum(coalesce((pvalue < 0.3)::INT, 0)) OVER (PARTITION BY gene) AS s FROM guides)", "", prefix=WG))
@@ -988,7 +1052,7 @@ def enrich_ulm(spark, sf):
     return N.ulm(_gene_long(spark, sf), _net(spark), "row", p_values=False)
 
 
-@query("enrich_ulm_padj")
+@query("enrich_ulm_padj", digits=5)
 def enrich_ulm_p(spark, sf):
     return N.ulm(_gene_long(spark, sf), _net(spark), "row")
 
@@ -1129,7 +1193,7 @@ def regress_out(spark, sf):
     return _batch().regress_out_one(T.cells(spark, sf), ["q", "p", "d"], "t", ["plate"], F.col("control")).select("row_id", "q", "p", "d")
 
 
-@query("regress_out_several")
+@query("regress_out_several", digits=5)
 def regress_out_several(spark, sf):
     return _batch().regress_out(T.cells(spark, sf), ["p", "d"], ["t", "moa"], ["plate"]).select("row_id", "p", "d")
 
