@@ -174,13 +174,17 @@ def split_half(row_id: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(2)) == 0
 
 
-def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0, replicate: str | None = None) -> DataFrame:
+def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0, replicate: str | None = None, null: str = "permutation", n_pseudogenes: int = 0) -> DataFrame:
     """(group, n, statistic, pvalue, qvalue, is_hit): distance of each group from the controls.
 
     Half of the controls fit centre and whitening, the other half is the null pool. The statistic is the median row
     distance (ks: the Kolmogorov-Smirnov distance to the pool); its null draws the group's size from the group
     together with the held-out controls, whose distances are collected (one number for each). With `replicate`, whole
     units are split and drawn, as many as the group has.
+
+    null="pseudogenes": draws are made of held-out control units alone, as many as the group has, so a group's own rows
+    never enter its null; a group of more units than there are has no p. `n_pseudogenes` such draws of the median
+    number of units are returned as rows `pseudogene_<i>`, each against the others: a screen where nothing is a hit.
     """
     rows = df.withColumns({"__ctl": control, "__fit": split_half(replicate or row_id, seed), "__unit": F.col(replicate or row_id).cast("string")})
     center, white = mahalanobis_fit(rows.where("__ctl and __fit"), features)
@@ -190,6 +194,8 @@ def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Col
     if len(pool) < 2:
         raise ValueError("hit calling needs four controls at least")
 
+    pool_by = [pool[pool_units == u] for u in pd.unique(pool_units)]
+
     def stat(x: np.ndarray) -> float:
         if method == "mahalanobis":
             return float(np.median(x))
@@ -201,7 +207,12 @@ def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Col
         name = str(pdf[group].iloc[0])
         rng = np.random.default_rng([seed, *name.encode()])
         every, obs = np.concatenate([x, pool]), stat(x)
-        if replicate is None:
+        if null == "pseudogenes":
+            k = pdf["__unit"].nunique()
+            if k > len(pool_by):
+                return pd.DataFrame({"group": [name], "n": [len(x)], "statistic": [obs], "pvalue": [np.nan]})
+            draws = (np.concatenate([pool_by[i] for i in rng.choice(len(pool_by), k, replace=False)]) for _ in range(n_permutations))
+        elif replicate is None:
             draws = (rng.choice(every, len(x), replace=False) for _ in range(n_permutations))
         else:
             own = pdf.sort_values(row_id)["__unit"].to_numpy()
@@ -212,7 +223,19 @@ def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Col
         return pd.DataFrame({"group": [name], "n": [len(x)], "statistic": [obs], "pvalue": [(hits + 1.0) / (n_permutations + 1.0)]})
 
     out = scored.where("not __ctl").groupBy(group).applyInPandas(run, "group string, n long, statistic double, pvalue double")
-    return benjamini_hochberg(out, tie=["group"]).withColumn("is_hit", F.col("qvalue") <= threshold)
+    if null == "pseudogenes":
+        out = out.withColumn("pvalue", F.nanvl("pvalue", F.lit(None).cast("double")))
+    out = benjamini_hochberg(out, tie=["group"]).withColumn("is_hit", F.col("qvalue") <= threshold)
+    if null == "pseudogenes" and n_pseudogenes:
+        k = scored.where("not __ctl").groupBy(group).agg(F.count_distinct("__unit").alias("k")).agg(F.percentile_approx("k", F.lit(0.5))).first()[0]
+        rng = np.random.default_rng([seed, 1])
+        k = min(int(k or 1), len(pool_by))
+        made = [np.concatenate([pool_by[i] for i in rng.choice(len(pool_by), k, replace=False)]) for _ in range(n_pseudogenes)]
+        scores = np.array([stat(x) for x in made])
+        rows = [(f"pseudogene_{i}", len(x), float(s), float((1 + (np.delete(scores, i) >= s - 1e-12).sum()) / n_pseudogenes)) for i, (x, s) in enumerate(zip(made, scores))]
+        fake = df.sparkSession.createDataFrame(rows, "group string, n long, statistic double, pvalue double")
+        out = out.unionByName(fake.withColumns({"qvalue": F.lit(None).cast("double"), "is_hit": F.lit(None).cast("boolean")}))  # of no family
+    return out
 
 
 def hellinger(df: DataFrame, features: Sequence[str], group: str, control: Column, regularization: float = 1e-6) -> DataFrame:

@@ -175,8 +175,24 @@ def silhouette_matrix(d: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def cluster(profiles: DataFrame, name: str, features: Sequence[str], metric: str = "correlation", method: str = "average", n_clusters: int | None = None, cut: float | None = None, max_rows: int = 5000) -> tuple[DataFrame, np.ndarray]:
-    """(name, cluster) and the linkage of consensus profiles; the number of clusters by silhouette if not given.
+def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
+    """Agreement of two labelings of the same rows, 1 if equal, 0 as by chance."""
+    _, x = np.unique(a, return_inverse=True)
+    _, y = np.unique(b, return_inverse=True)
+    table = np.zeros((x.max() + 1, y.max() + 1))
+    np.add.at(table, (x, y), 1)
+    pairs = lambda n: (n * (n - 1) / 2).sum()
+    rows, cols, both, every = pairs(table.sum(1)), pairs(table.sum(0)), pairs(table), len(a) * (len(a) - 1) / 2
+    chance = rows * cols / every
+    most = (rows + cols) / 2
+    return float((both - chance) / (most - chance)) if most != chance else 1.0
+
+
+def cluster(profiles: DataFrame, name: str, features: Sequence[str], metric: str = "correlation", method: str = "average", n_clusters: int | None = None, cut: float | None = None, max_rows: int = 5000, criterion: str = "silhouette", n_draws: int = 10, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(name, cluster) and the linkage of consensus profiles; the number of clusters by `criterion` if not given.
+
+    silhouette: the largest mean silhouette. stability: the largest mean adjusted Rand index between the clusters of all
+    profiles and those of random four fifths of them. The smaller number wins ties.
 
     Clustering needs all distances, so it takes consensus profiles of a checked number (max_rows).
     """
@@ -198,7 +214,20 @@ def cluster(profiles: DataFrame, name: str, features: Sequence[str], metric: str
     elif n_clusters is not None:
         labels = cut_tree(z, len(d), n_clusters)
     else:
-        tries = [(silhouette_matrix(d, cut_tree(z, len(d), k)), -k) for k in range(2, min(len(d) - 1, 25) + 1)]
+        ks = range(2, min(len(d) - 1, 25) + 1)
+        if criterion == "stability":
+            rng, agree = np.random.default_rng(seed), dict.fromkeys(ks, 0.0)
+            for _ in range(n_draws):
+                part = np.sort(rng.choice(len(d), max(2, len(d) * 4 // 5), replace=False))
+                own = linkage(d[np.ix_(part, part)], method)
+                for k in ks:
+                    if k < len(part):
+                        agree[k] += adjusted_rand(cut_tree(z, len(d), k)[part], cut_tree(own, len(part), k)) / n_draws
+            tries = [(round(v, 12), -k) for k, v in agree.items()]
+        elif criterion == "silhouette":
+            tries = [(silhouette_matrix(d, cut_tree(z, len(d), k)), -k) for k in ks]
+        else:
+            raise ValueError("criterion is silhouette or stability")
         labels = cut_tree(z, len(d), -max(tries)[1]) if tries else np.zeros(len(d), int)
     kind = dict(profiles.dtypes)[name]
     out = profiles.sparkSession.createDataFrame(pd.DataFrame({name: pdf[name], "cluster": labels.astype(int)}), f"`{name}` {kind}, cluster long")

@@ -164,7 +164,7 @@ def bucketed(df: DataFrame, value: str, buckets: int = 64, name: str = "__bucket
 def p_bucket(p: Column, buckets: int) -> Column:
     """Ordered bucket of a p-value: equal steps down to 1 / buckets, below that one for each halving."""
     small = -F.floor(-F.log2(F.greatest(p, F.lit(1e-300))))
-    return F.when(p.isNotNull(), F.when(p < 1.0 / buckets, small - 1).otherwise(F.floor(F.least(p, F.lit(1.0)) * buckets)))
+    return F.when(p.isNotNull(), F.when(F.isnan(p), buckets + 1).when(p < 1.0 / buckets, small - 1).otherwise(F.floor(F.least(p, F.lit(1.0)) * buckets)))
 
 
 def benjamini_hochberg_large(df: DataFrame, p: str = "pvalue", out: str = "qvalue", tie: Sequence[str] = (), buckets: int = 256) -> DataFrame:

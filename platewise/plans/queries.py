@@ -346,6 +346,27 @@ def read_export(spark, sf):
     return out.select("ImageNumber", F.col("ObjectNumber").cast("long").alias("ObjectNumber"), F.col("Cells_AreaShape_Area").cast("double").alias("Cells_AreaShape_Area"), F.col("Nuclei_AreaShape_Area").cast("double").alias("Nuclei_AreaShape_Area"), "Metadata_Plate", F.col("ImageQuality_Focus").cast("double").alias("ImageQuality_Focus"))
 
 
+@query("stamp_profiles", "SELECT resolution, grouped_by, features FROM (VALUES ('well', 'Metadata_Plate,Metadata_Well', 'Cells_AreaShape_q,Cells_AreaShape_p,Cells_AreaShape_d,Cells_AreaShape_t')) v(resolution, grouped_by, features)")
+def stamp_profiles(spark, sf):
+    m = SRC.stamp(_named_wells(spark, sf), "well", grouped_by=["Metadata_Plate", "Metadata_Well"])
+    return spark.createDataFrame([(m.resolution, ",".join(m.grouped_by), ",".join(m.features))], "resolution string, grouped_by string, features string")
+
+
+@query("read_edges", "SELECT DISTINCT CAST(least(l, r) AS VARCHAR) AS a, CAST(greatest(l, r) AS VARCHAR) AS b FROM (SELECT 'g' || (p_partkey % 50) AS l, 'g' || (p_size % 50) AS r FROM part) WHERE l <> r")
+def read_edges(spark, sf):
+    path = f"{_folder(spark)}/edges.tsv"
+    T.read(spark, sf, "part").select(F.concat(F.lit("g"), (F.col("p_partkey") % 50).cast("string")).alias("A"), F.concat(F.lit("g"), (F.col("p_size") % 50).cast("string")).alias("B")).write.csv(path, header=True, sep="\t")
+    return SRC.read_edges(spark, path, "A", "B")
+
+
+@query("read_complexes", "SELECT DISTINCT p_brand AS source, 'g' || (p_size % 40) AS target, 1.0::DOUBLE AS weight FROM part")
+def read_complexes(spark, sf):
+    path, part = f"{_folder(spark)}/complexes.tsv", T.read(spark, sf, "part")
+    genes = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("g"), (F.col("p_size") % 40).cast("string")))), ";")
+    part.groupBy(F.col("p_brand").alias("name")).agg(genes.alias("members")).write.csv(path, header=True, sep="\t")
+    return SRC.read_complexes(spark, path, "name", "members")
+
+
 # ---------------------------------------------------------------- quality control
 
 
@@ -855,6 +876,11 @@ def hits_replicates(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, replicate="batch")
 
 
+@query("hit_calling_pseudogenes")
+def hits_pseudogenes(spark, sf):
+    return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, replicate="batch", null="pseudogenes", n_pseudogenes=20)
+
+
 @query("hit_calling_ks")
 def hits_ks(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", "ks", 200)

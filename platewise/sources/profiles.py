@@ -251,3 +251,25 @@ def synthetic_plate(spark: SparkSession, n_plates: int = 2, n_wells: int = 24, n
             v = v + F.when(F.col("Metadata_Control"), 0.0).otherwise(effect)
         cols[f"Cells_AreaShape_F{k}"] = F.when(F.rand(seed * 1000 + 500 + k) >= missing, v) if missing else v
     return base.withColumns(cols).drop("__p")
+
+
+def stamp(df: DataFrame, resolution: str, feature_kind: str = "measurement", features: Sequence[str] | None = None, object_type: str | None = None, grouped_by: Sequence[str] = (), perturbation: str | None = None) -> ProfileMeta:
+    """Declare what a table is; columns that are named must exist, features default to the numeric measurements."""
+    feats = tuple(features if features is not None else split_columns(df)[1])
+    named = [*feats, *grouped_by, *([perturbation] if perturbation else [])]
+    missing = [c for c in named if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    return ProfileMeta(resolution, feats, feature_kind, tuple(grouped_by), object_type, perturbation)
+
+
+def read_edges(spark: SparkSession, path: str, left: str, right: str, sep: str = "\t") -> DataFrame:
+    """(a, b) of an interaction file: undirected, without loops and repeats."""
+    t = spark.read.csv(path, header=True, sep=sep).select(F.col(left).alias("l"), F.col(right).alias("r")).where("l is not null and r is not null and l <> r")
+    return t.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+
+def read_complexes(spark: SparkSession, path: str, name: str, members: str, sep: str = "\t", within: str = ";") -> DataFrame:
+    """(source, target, weight) of a file of complexes with their members in one column."""
+    t = spark.read.csv(path, header=True, sep=sep).select(F.col(name).alias("source"), F.explode(F.split(members, within)).alias("target"))
+    return t.select("source", F.trim("target").alias("target"), F.lit(1.0).alias("weight")).where("target <> ''").distinct()

@@ -287,3 +287,42 @@ def test_correlating_operators_take_constant_features(spark):
     assert A.spearman_within(df, "b", "c", ["g"]).where("rho is not null").count() == 0
     assert D.spearman(df, "compound", "dose", "b").first()["rho"] is None
     assert D.dose_features(df, ["a", "c"], "compound", "dose", F.col("control"), 0.1, 2).count() == 2
+
+
+def test_pseudogene_null_draws_controls_only(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "ctl" if i < 120 else f"g{i % 6}", i < 120, i % 40 if i < 120 else 100 + i // 6, *(rng.normal(0.0 if i < 120 or i % 6 else 6.0, 1.0, 3).tolist())) for i in range(180)]
+    df = spark.createDataFrame(rows, "id long, grp string, control boolean, unit long, a double, b double, c double")
+    got = {r["group"]: r for r in E.hit_calling(df, ["a", "b", "c"], "grp", F.col("control"), "id", n_permutations=199, replicate="unit", null="pseudogenes", n_pseudogenes=30).collect()}
+    assert got["g0"]["pvalue"] == 0.005 and got["g0"]["is_hit"]
+    assert sum(got[f"g{k}"]["pvalue"] > 0.05 for k in range(1, 6)) >= 3
+    fake = [r["pvalue"] for k, r in got.items() if k.startswith("pseudogene_")]
+    assert len(fake) == 30 and 0.3 < np.mean(fake) < 0.75
+    few = E.hit_calling(df.withColumn("unit", F.when(F.col("control"), F.col("unit") % 4).otherwise(F.col("unit"))), ["a", "b", "c"], "grp", F.col("control"), "id", n_permutations=9, replicate="unit", null="pseudogenes")
+    assert few.where("pvalue is not null").count() == 0  # more units than controls have
+
+
+def test_stamp_and_resource_files(spark, tmp_path):
+    df = spark.createDataFrame([("P", "A01", 1.0)], "Metadata_Plate string, Metadata_Well string, Cells_AreaShape_Area double")
+    meta = SRC.stamp(df, "well", grouped_by=["Metadata_Plate"])
+    assert meta.features == ("Cells_AreaShape_Area",) and meta.grouped_by == ("Metadata_Plate",)
+    with pytest.raises(ValueError):
+        SRC.stamp(df, "well", grouped_by=["nothing"])
+    (tmp_path / "e.tsv").write_text("A\tB\nx\ty\ny\tx\nz\tz\n\tq\n")
+    assert [tuple(r) for r in SRC.read_edges(spark, str(tmp_path / "e.tsv"), "A", "B").collect()] == [("x", "y")]
+    (tmp_path / "c.tsv").write_text("name\tgenes\nC1\ta; b;\nC1\ta\n")
+    assert sorted(tuple(r) for r in SRC.read_complexes(spark, str(tmp_path / "c.tsv"), "name", "genes").collect()) == [("C1", "a", 1.0), ("C1", "b", 1.0)]
+
+
+def test_clusters_by_stability(spark):
+    rng = np.random.default_rng(1)
+    centres = np.array([[9, 0, 0, 0], [0, 9, 0, 0], [0, 0, 9, 0]], float)
+    rows = [(f"n{i:02d}", *(centres[i % 3] + rng.normal(0, 0.3, 4)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "name string, a double, b double, c double, d double")
+    for criterion in ("stability", "silhouette"):
+        got = {r["name"]: r["cluster"] for r in M.cluster(df, "name", list("abcd"), criterion=criterion)[0].collect()}
+        assert len(set(got.values())) == 3 and all(len({got[f"n{i:02d}"] for i in range(k, 30, 3)}) == 1 for k in range(3))
+    assert M.adjusted_rand(np.array([0, 0, 1, 1]), np.array([5, 5, 2, 2])) == 1.0
+    assert abs(M.adjusted_rand(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])) + 0.5) < 1e-12
+    with pytest.raises(ValueError):
+        M.cluster(df, "name", list("abcd"), criterion="other")
