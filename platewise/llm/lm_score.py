@@ -214,13 +214,18 @@ class Trie:
         at = self.words.find(hashes)
         return np.where(at >= 0, self.head + at, -1)
 
-    def pair(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Index of each pair among the words that stood before its word, or -1."""
-        out = np.full(len(word), -1, np.int64)
-        at = np.flatnonzero((word >= 0) & (before >= 0))
-        if len(at) and self.pairs.n:
-            w = word[at]
-            out[at] = self.pairs.find(w * (self.head + self.words.n) + before[at], self.pointers.get(w).astype(np.int64), self.pointers.get(w + 1).astype(np.int64))
+    def pair(self, word: np.ndarray, before: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Index of each pair among the words that stood before its word, or -1; sizes: how many words before each word."""
+        sizes = np.ones(len(word), np.int64) if sizes is None else sizes
+        out = np.full(len(before), -1, np.int64)
+        if not self.pairs.n or not len(before):
+            return out
+        w = np.maximum(word, 0)  # the range of a word is read once
+        first, stop = self.pointers.get(w).astype(np.int64), self.pointers.get(w + 1).astype(np.int64)
+        some = np.repeat((word >= 0) & (first < stop), sizes)
+        at = np.flatnonzero(some & (before >= 0))
+        of = np.repeat(np.arange(len(word)), sizes)[at]
+        out[at] = self.pairs.find(w[of] * (self.head + self.words.n) + before[at], first[of], stop[of])
         return out
 
     def code(self, pair: np.ndarray) -> np.ndarray:
@@ -360,6 +365,12 @@ def _shares(route: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of the runs of an ascending sequence."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return x[first], np.diff(np.append(first, len(x))).astype(np.uint32)
+
+
 _RARE = 65_535  # stands for a word that is not in the head; its hash follows apart
 
 
@@ -370,8 +381,7 @@ def _pack(block: Block, p: Pairs, shards: int, counts: tuple | None) -> Iterator
         own = order[borders[s] : borders[s + 1]]  # ascending by word, as the sort is stable
         if not len(own):
             continue
-        words, first = np.unique(p.word[own], return_index=True)
-        size = np.diff(np.append(first, len(own))).astype(np.uint32)
+        words, size = _runs_of(p.word[own])
         before = p.before[own]
         w, v = p.number[words], p.number[before]
         rare_w, rare_v = words[w < 0], before[v < 0]
@@ -531,7 +541,7 @@ def answer(trie: Trie | None, data: bytes) -> bytes:
     if trie is None:
         return b"\0" * (2 * len(before) + 8 * len(rare_w))
     own = trie.word(rare_w)
-    codes = trie.code(trie.pair(np.repeat(_numbers(marks, own), sizes), _numbers(before, trie.word(rare_v))))
+    codes = trie.code(trie.pair(_numbers(marks, own), _numbers(before, trie.word(rare_v)), sizes))
     return codes.tobytes() + trie.count(own).tobytes()
 
 
@@ -594,7 +604,7 @@ def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]],
     codes = np.zeros(len(p.keys), np.uint16)
     for s, got in answers:
         own = order[borders[s] : borders[s + 1]]
-        words = np.unique(p.word[own])
+        words, _ = _runs_of(p.word[own])
         rare = words[p.number[words] < 0]
         if len(got) != 2 * len(own) + 8 * len(rare):
             raise RuntimeError(_CHANGED)
