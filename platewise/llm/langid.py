@@ -198,10 +198,12 @@ def sample(docs: DataFrame, per_lang: int, max_bytes: int, max_total: int) -> di
     """Texts to learn from. Only they reach the driver: max_total bytes of UTF-8 at most, times 4 for wide characters."""
     learns = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = learns.select("doc_id", "lang", (F.octet_length("text") > max_bytes).alias("long"))
-    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    order = ["long", F.xxhash64("doc_id"), "doc_id"]
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16))).orderBy(*order)
     langs = max(1, rows.select("lang").distinct().count())
     n = max(1, min(per_lang, max_total // (max_bytes * langs)))
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("doc_id", "lang").distinct()
+    few = rows.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= n).drop("k")  # 16 n of a language at most
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= n).select("doc_id", "lang").distinct()
     cut = learns.select("doc_id", "lang", F.substring("text", 1, max_bytes).alias("text"))
     out: dict[str, list[str]] = {}
     for lang, text in sorted(cut.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect()):

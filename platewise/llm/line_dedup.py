@@ -167,7 +167,7 @@ def with_mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def apply_bitmaps(docs: DataFrame, maps: DataFrame, digest_only: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text or kept_sha256) of all rows of docs (doc_id, mark, text)."""
     maps = maps.select(F.col("doc_id").alias("m_id"), F.col("mark").alias("m_mark"), F.col("n_lines").alias("m_lines"), "keep")
-    both = docs.join(maps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mark") == F.col("m_mark")), "left")
+    both = docs.join(maps, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mark") == F.col("m_mark")), "left")
     name = "kept_sha256" if digest_only else "text"
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), (name, pa.string())])
 

@@ -6,12 +6,14 @@ modification dates are, or if neither has a validator. The headers of a fitting
 for the headers that describe the stored body or one connection.
 
 All of it is DataFrame operations. The as-of join runs in two levels so that one URL with a third of all rows does not
-meet in one task: within (URL, time bucket) a window finds the last response; a second window over one row for each
-bucket carries it to later buckets.
+meet in one task. Records are range-partitioned by (URL, time, id) once, so a busy URL, or a busy URL and second, spreads
+over many parts. Within (URL, time bucket, part) a window finds the last response; a second window over one row for each
+of them carries it to later ones.
 
 Defined results: a revisit without an earlier response is `orphan`, one that does not fit is `changed`; both keep their
-own headers. A null or empty URL resolves to nothing. Records of equal time are ordered by id. Null headers count as
-none; further columns are ignored.
+own headers. A null or empty URL resolves to nothing. Records of equal time are ordered by id; a null time is before all
+others; repeated records are resolved each, and of responses with equal time and id any may be taken. Null headers count
+as none; an empty table gives an empty result; further columns, also clashing ones, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.llm.common import materialize
+
 #: Headers of a 304 that never replace stored ones.
 KEPT = ("content-encoding", "content-length", "content-range", "content-type", "content-md5", "transfer-encoding", "connection", "keep-alive", "te", "trailer", "upgrade", "proxy-authenticate", "proxy-authorization")
 #: Query parameters that do not change what a URL shows.
@@ -50,18 +54,21 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     lower-case names. outcome: resolved, changed or orphan.
     """
     empty = F.create_map().cast("map<string,string>")
-    rows = records.select(
-        "record_id", "kind", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.coalesce("headers", empty).alias("headers"), F.floor(F.col("ts") / bucket_seconds).alias("bucket")
-    )
+    ts = F.coalesce("ts", F.lit(-(1 << 60)).cast("long"))
+    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical_url"), ts.alias("ts"), F.coalesce("headers", empty).alias("headers"))
+    rows = rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    # written once, as the ranges of two scans need not be the same
+    rows = materialize(rows.repartitionByRange("canonical_url", "ts", "record_id").withColumn("part", F.spark_partition_id()))
+    key = ["canonical_url", "bucket", "part"]
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
     usable = rows.where(F.col("canonical_url") != "").withColumn("full", full)
-    inside = Window.partitionBy("canonical_url", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     here = usable.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'").drop("full", "ts")
-    latest = usable.where("full is not null").groupBy("canonical_url", "bucket").agg(F.max_by("full", F.struct("ts", "record_id")).alias("last_full"))
-    buckets = usable.select("canonical_url", "bucket").distinct().join(latest, ["canonical_url", "bucket"], "left")
-    before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    latest = usable.where("full is not null").groupBy(*key).agg(F.max_by("full", F.struct("ts", "record_id")).alias("last_full"))
+    buckets = usable.select(*key).distinct().join(latest, key, "left")
+    before = Window.partitionBy("canonical_url").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.withColumn("far", F.last("last_full", ignorenulls=True).over(before)).drop("last_full")
-    found = here.join(carried, ["canonical_url", "bucket"], "left").withColumn("full", F.coalesce("near", "far"))
+    found = here.join(carried, key, "left").withColumn("full", F.coalesce("near", "far"))
     tag, stored_tag = _strong(_header("headers", "etag")), _strong(F.col("full.headers")["etag"])
     date, stored_date = _header("headers", "last-modified"), F.col("full.headers")["last-modified"]
     fits = F.when(tag.isNotNull(), F.coalesce(tag == stored_tag, F.lit(False))).when(date.isNotNull(), F.coalesce(date == stored_date, F.lit(False))).otherwise(stored_tag.isNull() & stored_date.isNull())
