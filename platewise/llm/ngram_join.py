@@ -5,18 +5,21 @@ decide a pair are multiplied: with n-grams ordered from rare to frequent, two se
 k n-grams among their first a - ceil(t a) + k. k is a sixteenth of the size a of a set, well above what sets share by
 chance, so pairs that meet in a few common n-grams never pass. The product sums the overlap of each pair over these columns, one block of columns in each task,
 discards pairs that cannot reach the Jaccard by their sizes and places or whose overlap is below k, and verifies the
-rest on the whole sets.
+rest on the whole sets. Columns with the same rows are multiplied once, and a column of many rows in tiles of TILE x TILE
+rows, so no task holds the square of a hot column.
 
 What is asked for is each document's component, so links inside a known component need not be found again:
 1. columns first link every row to the hub that it shares most of them with (a star, no more pairs than
-   rows) and the verified links are closed to components;
+   rows) and the verified links are closed to components; this goes on with other hubs, over columns of several
+   components, for `rounds` rounds or until a round links nothing;
 2. the product then runs over all columns for pairs of different components, each over the first n-grams that a link of
    its two sizes must share. A large group of near copies has become
    one component by then and costs no square of its size. No pair is dropped otherwise: every link between two
    components passes the exact bounds above.
 
-The order is any fixed one for right results. It puts a list of the most frequent n-grams (`frequent` at most, found
-by counting all texts in blocks) last and sorts by hash otherwise.
+The order of prefixes is any fixed one for right results. It puts a list of the most frequent n-grams (`frequent` at most,
+found by counting all texts in blocks) last and sorts by hash otherwise. Within prefixes cells are ordered again, by the
+number of their rows.
 
 Defined results: words are split at ASCII white space with A-Z lowered; fewer words than n form one n-gram; null or
 empty texts have the empty set and link with nothing; rows with a null id get a null component and link nothing;
@@ -187,18 +190,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _possible(num: int, den: int) -> Column:
     """Whether a pair that meets in a cell can still have the Jaccard, by sizes n, places p and shared cells before q.
 
-    Common n-grams before this one are shared cells of both, those after it lie behind both places.
+    Common n-grams before this one are shared cells of both, those after it lie behind both places in the prefixes. As
+    prefixes begin the same order, those of the set whose prefix ends first are all in the other's prefix or behind it.
     """
-    most = F.least("qa", "qb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    ma, mb = _m(F.col("na"), num, den), _m(F.col("nb"), num, den)
+    most = F.least("qa", "qb") + F.least(ma - F.col("pa"), mb - F.col("pb")) + F.greatest(F.col("na") - ma, F.col("nb") - mb)
     return most * den >= (F.col("na") + F.col("nb") - most) * num
 
 
+def _m(n: Column, num: int, den: int) -> Column:
+    """Length of the prefix of a set of size n."""
+    return F.least(n, n - F.floor((n * num + den - 1) / den) + _k(n))
+
+
 def _early(num: int, den: int) -> Column:
-    """Whether a cell lies among the first n-grams of both sets that a link of these two sizes must share _few of."""
+    """Whether a cell lies among the first n-grams of both prefixes that a link of these two sizes must share _few of.
+
+    The prefix that ends first misses n - o n-grams of a link of overlap o at most, so two prefixes share r = m - (n - o)
+    for one of the sets, and in any order of a prefix few common ones lie among the first m - r + few. The order here is
+    by the number of rows, so most of these are cells of one set alone.
+    """
     both = F.col("na") + F.col("nb")
     overlap = F.floor((both * num + num + den - 1) / (num + den))
     few = _few(F.least("na", "nb"))
-    return (F.col("pa") < F.col("na") - overlap + few) & (F.col("pb") < F.col("nb") - overlap + few)
+    ma, mb = _m(F.col("na"), num, den), _m(F.col("nb"), num, den)
+    shared = F.least(ma - F.col("na"), mb - F.col("nb")) + overlap
+    return (F.col("pa") < ma - shared + few) & (F.col("pb") < mb - shared + few)
 
 
 def _few(n: Column) -> Column:
@@ -217,7 +234,34 @@ def _k(n: Column) -> Column:
     return (n / 16).cast("long") + 1
 
 
-def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, frequent: int = 32_768, star_from: int = 2, rows_id: str = "doc_id") -> DataFrame:
+TILE = 512
+
+
+def _placed(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Cells with the component of their row."""
+    return cells.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Cells of columns whose rows are in different components."""
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
+    return placed.join(mixed, "gram", "left_semi")
+
+
+def _merged(cells: DataFrame) -> DataFrame:
+    """Columns with the same rows as one column: (x, y, rows, tiles, id, n, component, p, q, weight).
+
+    Near copies share hundreds of n-grams, most of them with the same holders. Such columns are one with a weight. x, y:
+    128 bits over the holders; p, q: of the first of the merged n-grams, which is the same n-gram for every row. What a
+    pair must fulfil at each common n-gram it must fulfil at this one.
+    """
+    cells = cells.select("gram", "id", "n", "p", "q", "component")
+    holders = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = cells.join(holders, "gram").groupBy("x", "y", "rows", "id").agg(F.min(F.struct("p", "q")).alias("first"), F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min("component").alias("component"))
+    return one.select("x", "y", "rows", F.ceil(F.col("rows") / TILE).alias("tiles"), "id", "n", "component", "first.p", "first.q", "weight")
+
+
+def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, frequent: int = 32_768, star_from: int = 2, rows_id: str = "doc_id", rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text); Jaccard num / den or more links."""
     spark = docs.sparkSession
     docs = docs.select(F.col(rows_id).cast("long").alias("doc_id"), "text")
@@ -228,37 +272,48 @@ def ngram_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     linkable = profiles.where("n > 0 and doc_id is not null")
     classes = materialize(linkable.groupBy("sig", "n").agg(F.min("doc_id").alias("rep")))
 
-    # cells of the columns that more than one row has; p: place in the set's order, q: such cells before it, c: all of them
+    # cells of the columns that more than one row has, in the order of these numbers; q: such cells before it, c: all of
+    # them, p: place in the prefix when the cells of one row alone come first
     rows = _prefixes(docs, n, shared, num, den).join(classes.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"])
-    cells = rows.select(F.col("doc_id").alias("id"), "n", F.posexplode("grams").alias("p", "gram"))
+    cells = rows.select(F.col("doc_id").alias("id"), "n", F.explode("grams").alias("gram"))
     columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     own = Window.partitionBy("id")
-    cells = cells.join(columns, "gram").withColumns({"q": F.row_number().over(own.orderBy("p")) - 1, "c": F.count(F.lit(1)).over(own)})
+    cells = cells.join(columns, "gram").withColumns({"q": F.row_number().over(own.orderBy("rows", "gram")) - 1, "c": F.count(F.lit(1)).over(own)})
+    cells = cells.withColumn("p", _m(F.col("n"), num, den) - F.col("c") + F.col("q"))
     # a set that shares fewer columns with others than k has no partner
     cells = materialize(cells.where(F.col("c") >= _k(F.col("n"))))
     able = cells.where("q = 0").select("id")
     sets = materialize(_sets(docs.join(able.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), n))
 
-    # 1. stars of the columns with many rows: the hub is the set with most shared cells, the least edited of its kind
-    many = cells.where(F.col("rows") >= star_from)
-    hubs = many.groupBy("gram").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa")), F.struct("c", -F.col("id"))).alias("h")).select("gram", "h.*")
-    spokes = many.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"))
-    star = spokes.join(hubs, "gram").where((F.col("a") != F.col("b")) & _possible(num, den))
-    star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("n")).where(F.col("c") * 2 >= _k(F.col("n")))
-    star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    links = materialize(_verified(star.select("a", "b"), sets, num, den))
-    known = materialize(components(links))
+    # 1. stars: of each column the first hub is the set with most shared cells (the least edited of its kind), later
+    # ones are any; rounds go on while they link components
+    links, known = None, None
+    for turn in range(rounds):
+        many = cells.where(F.col("rows") >= star_from).withColumn("component", F.col("id")) if known is None else _mixed(_placed(cells, known))
+        least = F.struct("c", -F.col("id")) if known is None else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        hubs = many.groupBy("gram").agg(F.max_by(F.struct(*[F.col(x).alias(y) for x, y in (("id", "a"), ("n", "na"), ("p", "pa"), ("q", "qa"), ("component", "ca"))]), least).alias("h")).select("gram", "h.*")
+        spokes = many.select("gram", *[F.col(x).alias(y) for x, y in (("id", "b"), ("n", "nb"), ("p", "pb"), ("q", "qb"), ("component", "cb"))])
+        star = spokes.join(hubs, "gram").where((F.col("ca") != F.col("cb")) & _possible(num, den))
+        star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("n")).where(F.col("c") * 2 >= _k(F.col("n")))
+        star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+        found = materialize(_verified(star.select("a", "b"), sets, num, den))
+        if known is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        known = materialize(components(links))
 
     # 2. the product over pairs of different components
     bits = [f"x{i}" for i in range(4)]
-    placed = cells.join(known, "id", "left").select("gram", "id", "n", "p", "q", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
-    placed = materialize(placed.join(mixed, "gram", "left_semi").join(sets.select("id", *bits), "id"))
+    placed = materialize(_merged(_mixed(_placed(cells, known))).join(sets.select("id", *bits), "id"))
     left, right = (
-        placed.select("gram", *[F.col(x).alias(y + s) for x, y in (("id", ""), ("n", "n"), ("p", "p"), ("q", "q"), ("component", "c"))], *[F.col(x).alias(x + s) for x in bits]) for s in "ab"
+        placed.select("x", "y", "rows", "tiles", "weight", *[F.col(x).alias(y + s) for x, y in (("id", ""), ("n", "n"), ("p", "p"), ("q", "q"), ("component", "c"))], *[F.col(x).alias(x + s) for x in bits]) for s in "ab"
     )
-    product = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _early(num, den) & _possible(num, den) & _close(num, den))
-    pairs = product.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("na", "nb")).alias("n"))
+    # a column of many rows is multiplied in tiles, each its own key
+    own = lambda s: F.pmod(F.xxhash64(s), "tiles")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    left, right = left.select("*", own("a").alias("ta"), every.alias("tb")), right.drop("weight").select("*", every.alias("ta"), own("b").alias("tb"))
+    product = left.join(right, ["x", "y", "rows", "ta", "tb"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _early(num, den) & _possible(num, den) & _close(num, den))
+    pairs = product.groupBy("a", "b").agg(F.sum("weight").alias("overlap"), F.min(F.least("na", "nb")).alias("n"))
     pairs = pairs.where(F.col("overlap") >= _few(F.col("n")))
     more = materialize(_verified(pairs.select("a", "b"), sets, num, den))
     whole = components(more.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v"))))

@@ -379,6 +379,30 @@ def test_decontamination_of_edited_copies_beside_verbatim_ones(spark, frame):
     assert {r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark, frame):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmno", k=5)) for _ in range(400)]
+    items = [(k, rng.choices(words, k=rng.randint(12, 30))) for k in range(8)]
+    rows = []
+    for i in range(60):
+        w = rng.choices(words, k=rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            copy = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(copy))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            at = rng.randint(0, len(w))
+            w[at:at] = copy[rng.randint(0, 6) :]
+        rows.append((i, w))
+    rows.append((100, rng.choices(words, k=30_000) + items[0][1] + rng.choices(words, k=10)))  # a very long text
+    grams = lambda w: {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+    code = {x: j for j, x in enumerate(words)}
+    score = lambda item, w: _align(item, w) if len(w) < 1000 else decontaminate.smith_waterman(np.array([code[x] for x in item]), np.array([code[x] for x in w]))[0]
+    want = {(i, k) for i, w in rows for k, item in items if grams(w) & grams(item) and score(item, w) >= 0.4 * 2 * len(item)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = decontaminate.contaminated(frame([(i, " ".join(w)) for i, w in rows]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 20
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
