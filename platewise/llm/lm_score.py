@@ -322,8 +322,9 @@ class Pairs:
         number = self.number[self.word]
         self.route = _mix(h[self.word] + np.where((number >= 0) & (number < self.SPLIT), part, _U(0)))
 
-    def digest(self) -> int:
-        return int(np.bitwise_xor.reduce(self.route, initial=_U(len(self.keys))).view(np.int64))
+    def digest(self, own: np.ndarray) -> int:
+        """Of some of the pairs; it travels with the questions and back, to be compared with what the texts say then."""
+        return int(np.bitwise_xor.reduce(self.route[own], initial=_U(len(own))).view(np.int64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -385,7 +386,7 @@ def _pack(block: Block, p: Pairs, shards: int, counts: tuple | None) -> Iterator
         before = p.before[own]
         w, v = p.number[words], p.number[before]
         rare_w, rare_v = words[w < 0], before[v < 0]
-        out = [np.array([len(words), len(own), len(rare_w), len(rare_v)], np.int64).tobytes(), block.hashes[rare_w].tobytes(), block.hashes[rare_v].tobytes()]
+        out = [np.array([len(words), len(own), len(rare_w), len(rare_v), p.digest(own)], np.int64).tobytes(), block.hashes[rare_w].tobytes(), block.hashes[rare_v].tobytes()]
         out += [size.tobytes(), np.where(w < 0, _RARE, w).astype(np.uint16).tobytes(), np.where(v < 0, _RARE, v).astype(np.uint16).tobytes()]
         if counts is not None:
             out += [counts[0][own].astype(np.uint32).tobytes(), counts[1][rare_w].astype(np.uint32).tobytes()]
@@ -394,8 +395,8 @@ def _pack(block: Block, p: Pairs, shards: int, counts: tuple | None) -> Iterator
 
 def _unpack(data: bytes, counted: bool) -> tuple:
     """(words, sizes, before, hashes of rare words, hashes of rare words before[, counts of pairs, counts of rare words])."""
-    n, m, a, b = np.frombuffer(data, np.int64, 4).tolist()
-    at, out = 32, []
+    n, m, a, b, _ = np.frombuffer(data, np.int64, 5).tolist()
+    at, out = 40, []
     for size, kind in ((a, _U), (b, _U), (n, np.uint32), (n, np.uint16), (m, np.uint16), *(((m, np.uint32), (a, np.uint32)) if counted else ())):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * np.dtype(kind).itemsize
@@ -528,21 +529,21 @@ def train(docs: DataFrame, path: str | None = None, head_words: int = 60_000, sh
 
 # ---------------------------------------------------------------- scoring
 
-_FOUND = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("digest", pa.int64()), ("segments", pa.binary()), ("data", pa.binary())])
-_FOUND_SQL = "block long, shard int, digest long, segments binary, data binary"
+_FOUND = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("segments", pa.binary()), ("data", pa.binary())])
+_FOUND_SQL = "block long, shard int, segments binary, data binary"
 _OUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _OUT_SQL = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _CHANGED = "the texts of a block changed between two scans of the table"
 
 
 def answer(trie: Trie | None, data: bytes) -> bytes:
-    """Codes of pairs and counts of rare words, in the order of the questions."""
+    """Digest of the questions, codes of pairs and counts of rare words, in the order of the questions."""
     marks, sizes, before, rare_w, rare_v = _unpack(data, False)
     if trie is None:
-        return b"\0" * (2 * len(before) + 8 * len(rare_w))
+        return data[32:40] + b"\0" * (2 * len(before) + 8 * len(rare_w))
     own = trie.word(rare_w)
     codes = trie.code(trie.pair(_numbers(marks, own), _numbers(before, trie.word(rare_v)), sizes))
-    return codes.tobytes() + trie.count(own).tobytes()
+    return data[32:40] + codes.tobytes() + trie.count(own).tobytes()
 
 
 def _questions(rows: DataFrame, shared, shards: int, block_tokens: int) -> DataFrame:
@@ -565,7 +566,7 @@ def _answers(questions: DataFrame, tries: DataFrame, shards: int) -> DataFrame:
             if block is None:
                 trie = Trie.mapped(data.as_py())
             else:
-                yield batch(_FOUND, ([block], [shard], [None], [None], [answer(trie, data.as_py())]))
+                yield batch(_FOUND, ([block], [shard], [None], [answer(trie, data.as_py())]))
 
     both = questions.unionByName(tries.select("shard", F.lit(None).cast("long").alias("block"), F.col("trie").alias("data")))
     return both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(run, _FOUND_SQL)
@@ -574,21 +575,20 @@ def _answers(questions: DataFrame, tries: DataFrame, shards: int) -> DataFrame:
 _SEGMENT = np.dtype([("key", np.int64), ("doc", np.int64), ("none", np.int8), ("held", np.int8), ("first", np.int64), ("lead", np.int8)])
 
 
-def _texts(rows: DataFrame, shared, block_tokens: int) -> DataFrame:
+def _texts(rows: DataFrame, block_tokens: int) -> DataFrame:
     """The blocks again, as rows that meet their answers: word numbers of all tokens and the words' hashes."""
 
     def run(batches):
         for number, block in _blocks(batches, block_tokens):
-            digest = block.pairs(shared.value, counted=False).digest()
             segments = np.array([(k, d or 0, d is None, h, a, lead) for k, d, _, h, a, lead in block.segments], _SEGMENT)
             kind = np.uint16 if block.n <= 65_536 else np.uint32
             data = np.array([block.n], np.int64).tobytes() + block.hashes.tobytes() + block.x.astype(kind).tobytes()
-            yield batch(_FOUND, ([number], [None], [digest], [segments.tobytes()], [data]))
+            yield batch(_FOUND, ([number], [None], [segments.tobytes()], [data]))
 
     return rows.mapInArrow(run, _FOUND_SQL)
 
 
-def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]], model: Model, mu: float, power: float, digest: int) -> pa.RecordBatch:
+def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]], model: Model, mu: float, power: float) -> pa.RecordBatch:
     """Sums of each segment of a block; answers: (shard, bytes)."""
     block, seg = Block(), np.frombuffer(segments, _SEGMENT)
     block.n = int(np.frombuffer(data, np.int64, 1)[0])
@@ -598,7 +598,7 @@ def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]],
     block.place, block.lead = np.arange(len(block.x)) - np.repeat(seg["first"], sizes), np.repeat(seg["lead"].astype(np.int64), sizes)
     p = block.pairs(model.head, counted=False)
     order, borders = _shares(p.route, model.shards)
-    if p.digest() != digest or len(answers) != int((np.diff(borders) > 0).sum()):
+    if len(answers) != int((np.diff(borders) > 0).sum()):
         raise RuntimeError(_CHANGED)
     counts = np.where(p.number >= 0, model.head.counts[np.maximum(p.number, 0)], 0)
     codes = np.zeros(len(p.keys), np.uint16)
@@ -606,10 +606,10 @@ def score_block(segments: bytes, data: bytes, answers: list[tuple[int, bytes]],
         own = order[borders[s] : borders[s + 1]]
         words, _ = _runs_of(p.word[own])
         rare = words[p.number[words] < 0]
-        if len(got) != 2 * len(own) + 8 * len(rare):
+        if len(got) != 8 + 2 * len(own) + 8 * len(rare) or int.from_bytes(got[:8], "little", signed=True) != p.digest(own):
             raise RuntimeError(_CHANGED)
-        codes[own] = np.frombuffer(got, np.uint16, len(own))
-        counts[rare] = np.frombuffer(got[2 * len(own) :], np.int64)
+        codes[own] = np.frombuffer(got, np.uint16, len(own), 8)
+        counts[rare] = np.frombuffer(got[8 + 2 * len(own) :], np.int64)
     c1, c2, before = counts[block.x].astype(np.float64), np.zeros(len(block.x)), np.zeros(len(block.x))
     c2[p.at] = counts_of(codes)[p.of]
     before[1:] = c1[:-1]
@@ -631,14 +631,14 @@ def score(docs: DataFrame, model: Model, mu: float = 2.0, power: float = 0.9, bl
     frozen = spark.sparkContext.broadcast(model)
 
     def run(tab: pa.Table) -> pa.Table:
-        rows = list(zip(tab.column("shard").to_pylist(), tab.column("digest").to_pylist(), tab.column("segments"), tab.column("data")))
+        rows = list(zip(tab.column("shard").to_pylist(), tab.column("segments"), tab.column("data")))
         text = [r for r in rows if r[0] is None]
         if len(text) != 1:
             raise RuntimeError(_CHANGED)
-        answers = [(s, d.as_py()) for s, _, _, d in rows if s is not None]
-        return pa.Table.from_batches([score_block(text[0][2].as_py(), text[0][3].as_py(), answers, frozen.value, mu, power, text[0][1])])
+        answers = [(s, d.as_py()) for s, _, d in rows if s is not None]
+        return pa.Table.from_batches([score_block(text[0][1].as_py(), text[0][2].as_py(), answers, frozen.value, mu, power)])
 
-    scored = found.unionByName(_texts(rows, shared, block_tokens)).groupBy("block").applyInArrow(run, _OUT_SQL)
+    scored = found.unionByName(_texts(rows, block_tokens)).groupBy("block").applyInArrow(run, _OUT_SQL)
     whole = scored.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )  # a text of many pieces has several rows
