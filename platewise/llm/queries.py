@@ -180,6 +180,70 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every conversation after the contract's damage."""
+    from platewise.llm.conversations import damage, repair_report
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damage(rows), rows)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), crc_table AS (
+    SELECT list(c ORDER BY i) AS tb FROM (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), hits AS (
+    SELECT conv_id, turn, role, text,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                           lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS hit
+    FROM t, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+           CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM hits, range(2) c(n) WHERE hit <> 0 AND (n = 0 OR hit = 3)
+), placed AS (
+    SELECT *, rtrim(text, E' \t\n\x0b\x0c\r') AS solid, left(role, 1) AS ini,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM damaged
+), f AS (
+    SELECT *, CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                   WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+           lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS two
+    FROM placed
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+           count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+           count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM f GROUP BY conv_id
+), ins(p, q, k, said) AS (
+    VALUES (0, 0, 0, []), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, []), (1, 2, 1, ['user:']),
+           (1, 3, 2, ['user:', 'assistant:']), (2, 2, 0, []), (2, 3, 1, ['assistant:']), (3, 3, 0, []), (3, 2, 1, ['user:'])
+), edits(q, letter, ini, r, role, price) AS (
+    VALUES (0, 'K', 's', 1, NULL, 0), (0, 'K', 'u', 2, NULL, 0), (1, 'K', 'u', 2, NULL, 0), (2, 'K', 'a', 3, NULL, 0), (3, 'K', 'u', 2, NULL, 0),
+           (0, 'R', NULL, 2, 'user', 2), (1, 'R', NULL, 2, 'user', 2), (2, 'R', NULL, 3, 'assistant', 2), (3, 'R', NULL, 2, 'user', 2),
+           (0, 'D', NULL, 0, NULL, 3), (1, 'D', NULL, 1, NULL, 3), (2, 'D', NULL, 2, NULL, 3), (3, 'D', NULL, 3, NULL, 3)
+), chart AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM counts
+    UNION ALL
+    SELECT * FROM (
+        SELECT c.conv_id, f.pos, e.r AS state, c.cost + 2 * i.k + e.price + CASE WHEN e.letter <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END AS cost,
+               c.audit || repeat('I', i.k) || e.letter AS audit,
+               list_concat(list_concat(c.said, i.said), CASE WHEN e.letter = 'D' THEN [] ELSE [coalesce(e.role, f.role) || ':' || f.text] END) AS said
+        FROM chart c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.pos = c.pos + 1 JOIN ins i ON i.p = c.state JOIN edits e ON e.q = i.q
+        WHERE e.letter = 'D' OR (f.fault NOT IN ('b', 'd') AND (e.letter = 'R' OR e.ini = f.ini))
+    ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), best AS (
+    SELECT n.conv_id, c.cost + 2 * i.k AS cost, c.audit || repeat('I', i.k) AS audit, list_concat(c.said, i.said) AS said
+    FROM counts n JOIN chart c ON c.conv_id IS NOT DISTINCT FROM n.conv_id AND c.pos = n.n JOIN ins i ON i.p = c.state AND i.q IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY n.conv_id ORDER BY c.cost + 2 * i.k, c.audit || repeat('I', i.k)) = 1
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -192,8 +256,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_decontamination": op9_decontamination,
         "op10_html_text": op10_html_text,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL}
