@@ -33,21 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write as Parquet and read back."""
+def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write as Parquet and read back; options are the writer's."""
     spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, is computed once, survives lost executors."""
-    return write_table(df, shared_dir(df.sparkSession))
+    return write_table(df, shared_dir(df.sparkSession), **options)
 
 
 def discard(*frames: DataFrame) -> None:

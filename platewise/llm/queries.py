@@ -244,6 +244,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts n ON n.conv
 """
 
 
+def merge_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document, equal chunks encoded once."""
+    from platewise.llm.chunk_reuse import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), merge_file())
+
+
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document, with corpus-wide counts of linked ids."""
+    from platewise.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), merge_file(), piece_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -257,6 +283,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_html_text": op10_html_text,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_chunk_reuse": op12_chunk_reuse,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
