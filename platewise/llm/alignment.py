@@ -35,7 +35,7 @@ from platewise.llm.common import materialize
 from platewise.llm.merges import Merges
 
 #: Bytes of text whose pairs are added up before they are shuffled.
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 
 
 class Pieces:
@@ -143,8 +143,8 @@ def _align(files, block_bytes: int):
                 at += size
             out = pd.DataFrame(docs, columns=_DOCS).astype({"doc_id": "Int64"})
             yield out.assign(kind=0, block=block, links=packed, pair=0, n=0)
-            for lo in range(0, len(pairs), 100_000):
-                hi = lo + 100_000
+            for lo in range(0, len(pairs), 20_000):
+                hi = lo + 20_000
                 out = pd.DataFrame({"pair": pairs[lo:hi], "n": total[lo:hi]})
                 yield out.assign(kind=1, block=block, links=b"", groups_sha256="", **dict.fromkeys(("doc_id", "n_a", "n_b", "n_groups", "n_links"), 0))
             block, held, docs, links = block + 1, 0, [], []
