@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import special as S
+from platewise.operators.mcd import robust_covariance
 from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, cumulative_counts, join_fit, running_total, to_long
 
 
@@ -43,13 +44,17 @@ def robust_effect(df: DataFrame, features: Sequence[str], group: str, control: C
     return join_fit(trt, mad, ["feature"]).select("group", "feature", ((F.col("m") - F.col("cm")) / F.when(scale > 0, scale)).alias("effect"))
 
 
-def mann_whitney(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, p_values: bool = True, exact_up_to: int = 8) -> DataFrame:
+def mann_whitney(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, p_values: bool = True, exact: bool | str = "auto", exact_up_to: int = 8) -> DataFrame:
     """(group, feature, u, n1, n2[, pvalue, qvalue]): each group against the controls, ranks with ties at their mean.
 
     u is the sum over the group's rows of the controls below, equal ones at half. The controls are ranked once: each
-    value of a feature knows how many of them are below it and equal to it, and groups are joined by value. p is exact
-    for small untied samples, else the tie-corrected normal with continuity correction; q is over the whole table.
+    value of a feature knows how many of them are below it and equal to it, and groups are joined by value. p is the
+    tie-corrected normal with continuity correction, or exact: never (exact=False), for every untied sample (True), or
+    ("auto") for the untied samples of groups of which a feature has at most exact_up_to values on either side, however
+    many there are on the other; q is over the whole table.
     """
+    if exact not in (True, False, "auto"):
+        raise ValueError(f"exact must be True, False or 'auto', got {exact!r}")
     long = _long(df, features, group, control, [row_id])
     below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ctl = long.groupBy("feature", "value").agg(F.count(F.when(F.col("__ctl"), 1)).alias("eq"))
@@ -67,9 +72,13 @@ def mann_whitney(df: DataFrame, features: Sequence[str], group: str, control: Co
     n = (F.col("n1") + F.col("n2")).cast("double")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     z = F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2.0) - 0.5) / F.when(sd > 0, sd)
-    small = (F.least("n1", "n2") <= exact_up_to) & (F.col("tie") == 0) & (F.greatest("n1", "n2") <= 400)
-    exact = S.col_mann_whitney_exact(F.when(small, F.col("u")), "n1", "n2")
-    p = F.when(small, exact).otherwise(F.least(F.lit(1.0), 2.0 * S.col_norm_sf(z)))
+    normal = F.least(F.lit(1.0), 2.0 * S.col_norm_sf(z))
+    if exact is False:
+        p = normal
+    else:
+        least = F.min(F.least("n1", "n2")).over(Window.partitionBy("group"))
+        agg = agg.withColumn("__exact", (F.col("tie") == 0) & (F.lit(exact is True) | (least <= exact_up_to)))
+        p = F.when(F.col("__exact"), S.col_mann_whitney_exact(F.when(F.col("__exact"), F.col("u")), "n1", "n2")).otherwise(normal)
     return benjamini_hochberg(agg.withColumn("pvalue", p), tie=["group", "feature"]).select("group", "feature", "u", "n1", "n2", "pvalue", "qvalue")
 
 
@@ -144,10 +153,15 @@ def edistance(df: DataFrame, row_id: str, vector: str, group: str, control: Colu
 # ---------------------------------------------------------------- hit calling
 
 
-def mahalanobis_fit(df: DataFrame, features: Sequence[str], regularization: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, whitening) of complete rows: medians, and the symmetric inverse root of the covariance about them."""
+def mahalanobis_fit(df: DataFrame, features: Sequence[str], regularization: float = 1e-6, covariance: str = "empirical", row_id: str | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, whitening) of complete rows: medians, and the symmetric inverse root of the covariance about them, or
+    (robust) those of the minimum covariance determinant, which rows that stray do not widen."""
     feats = list(features)
     rows = df.dropna(subset=feats)
+    if covariance == "robust":
+        center, m = robust_covariance(rows, feats, row_id, seed)
+        w, q = np.linalg.eigh(m + regularization * np.eye(len(feats)))
+        return center, (q / np.sqrt(np.maximum(w, 1e-12))) @ q.T
     med = np.array(rows.agg(*[F.median(f) for f in feats]).first(), float)
     pairs = [(i, j) for i in range(len(feats)) for j in range(i, len(feats))]
     cov = rows.agg(*[F.sum((F.col(feats[i]) - med[i]) * (F.col(feats[j]) - med[j])) for i, j in pairs], F.count(F.lit(1))).first()
@@ -174,7 +188,7 @@ def split_half(row_id: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(2)) == 0
 
 
-def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0, replicate: str | None = None, null: str = "permutation", n_pseudogenes: int = 0) -> DataFrame:
+def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, method: str = "mahalanobis", n_permutations: int = 1000, threshold: float = 0.05, seed: int = 0, replicate: str | None = None, null: str = "permutation", n_pseudogenes: int = 0, covariance: str = "empirical") -> DataFrame:
     """(group, n, statistic, pvalue, qvalue, is_hit): distance of each group from the controls.
 
     Half of the controls fit centre and whitening, the other half is the null pool. The statistic is the median row
@@ -186,8 +200,10 @@ def hit_calling(df: DataFrame, features: Sequence[str], group: str, control: Col
     never enter its null; a group of more units than there are has no p. `n_pseudogenes` such draws of the median
     number of units are returned as rows `pseudogene_<i>`, each against the others: a screen where nothing is a hit.
     """
+    if covariance not in ("empirical", "robust"):
+        raise ValueError(f"covariance must be 'empirical' or 'robust', got {covariance!r}")
     rows = df.withColumns({"__ctl": control, "__fit": split_half(replicate or row_id, seed), "__unit": F.col(replicate or row_id).cast("string")})
-    center, white = mahalanobis_fit(rows.where("__ctl and __fit"), features)
+    center, white = mahalanobis_fit(rows.where("__ctl and __fit"), features, covariance=covariance, row_id=row_id, seed=seed)
     scored = rows.where("not (__ctl and __fit)").select(row_id, group, "__ctl", "__unit", distance_column(features, center, white).alias("d"))
     held = scored.where("__ctl").select("d", "__unit").toPandas().sort_values(["__unit", "d"])
     pool, pool_units = held["d"].to_numpy(float), held["__unit"].to_numpy()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.special import col_fisher_greater, col_hypergeom_sf
 from platewise.operators.stats import benjamini_hochberg
+from platewise.operators.tiles import nearest_neighbours, pair_tiles
 
 MAX_PAIRS = 10_000_000_000
 
@@ -43,14 +44,19 @@ def dot(a: str, b: str) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def similarity_pairs(df: DataFrame, row_id: str, vector: str, metric: str = "cosine", keep: Sequence[str] = (), on: Sequence[str] = (), ordered: bool = False, digits: int = 6) -> DataFrame:
+def similarity_pairs(df: DataFrame, row_id: str, vector: str, metric: str = "cosine", keep: Sequence[str] = (), on: Sequence[str] = (), ordered: bool = False, digits: int = 6, rules=None, k: int | None = None) -> DataFrame:
     """(i, j, keep_i…, keep_j…, sim) of all pairs i < j, or i <> j if ordered; `on` restricts to equal keys.
 
-    Similarities are rounded, so that ties are the same on every engine and order of summation.
+    Similarities are rounded, so that ties are the same on every engine and order of summation. Pairs come from tiles of row
+    blocks, where `rules` (pairs of columns that are equal and columns that differ, one of which has to hold) and the best
+    k of each i are applied before a pair leaves its tile; with `on` they come from an equality join.
     """
     rows = unit_vectors(df, vector, metric)
-    a = rows.select(F.col(row_id).alias("i"), F.col("u").alias("ua"), *[F.col(c).alias(f"{c}_i") for c in dict.fromkeys([*keep, *on])])
-    b = rows.select(F.col(row_id).alias("j"), F.col("u").alias("ub"), *[F.col(c).alias(f"{c}_j") for c in dict.fromkeys([*keep, *on])])
+    keep = list(dict.fromkeys([*keep, *on]))
+    if not on:
+        return pair_tiles(rows, row_id, "u", keep, ordered, digits, rules, k)
+    a = rows.select(F.col(row_id).alias("i"), F.col("u").alias("ua"), *[F.col(c).alias(f"{c}_i") for c in keep])
+    b = rows.select(F.col(row_id).alias("j"), F.col("u").alias("ub"), *[F.col(c).alias(f"{c}_j") for c in keep])
     cond = (F.col("i") != F.col("j")) if ordered else (F.col("i") < F.col("j"))
     for c in on:
         cond = cond & (F.col(f"{c}_i") == F.col(f"{c}_j"))
@@ -100,6 +106,13 @@ def nn_moa(pairs: DataFrame, moa: str, scheme: str = "loo", compound: str | None
     return nearest(rows).select("i", F.col(f"{moa}_i").alias("actual"), F.col(f"{moa}_j").alias("predicted"))
 
 
+def nearest_mechanism(df: DataFrame, row_id: str, vector: str, moa: str, scheme: str = "loo", compound: str | None = None, batch: str | None = None, metric: str = "cosine") -> DataFrame:
+    """`nn_moa` from the rows themselves: the nearest allowed row is found inside the tiles, so no pairs are written."""
+    differ = {"loo": [], "nsc": [compound], "nscb": [compound, batch]}[scheme]
+    near = similarity_pairs(df.where(F.col(moa).isNotNull()), row_id, vector, metric, [moa], ordered=True, rules=[([], differ)], k=1)
+    return near.select("i", F.col(f"{moa}_i").alias("actual"), F.col(f"{moa}_j").alias("predicted"))
+
+
 def confusion(calls: DataFrame) -> DataFrame:
     return calls.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,16 +138,10 @@ def moa_enrichment(pairs: DataFrame, moa: str, k: int = 10, p_values: bool = Tru
 
 def local_density(points: DataFrame, row_id: str, x: str, y: str, by: Sequence[str], k: int = 15) -> DataFrame:
     """(row_id, density): k' / (pi d^2) of the k'-th nearest in the field, k' = min(k, others); NULL alone or at distance 0."""
-    a = points.select(*by, F.col(row_id).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    b = points.select(*[F.col(c).alias(f"o_{c}") for c in by], F.col(row_id).alias("j"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    cond = F.col("i") != F.col("j")
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"o_{c}"))
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    near = a.join(b, cond).select("i", "j", d2.alias("d2"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("r") <= k)
-    out = near.groupBy("i").agg(F.max("r").alias("k"), F.max("d2").alias("d2"))
-    dens = out.select(F.col("i").alias(row_id), (F.col("k") / (F.lit(float(np.pi)) * F.when(F.col("d2") > 0, F.col("d2")))).alias("density"))
+    rows = points.select(*by, row_id, F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("__v"))
+    near = nearest_neighbours(rows.where(F.forall("__v", lambda v: v.isNotNull())), row_id, "__v", k, by, pivots=64)
+    out = near.groupBy("id").agg(F.max("r").alias("k"), F.max("d").alias("d"))
+    dens = out.select(F.col("id").alias(row_id), (F.col("k") / (F.lit(float(np.pi)) * F.when(F.col("d") > 0, F.col("d") * F.col("d")))).alias("density"))
     return points.select(row_id).join(dens, row_id, "left")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.stats import MAD_SCALE, average_rank, join_fit, median_and_spread, robust_z, to_long
+from platewise.operators.tiles import nearest_neighbours
 
 AREA_CUTOFF = 5.0
 
@@ -88,14 +89,8 @@ def image_qc_knn(images: DataFrame, metrics: Sequence[str], by: Sequence[str], i
     std = join_fit(images, stats, by)
     vector = F.array(*[F.coalesce(F.when(F.col(f"{m}__s") > 0, (F.col(m) - F.col(f"{m}__c")) / F.col(f"{m}__s")), F.lit(0.0)) for m in metrics])
     pts = std.select(*by, image_id, vector.alias("v"))
-    other = pts.select(*[F.col(b).alias(f"o_{b}") for b in by], F.col(image_id).alias("o_id"), F.col("v").alias("w"))
-    cond = F.col(image_id) != F.col("o_id")
-    for b in by:
-        cond = cond & (F.col(b) == F.col(f"o_{b}"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = pts.join(other, cond).select(*by, image_id, "o_id", dist.alias("d"))
-    order = Window.partitionBy(*by, image_id).orderBy("d", "o_id")
-    score = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy(*by, image_id).agg(F.avg("d").alias("qc_image_score"))
+    near = neighbours(pts, image_id, "v", k, by).withColumnRenamed("id", image_id)
+    score = near.groupBy(*by, image_id).agg(F.avg("d").alias("qc_image_score"))
     mid = score.groupBy(*by).agg(F.median("qc_image_score").alias("m"))
     low = join_fit(score, mid, by)
     half = low.where("qc_image_score <= m").groupBy(*by).agg(F.median(F.col("m") - F.col("qc_image_score")).alias("h"))
@@ -150,15 +145,8 @@ def ecod_scores(df: DataFrame, features: Sequence[str], row_id: str, by: Sequenc
 
 
 def neighbours(points: DataFrame, row_id: str, vector: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """(row_id, o_id, d, r): the k nearest other rows of each row by Euclidean distance, ties by id."""
-    a = points.select(*by, F.col(row_id).alias("id"), F.col(vector).alias("v"))
-    b = points.select(*[F.col(x).alias(f"o_{x}") for x in by], F.col(row_id).alias("o_id"), F.col(vector).alias("w"))
-    cond = F.col("id") != F.col("o_id")
-    for x in by:
-        cond = cond & (F.col(x) == F.col(f"o_{x}"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, cond).select(*by, "id", "o_id", dist.alias("d"))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "o_id"))).where(F.col("r") <= k)
+    """(by…, id, o_id, d, r): the k nearest other rows of each row by Euclidean distance, ties by id."""
+    return nearest_neighbours(points, row_id, vector, k, by, pivots=64 if by else None)
 
 
 def lof_scores(points: DataFrame, row_id: str, vector: str, k: int = 20) -> DataFrame:

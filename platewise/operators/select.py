@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.special import col_chi2_sf
 from platewise.functions.wells import parse_feature_name
+from platewise.operators.gram import pairwise_correlations
 from platewise.operators.qc import feature_metrics
 from platewise.operators.stats import average_rank, benjamini_hochberg, correlation, to_long
 
@@ -78,18 +78,15 @@ def without_blocklisted(features: Sequence[str], blocklist: Sequence[str]) -> li
 # ---------------------------------------------------------------- correlation
 
 
-def correlated_pairs(df: DataFrame, features: Sequence[str], method: str = "pearson", block: int = 2000) -> DataFrame:
-    """(feature_a, feature_b, r) of all pairs, pairwise complete; `block` pairs in each aggregation."""
+def correlated_pairs(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
+    """(feature_a, feature_b, r) of all pairs, pairwise complete, from one scan whatever the number of features.
+
+    Spearman ranks every feature once, over the rows that know it.
+    """
     feats = list(features)
     if method == "spearman":
         df = df.select(*[F.when(F.col(f).isNotNull(), average_rank(F.col(f), [F.col(f).isNull()])).alias(f) for f in feats])
-    pairs = list(combinations(feats, 2))
-    out = None
-    for i in range(0, len(pairs), block):
-        part = df.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation(a, b).alias("r")) for a, b in pairs[i : i + block]]).alias("p"))
-        part = part.select(F.explode("p").alias("p")).select("p.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return pairwise_correlations(df, feats).select("feature_a", "feature_b", "r")
 
 
 def correlation_threshold(df: DataFrame, features: Sequence[str], threshold: float = 0.9, method: str = "pearson", absolute: bool = False) -> DataFrame:

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from platewise.functions import wells as W
 from platewise.operators import aggregate as A
+from platewise.operators import bootstrap as B
 from platewise.operators import dose as D
 from platewise.operators import effects as E
+from platewise.operators import gram as G
 from platewise.operators import enrich as N
 from platewise.operators import metrics as M
 from platewise.operators import normalize as Z
+from platewise.operators import nulls as NU
 from platewise.operators import pairs as P
 from platewise.operators import qc as Q
+from platewise.operators import quantiles as QU
 from platewise.operators import reference as REF
 from platewise.operators import select as S
 from platewise.operators import stats as ST
+from platewise.operators import tiles as TI
 from platewise.plans import data as T
 from platewise.plans.data import CELLS, DOSES, EMBEDDED, FEATURES, GUIDES, PAIRS, POPULATIONS, WELLS
 from platewise.sources import profiles as SRC
@@ -290,8 +295,12 @@ def synthetic(spark, sf):
 
 
 def _folder(spark) -> str:
-    """A fresh folder: below spark.checkpoint.dir where the session has one, else of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:{tempfile.mkdtemp(prefix='spark-')}"
+    """A fresh folder below spark.checkpoint.dir. Only a session of one machine may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file:{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -370,6 +379,17 @@ def read_complexes(spark, sf):
 # ---------------------------------------------------------------- quality control
 
 
+@query("large_quantiles", rsql(" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n, quantile_cont({f}, 0.01) AS q0, quantile_cont({f}, 0.5) AS q1, quantile_cont({f}, 0.975) AS q2 FROM cells" for f in FEATURES), "q0 q1 q2", prefix=WC))
+def large_quantiles(spark, sf):
+    """Exact quantiles of the whole table by histograms, without a buffer of its values."""
+    return QU.large_quantiles(T.cells(spark, sf), [], FEATURES, [0.01, 0.5, 0.975])
+
+
+@query("large_median_mad", rsql(" UNION ALL ".join(f"SELECT '{f}' AS feature, median({f}) AS center, median(abs({f} - m)) AS spread FROM cells, (SELECT median({f}) AS m FROM cells)" for f in FEATURES), "center spread", prefix=WC))
+def large_median_mad(spark, sf):
+    return QU.large_median_and_mad(T.cells(spark, sf), [], FEATURES)
+
+
 @query("qc_row_missing", rsql("SELECT row_id, CAST(n AS BIGINT) AS qc_n_missing, n / 4.0 AS qc_missing_fraction, n / 4.0 > 0.2 AS qc_high_nan FROM (SELECT row_id, (q IS NULL)::INT + (p IS NULL)::INT + (d IS NULL)::INT + (t IS NULL)::INT AS n FROM cells)", "qc_missing_fraction", prefix=WC))
 def qc_missing(spark, sf):
     return Q.row_missing(T.cells(spark, sf), FEATURES, 0.2).select("row_id", "qc_n_missing", "qc_missing_fraction", "qc_high_nan")
@@ -520,6 +540,12 @@ def correlated_pairs(spark, sf):
     return S.correlated_pairs(T.cells(spark, sf), FEATURES)
 
 
+@query("pairwise_correlations", rsql(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM cells" for a, b in _PAIRS6), "r", prefix=WC))
+def pairwise_correlations(spark, sf):
+    """All pairs of features with the rows they have in common, in one scan."""
+    return G.pairwise_correlations(T.cells(spark, sf), FEATURES)
+
+
 @query("correlated_pairs_spearman", rsql(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM ranks" for a, b in _PAIRS6), "r", prefix=f"{WW}, ranks AS (SELECT {each('CASE WHEN @ IS NOT NULL THEN rank() OVER (PARTITION BY @ IS NULL ORDER BY @) + (count(*) OVER (PARTITION BY @) - 1) / 2.0 END AS @')} FROM wells)"))
 def spearman_pairs(spark, sf):
     return S.correlated_pairs(T.wells(spark, sf), FEATURES, "spearman")
@@ -655,13 +681,19 @@ def feature_signature(spark, sf):
 # ---------------------------------------------------------------- pairs and retrieval
 
 
-def _pairs(spark, sf, ordered=True, metric="cosine"):
-    return P.similarity_pairs(T.embedded(spark, sf), "vec_id", "v", metric, ["label", "batch", "control"], ordered=ordered)
+def _pairs(spark, sf, ordered=True, metric="cosine", **cut):
+    return P.similarity_pairs(T.embedded(spark, sf), "vec_id", "v", metric, ["label", "batch", "control"], ordered=ordered, **cut)
 
 
 @query("similarity_top", rsql("SELECT i, j, sim FROM (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM pairs) WHERE r <= 5", "sim", prefix=PAIRS))
 def similarity_top(spark, sf):
-    return P.nearest(_pairs(spark, sf), 5).select("i", "j", "sim")
+    return _pairs(spark, sf, k=5).select("i", "j", "sim")
+
+
+@query("nearest_rows", rsql("SELECT id, o_id, r, d FROM (SELECT a.vec_id AS id, b.vec_id AS o_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE r <= 8", "d", prefix=f"WITH e AS ({EMBEDDED})"))
+def nearest_rows(spark, sf):
+    """The eight nearest rows of every row, by cells around pivots."""
+    return TI.nearest_neighbours(T.embedded(spark, sf), "vec_id", "v", 8).select("id", "o_id", F.col("r").cast("long").alias("r"), "d")
 
 
 @query("similarity_pearson", rsql(f"WITH e AS ({EMBEDDED}), c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM e), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM c) SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (a.n * b.n) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id", "sim"))
@@ -690,12 +722,12 @@ _NN1 = "nn AS (SELECT i, label_i AS actual, label_j AS predicted FROM (SELECT *,
 
 @query("nn_moa_confusion", f"{PAIRS}, {_NN1.format(w=' WHERE batch_i <> batch_j')} SELECT actual, predicted, count(*) AS n FROM nn GROUP BY actual, predicted")
 def nn_moa(spark, sf):
-    return P.confusion(P.nn_moa(_pairs(spark, sf), "label", "nsc", compound="batch"))
+    return P.confusion(P.nearest_mechanism(T.embedded(spark, sf), "vec_id", "v", "label", "nsc", compound="batch"))
 
 
 @query("nn_moa_accuracy", rsql("SELECT avg((actual = predicted)::INT) AS accuracy, count(*) AS n_classified, (SELECT count(*) FROM e) - count(*) AS n_excluded FROM nn", "accuracy", prefix=f"{PAIRS}, {_NN1.format(w='')}"))
 def nn_accuracy(spark, sf):
-    return P.accuracy(P.nn_moa(_pairs(spark, sf), "label"), T.embedded(spark, sf).count())
+    return P.accuracy(P.nearest_mechanism(T.embedded(spark, sf), "vec_id", "v", "label"), T.embedded(spark, sf).count())
 
 
 @query("moa_enrichment_votes", f"{PAIRS}, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM pairs) WHERE r <= 10), sz AS (SELECT label AS moa, count(*) AS size FROM e GROUP BY label) SELECT i, label_j AS moa, count(*) AS votes, any_value(sz.size) - (label_i = label_j)::INT AS marked, (SELECT count(*) FROM e) - 1 AS n_other FROM nn JOIN sz ON sz.moa = label_j GROUP BY i, label_i, label_j")
@@ -750,7 +782,8 @@ def _map_sql(pos: str, neg: str, rows: str = "TRUE") -> str:
 
 def _map(spark, sf, **rules):
     e = T.embedded(spark, sf)
-    p = _pairs(spark, sf)
+    names = [rules.get(k, []) for k in ("pos_sameby", "pos_diffby", "neg_sameby", "neg_diffby")]
+    p = _pairs(spark, sf, rules=None if "activity" in rules else [names[:2], names[2:]])
     if rules.pop("activity", False):  # the negatives of a treated row are the controls of its batch
         p = p.where(~F.col("control_i")).withColumns({"helper_i": F.lit(-1).cast("long"), "helper_j": F.when(F.col("control_j"), F.col("j")).otherwise(-1)})
         rules |= {"pos_sameby": ["label"], "neg_sameby": ["batch"], "neg_diffby": ["helper"]}
@@ -786,6 +819,22 @@ def map_multilabel(spark, sf):
     return P.map_scores(ap, e.select(F.col("vec_id").alias("i"), "label"), "label")
 
 
+@query("map_joint_pvalues")
+def map_joint(spark, sf):
+    """Consistency within batches, against draws of all of a label's members together."""
+    e = T.embedded(spark, sf)
+    p = P.map_pairs(_pairs(spark, sf, rules=[(["label"], []), (["batch"], ["label"])]), ["label"], [], ["batch"], ["label"])
+    return NU.joint_null_pvalues(P.average_precision(p), e.select(F.col("vec_id").alias("i"), "label"), "label", p.where("positive"), 512)
+
+
+@query("map_rule_permutation_pvalues")
+def map_rule_permutation(spark, sf):
+    """The same scores against labels that are dealt anew within batches."""
+    e = T.embedded(spark, sf)
+    p = P.similarity_pairs(e, "vec_id", "v", keep=["label", "batch"], ordered=True)
+    return NU.permutation_null_pvalues(p, e, "vec_id", "label", neg_sameby=["batch"], n_permutations=50)
+
+
 @query("map_permutation_pvalues")
 def map_permutation(spark, sf):
     e = T.embedded(spark, sf)
@@ -823,6 +872,33 @@ def mann_whitney_u(spark, sf):
     return E.mann_whitney(T.wells(spark, sf), FEATURES, "pert", F.col("control"), "id", p_values=False)
 
 
+def _trios(spark, sf):
+    """customer as groups of three treated rows without ties, the other two thirds being controls."""
+    c = T.read(spark, sf, "customer")
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.floor(F.col("c_custkey") / 9)).alias("trio"), (F.col("c_custkey") % 3 != 0).alias("control"), (F.col("c_acctbal") + F.col("c_custkey") / 1e7).alias("value"))
+
+
+#: -log10 p of U among all ways to place three treated rows among the controls, counted one by one.
+_TRIOS = """
+WITH c AS (SELECT c_custkey, c_acctbal + c_custkey / 1e7::DOUBLE AS value FROM customer),
+ctl AS (SELECT value FROM c WHERE c_custkey % 3 <> 0), n AS (SELECT count(*) AS n2 FROM ctl),
+own AS (SELECT CAST(floor(c_custkey / 9.0) AS BIGINT) AS grp, value FROM c WHERE c_custkey % 3 = 0),
+u AS (SELECT grp, sum((SELECT count(*) FROM ctl WHERE ctl.value < own.value)) AS u FROM own GROUP BY grp HAVING count(*) = 3),
+low AS (SELECT grp, u, n2, CAST(least(u, 3 * n2 - u) AS BIGINT) AS lo FROM u, n),
+ways AS (SELECT grp, u, n2, sum((SELECT sum(greatest(0, least(n2, lo - i - j) - j + 1)) FROM range(i, CAST(floor((lo - i) / 2) AS BIGINT) + 1) b(j) WHERE j <= n2)) AS w
+         FROM low, range(0, n2 + 1) a(i) WHERE 3 * i <= lo GROUP BY grp, u, n2)
+SELECT grp AS "group", CAST(u AS DOUBLE) AS u, CAST(n2 AS BIGINT) AS n2,
+       round(-log10(least(1.0::DOUBLE, 2 * w / ((n2 + 3.0::DOUBLE) * (n2 + 2) * (n2 + 1) / 6))), 6) + 0.0 AS neg_log10_p FROM ways
+"""
+
+
+@query("mann_whitney_exact", _TRIOS)
+def mann_whitney_exact(spark, sf):
+    """Exact p-values of small groups against many controls."""
+    out = E.mann_whitney(_trios(spark, sf), ["value"], "trio", F.col("control"), "c_custkey")
+    return out.where("n1 = 3").select("group", "u", "n2", (F.round(-F.log10("pvalue"), 6) + 0.0).alias("neg_log10_p"))
+
+
 @query("mann_whitney_pvalues")
 def mann_whitney_p(spark, sf):
     return E.mann_whitney(T.wells(spark, sf), FEATURES, "pert", F.col("control"), "id")
@@ -876,6 +952,12 @@ def hits_replicates(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, replicate="batch")
 
 
+@query("hit_calling_robust")
+def hits_robust(spark, sf):
+    """Distances in the covariance of the controls' concentrated half."""
+    return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, covariance="robust")
+
+
 @query("hit_calling_pseudogenes")
 def hits_pseudogenes(spark, sf):
     return E.hit_calling(_emb_wide(spark, sf, 6), list("abcdef"), "label", F.col("control"), "vec_id", n_permutations=200, replicate="batch", null="pseudogenes", n_pseudogenes=20)
@@ -945,6 +1027,51 @@ def bootstrap_medians_only(spark, sf):
     return _guide_bootstrap(spark, sf, "d").select(F.col("supp").alias("guide"), "n", F.col("median").alias("med"))
 
 
+def _bootstrap(spark, sf, features, **kind):
+    """Genes of several suppliers as guides; the control cells of a supplier are a control guide."""
+    c = T.cells(spark, sf).withColumns({"gene": F.col("supp") % 8, "arm": F.col("moa")})
+    return B.bootstrap(c, features, "gene", "supp", F.col("control"), **kind)
+
+
+_BG = f"""
+{WC}, l AS (SELECT supp, control, unnest(['d','q']) AS feature, unnest([d,q]) AS value FROM cells),
+own AS (SELECT supp, feature, count(value) AS n, quantile_disc(value, 0.5) AS x FROM l WHERE NOT control AND value IS NOT NULL GROUP BY supp, feature),
+cnt AS (SELECT o.supp, o.feature, o.n, CAST(floor((o.n - 1) / 2) AS BIGINT) AS need, c.supp AS ctl, count(*) AS m,
+               count(*) FILTER (c.value <= o.x) / count(*) AS fle, count(*) FILTER (c.value < o.x) / count(*) AS flt
+        FROM own o JOIN l c ON c.feature = o.feature AND c.control AND c.value IS NOT NULL GROUP BY o.supp, o.feature, o.n, c.supp),
+tails AS (SELECT *, {", ".join(f"CASE WHEN {f} <= 0 THEN 1.0 WHEN {f} >= 1 THEN 0.0 ELSE list_sum(list_transform(range(0, need + 1), lambda c: exp(lgamma(n + 1) - lgamma(c + 1) - lgamma(n - c + 1) + c * ln({f}) + (n - c) * ln(1 - {f})))) END AS {o}" for f, o in (("fle", "gt"), ("flt", "ge")))} FROM cnt),
+up AS (SELECT supp, feature, n, sum(m * (gt + ge) / 2) / sum(m) AS up FROM tails GROUP BY supp, feature, n)
+"""
+
+
+@query("bootstrap_guides", rsql("SELECT supp, feature, n AS n_measured, 2 * least(up, 1 - up) AS pvalue FROM up", "pvalue", prefix=_BG))
+def bootstrap_guides(spark, sf):
+    """Every guide against the exact null of resampling control guides."""
+    c = T.cells(spark, sf).withColumn("gene", F.col("supp") % 8)
+    n = ST.to_long(c.where("not control"), ["supp"], ["d", "q"]).groupBy("supp", "feature").agg(F.count(F.lit(1)).alias("n_measured"))
+    return _bootstrap(spark, sf, ["d", "q"])[1].join(n, ["supp", "feature"]).select("supp", "feature", "n_measured", "pvalue")
+
+
+@query("bootstrap_genes_stouffer")
+def bootstrap_genes_stouffer(spark, sf):
+    return _bootstrap(spark, sf, ["d", "q"])[0]
+
+
+@query("bootstrap_genes_order")
+def bootstrap_genes_order(spark, sf):
+    return _bootstrap(spark, sf, ["d", "q"], method="order", scope="within_group", condition="arm")[0]
+
+
+@query("bootstrap_genes_fisher")
+def bootstrap_genes_fisher(spark, sf):
+    return _bootstrap(spark, sf, ["d", "q"], method="fisher", scope="reference_group", condition="arm", reference_condition="O")[0]
+
+
+@query("bootstrap_genes_median")
+def bootstrap_genes_median(spark, sf):
+    return _bootstrap(spark, sf, ["d", "q"], method="median")[0]
+
+
 @query("bootstrap_features")
 def bootstrap_features(spark, sf):
     return E.bootstrap_genes(_guide_bootstrap(spark, sf, "p"), "gene")
