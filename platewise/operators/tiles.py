@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.cut import cut
+
 #: Rows of a block.
 BLOCK = 1024
-#: Pivots at most: their vectors and the cells' few numbers are sent to every worker.
-PIVOTS = 256
+#: Pivots at most: their vectors and the cells' few numbers are sent to every worker. Fewer where cells would be too small.
+PIVOTS, PER_CELL = 256, 24
 
 
 def _matrix(column: pd.Series, dim: int | None = None) -> np.ndarray:
@@ -191,7 +193,8 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
     rows = points.select(*by, F.col(row_id).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
     kinds = dict(rows.dtypes)
     total = rows.count()
-    x = pivots_of(rows, "id", "v", max(1, min(pivots or PIVOTS, PIVOTS, total)) if total else 0, seed)
+    per_group = total // max(1, rows.select(*by).distinct().count()) if by else total
+    x = pivots_of(rows, "id", "v", min(pivots or PIVOTS, PIVOTS, max(1, per_group // PER_CELL)) if total else 0, seed)
     if not len(x):
         return rows.select(*by, "id", F.col("id").alias("o_id"), F.lit(0.0).alias("d"), F.lit(1).alias("r")).limit(0)
     between = np.sqrt(_distances(x, x))
@@ -205,18 +208,18 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
 
     placed = rows.mapInPandas(cell, f"{head}id {kinds['id']}, v array<double>, cell int, to double")
     # of equal vectors the k + 1 lowest ids are candidates; two levels, as one vector may be a large part of all rows
-    same = F.xxhash64("v")
-    for part in (["__s"], []):
-        lowest = Window.partitionBy(*by, "cell", "__h", "v", *part).orderBy("id")
-        if part:
-            ranked = placed.withColumns({"__h": same, "__s": F.pmod(F.xxhash64("id"), F.lit(32))})
-        ranked = ranked.withColumn("__r", F.row_number().over(lowest)).where(F.col("__r") <= k + 1).drop("__r")
-    others = ranked.drop("__h", "__s")
+    low = lambda part: F.row_number().over(Window.partitionBy(*by, "cell", "__h", "v", part).orderBy("id")) <= k + 1
+    placed = placed.withColumns({"__h": F.xxhash64("v"), "__salt": F.pmod(F.xxhash64("id"), F.lit(32))})
+    placed = placed.withColumn("__low", low("__salt"))
+    placed = placed.withColumn("__salt", F.when(F.col("__low"), F.lit(-1)).otherwise(F.col("__salt")))
+    placed = cut(placed.select(*by, "id", "v", "cell", "to", (F.col("__low") & low("__salt")).alias("candidate")))
+    others = placed.where("candidate").drop("candidate")
+    placed = placed.drop("candidate")
     sizes = others.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("near"), F.max("to").alias("far"))
     crowd = placed.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("rows"))
     sizes = sizes.join(crowd.withColumnsRenamed({c: f"__{c}" for c in [*by, "cell"]}), _null_safe([*by, "cell"])).drop(*[f"__{c}" for c in [*by, "cell"]])
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("rows") / (F.col("blocks") * block)).cast("int")).drop("rows")
+    sizes = cut(sizes.withColumn("parts", F.ceil(F.col("rows") / (F.col("blocks") * block)).cast("int")).drop("rows"))
 
     def with_sizes(df: DataFrame, sizes: DataFrame) -> DataFrame:
         right = sizes.select(*[F.col(c).alias(f"__{c}") for c in [*by, "cell"]], *[c for c in sizes.columns if c not in [*by, "cell"]])
@@ -274,7 +277,7 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
                 out.append(part.iloc[a][[*by, "id", "v"]].assign(cell=c.astype("int32"), radius=r[a]))
             yield pd.concat(out)
 
-    visits = joined.mapInPandas(visit, f"{head}id {kinds['id']}, v array<double>, cell int, radius double")
+    visits = cut(joined.mapInPandas(visit, f"{head}id {kinds['id']}, v array<double>, cell int, radius double"))
     asked_of = visits.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("asked"))
     plan = sizes.drop("parts").join(asked_of.withColumnsRenamed({c: f"__{c}" for c in [*by, "cell"]}), _null_safe([*by, "cell"])).drop(*[f"__{c}" for c in [*by, "cell"]])
     plan = plan.withColumn("parts", F.ceil(F.col("asked") / block).cast("int"))
