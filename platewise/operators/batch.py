@@ -304,53 +304,3 @@ def pca(df: DataFrame, features: Sequence[str], n_comps: int, fit: Column | None
     v = v[:, order]
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
     return apply_matrix(df, features, v, mean, [f"pc{i + 1}" for i in range(len(order))]), v, w[order]
-
-
-def harmony(df: DataFrame, features: Sequence[str], batch: str, n_clusters: int = 10, max_iter: int = 10, sigma: float = 0.1, ridge: float = 1.0, seed: int = 0) -> DataFrame:
-    """Batch correction by soft clusters: every round assigns rows to clusters softly, then takes each cluster's batch
-    offset (ridge shrunk) off its rows. Only sums for each cluster and batch leave the executors."""
-    feats = list(features)
-    k = len(feats)
-    start = df.orderBy(F.xxhash64(F.lit(seed), *feats)).limit(n_clusters).select(*feats).toPandas().to_numpy(float)
-    centers = start
-    batches = sorted(r[0] for r in df.select(batch).distinct().collect())
-    place = {b: i for i, b in enumerate(batches)}
-    shift = np.zeros((len(centers), len(batches), k))
-
-    def soft(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        xn, cn = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        d = -2.0 * (1.0 - xn @ cn.T) / sigma
-        e = np.exp(d - d.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    for _ in range(max_iter):
-        c, s = centers, shift
-
-        def sums(batches_iter, c=c, s=s):
-            n, t = np.zeros((len(c), len(place))), np.zeros((len(c), len(place), k))
-            for pdf in batches_iter:
-                x, b = pdf[feats].to_numpy(float), pdf[batch].map(place).to_numpy(int)
-                r = soft(x - np.einsum("nk,nkf->nf", soft(x, c), s.transpose(1, 0, 2)[b]), c)
-                for i in range(len(place)):
-                    n[:, i] += r[b == i].sum(0)
-                    t[:, i] += r[b == i].T @ x[b == i]
-            yield pd.DataFrame({"n": [n.ravel().tolist()], "t": [t.ravel().tolist()]})
-
-        parts = df.select(batch, *feats).mapInPandas(sums, "n array<double>, t array<double>").toPandas()
-        n = np.sum(np.array(parts["n"].tolist()), 0).reshape(len(c), len(place))
-        t = np.sum(np.array(parts["t"].tolist()), 0).reshape(len(c), len(place), k)
-        mean = t.sum(1) / np.maximum(n.sum(1), 1e-12)[:, None]
-        new = (t - n[:, :, None] * mean[:, None, :]) / (n[:, :, None] + ridge)
-        moved = np.abs(new - shift).max()
-        centers, shift = mean, new
-        if moved < 1e-4:
-            break
-    c, s = centers, shift
-
-    def run(batches_iter):
-        for pdf in batches_iter:
-            x, b = pdf[feats].to_numpy(float), pdf[batch].map(place).to_numpy(int)
-            z = x - np.einsum("nk,nkf->nf", soft(x, c), s.transpose(1, 0, 2)[b])
-            yield pdf.assign(**{f: z[:, j] for j, f in enumerate(feats)})
-
-    return df.mapInPandas(run, df.schema)

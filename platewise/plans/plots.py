@@ -202,7 +202,8 @@ def _ap(spark, sf):
 def pl_map(spark, sf):
     e = T.embedded(spark, sf).select(F.col("vec_id").alias("i"), "label")
     s = P.map_null_pvalues(_ap(spark, sf), e, "label", 200)
-    return s.select("label", "score", minus_log10("qvalue").alias("minus_log10_q")).orderBy(F.desc("score")).limit(5)
+    top = s.orderBy(F.desc("score"), "label").limit(5).select(F.col("label").alias("__top"))
+    return s.join(top, F.col("label") == F.col("__top"), "left").select("label", "score", minus_log10("qvalue").alias("minus_log10_q"), F.col("__top").isNotNull().alias("named"))
 
 
 @query("pl_metrics")

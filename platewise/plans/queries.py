@@ -15,6 +15,7 @@ from platewise.operators import bootstrap as B
 from platewise.operators import dose as D
 from platewise.operators import effects as E
 from platewise.operators import gram as G
+from platewise.operators import harmony as H
 from platewise.operators import enrich as N
 from platewise.operators import metrics as M
 from platewise.operators import normalize as Z
@@ -1397,7 +1398,7 @@ def pca(spark, sf):
 
 @query("harmony")
 def harmony(spark, sf):
-    return _batch().harmony(_emb_wide(spark, sf, 4), list("abcd"), "batch", 4, 3)
+    return H.harmony(_emb_wide(spark, sf, 4), list("abcd"), "batch", 4, 3, blocks=3, max_iter_cluster=4)
 
 
 # ---------------------------------------------------------------- metrics and clustering

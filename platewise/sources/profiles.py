@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -180,12 +181,29 @@ def from_embedding(df: DataFrame, vector: str, metadata: Sequence[str], resoluti
 
 
 def write(df: DataFrame, meta: ProfileMeta, path: str) -> None:
-    """Parquet with the descriptors beside it; errors of `validate` are refused first."""
+    """Parquet with the descriptors beside it; errors of `validate` are refused first.
+
+    Everything is written beside the path first and moved there when it is whole, so a write that fails leaves the old data
+    as they were, and profiles can be read from the path that they are written to.
+    """
     bad = validate(df, meta).where("level = 'error'").first()
     if bad is not None:
         raise ValueError(bad["message"])
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    df.sparkSession.createDataFrame([(json.dumps(asdict(meta)),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(f"{beside}.new/rows")
+    spark.createDataFrame([(json.dumps(asdict(meta)),)], "meta string").coalesce(1).write.text(f"{beside}.new/meta")
+    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{beside}.new", f"{beside}.old"))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(at)
+    if had and not files.rename(at, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not files.rename(new, at):
+        if had:
+            files.rename(old, at)
+        raise OSError(f"{beside}.new cannot be moved to {path}")
+    if had:
+        files.delete(old, True)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, ProfileMeta]:

@@ -69,3 +69,26 @@ def test_map_permutation_equals_brute_force(spark):
     for k, s in scores[0].items():
         null = [x[k] for x in scores[1:] if k in x]
         assert np.isclose(got[k][0], s) and np.isclose(got[k][1], (sum(x >= s - 1e-12 for x in null) + 1) / (len(null) + 1))
+
+
+def test_write_replaces_whole_and_keeps_old_data_on_failure(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from platewise.sources import profiles as SRC
+
+    path = f"file:{tmp_path}/p"
+    meta = SRC.ProfileMeta("well", ("Cells_x",))
+    rows = spark.createDataFrame([("P1", "A01", 1.0), ("P1", "A02", 2.0)], "Metadata_Plate string, Metadata_Well string, Cells_x double")
+    SRC.write(rows, meta, path)
+    again, _ = SRC.read(spark, path)
+    SRC.write(again.withColumn("Cells_x", F.col("Cells_x") * 10), meta, path)  # reads what it replaces
+    assert sorted(r["Cells_x"] for r in SRC.read(spark, path)[0].collect()) == [10.0, 20.0]
+    broken = again.withColumn("Cells_x", F.raise_error(F.lit("no")).cast("double"))
+    try:
+        SRC.write(broken, meta, path)
+        raise AssertionError("a broken table was written")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    assert sorted(r["Cells_x"] for r in SRC.read(spark, path)[0].collect()) == [10.0, 20.0]
