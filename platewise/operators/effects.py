@@ -525,52 +525,6 @@ def roc_auc(df: DataFrame, score: str, label: Column, by: Sequence[str] = ()) ->
     return agg.select(*by, ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("p") * F.col("n"))).alias("auc"))
 
 
-def perturbation_score(df: DataFrame, features: Sequence[str], group: str, control: Column, row_id: str, n_features: int = 200, n_folds: int = 5, min_cells: int = 50, max_reference: int = 5000, penalty: float = 1.0, seed: int = 0) -> DataFrame:
-    """(group, n_cells, auc): out-of-fold AUC of an L2 logistic model between each group and as many reference cells.
-
-    Features are chosen by ANOVA F inside each fold. The reference sample is bounded and sent to every group's task.
-    """
-    feats = list(features)
-    ref = df.where(control).orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(max_reference).select(*feats).toPandas().to_numpy(float)
-
-    def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        w = np.zeros(x.shape[1])
-        for _ in range(30):
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (p - y) + w / penalty
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / penalty
-            step = np.linalg.solve(h, g)
-            w -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        return w
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[group].iloc[0])
-        x1 = pdf.sort_values(row_id)[feats].to_numpy(float)
-        if len(x1) < min_cells or len(ref) < 2:
-            return pd.DataFrame({"group": [name], "n_cells": [len(x1)], "auc": [np.nan]})
-        rng = np.random.default_rng([seed, *name.encode()])
-        take = min(len(x1), len(ref))
-        x = np.concatenate([x1[rng.choice(len(x1), take, replace=False)], ref[rng.choice(len(ref), take, replace=False)]])
-        y = np.repeat([1.0, 0.0], take)
-        fold, score = rng.permutation(len(y)) % n_folds, np.zeros(len(y))
-        for k in range(n_folds):
-            a, b = fold != k, fold == k
-            m, s = x[a].mean(0), x[a].std(0)
-            z = (x - m) / np.where(s > 0, s, 1.0)
-            d = z[a][y[a] == 1].mean(0) - z[a][y[a] == 0].mean(0)
-            within = z[a][y[a] == 1].var(0) + z[a][y[a] == 0].var(0)
-            top = np.argsort(d * d / np.where(within > 0, within, np.inf), kind="stable")[-n_features:]
-            design = np.column_stack([np.ones(len(z)), z[:, top]])
-            score[b] = design[b] @ logistic(design[a], y[a])
-        r = S.average_ranks(score)
-        auc = (r[y == 1].sum() - take * (take + 1) / 2.0) / (take * take)
-        return pd.DataFrame({"group": [name], "n_cells": [len(x1)], "auc": [auc]})
-
-    return df.where(~control).groupBy(group).applyInPandas(run, "group string, n_cells long, auc double")
-
-
 def replicate_saturation(df: DataFrame, features: Sequence[str], group: str, row_id: str, max_replicates: int = 10, n_draws: int = 5, min_groups: int = 3, seed: int = 0) -> DataFrame:
     """(replicates, score, n_groups): correlation of the median profiles of two random halves, by half size."""
     feats = list(features)

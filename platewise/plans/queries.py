@@ -21,6 +21,7 @@ from platewise.operators import metrics as M
 from platewise.operators import normalize as Z
 from platewise.operators import nulls as NU
 from platewise.operators import pairs as P
+from platewise.operators import perturbation as PS
 from platewise.operators import qc as Q
 from platewise.operators import quantiles as QU
 from platewise.operators import reference as REF
@@ -1116,7 +1117,7 @@ def roc_auc(spark, sf):
 
 @query("perturbation_score")
 def perturbation_score(spark, sf):
-    return E.perturbation_score(_emb_wide(spark, sf, 8), list("abcdefgh"), "label", F.col("control"), "vec_id", 6, min_cells=20)
+    return PS.perturbation_score(_emb_wide(spark, sf, 8), list("abcdefgh"), "label", F.col("control"), "vec_id", 6, min_cells=20, replicate="batch")[0]
 
 
 @query("replicate_saturation")
