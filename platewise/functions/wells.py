@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +111,24 @@ def parse_feature_name(name: str, channels: Sequence[str] = ()) -> FeatureName:
     return FeatureName(name, obj, group, measure, "|".join(found) or None, scale, angle, gray, bin_, group not in NOT_FEATURES)
 
 
+_PARSED = "feature string, object string, feature_group string, measure string, channel string, scale string, angle string, gray_levels string, radial_bin string, is_feature boolean"
+
+
 def parse_feature_names(spark, names: Sequence[str], channels: Sequence[str] = ()) -> DataFrame:
     rows = [parse_feature_name(n, channels) for n in names]
-    return spark.createDataFrame(
-        [tuple(vars(r).values()) for r in rows],
-        "feature string, object string, feature_group string, measure string, channel string, scale string, angle string, gray_levels string, radial_bin string, is_feature boolean",
-    )
+    return spark.createDataFrame([tuple(vars(r).values()) for r in rows], _PARSED)
+
+
+def parse_feature_table(names: DataFrame, channels: Sequence[str] = ()) -> DataFrame:
+    """The parts of every distinct name of a column `feature`, and its `standard` name, parsed in batches where the names are."""
+    columns = [c.split()[0] for c in _PARSED.split(", ")]
+
+    def run(frames):
+        for df in frames:
+            parsed = [parse_feature_name(n, channels) for n in df["feature"]]
+            yield pd.DataFrame([tuple(vars(r).values()) for r in parsed], columns=columns).assign(standard=[standardize_name(r) for r in parsed])
+
+    return names.select("feature").where("feature is not null").distinct().mapInPandas(run, f"{_PARSED}, standard string")
 
 
 def standardize_name(parsed: FeatureName) -> str:

@@ -114,28 +114,6 @@ SQL["feature_select"] = (
 
 # ---------------------------------------------------------------- names, checks and plots' tables
 
-SQL["parse_feature_names"] = """
-SELECT feature, object, feature_group, measure, channel, scale, angle, gray_levels, radial_bin, is_feature FROM (VALUES
-('Cells_AreaShape_Area', 'Cells', 'AreaShape', 'Area', NULL, NULL, NULL, NULL, NULL, TRUE),
-('Nuclei_Intensity_MeanIntensity_DNA', 'Nuclei', 'Intensity', 'MeanIntensity', 'DNA', NULL, NULL, NULL, NULL, TRUE),
-('Cytoplasm_Texture_Contrast_ER_3_00_256', 'Cytoplasm', 'Texture', 'Contrast', 'ER', '3', '00', '256', NULL, TRUE),
-('Cells_RadialDistribution_FracAtD_Mito_2of4', 'Cells', 'RadialDistribution', 'FracAtD', 'Mito', NULL, NULL, NULL, '2of4', TRUE),
-('Cells_Correlation_Correlation_DNA_AGP', 'Cells', 'Correlation', 'Correlation', 'DNA|AGP', NULL, NULL, NULL, NULL, TRUE),
-('Nuclei_Location_Center_X', 'Nuclei', 'Location', 'Center', NULL, NULL, NULL, NULL, NULL, FALSE),
-('emb_17', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE)
-) v(feature, object, feature_group, measure, channel, scale, angle, gray_levels, radial_bin, is_feature)
-"""
-SQL["standardize_feature_names"] = """
-SELECT feature, standard FROM (VALUES
-('Cells_AreaShape_Area', 'cells_area_shape_area'),
-('Nuclei_Intensity_MeanIntensity_DNA', 'nuclei_intensity_mean_intensity_dna'),
-('Cytoplasm_Texture_Contrast_ER_3_00_256', 'cytoplasm_texture_contrast_er_3_00_256'),
-('Cells_RadialDistribution_FracAtD_Mito_2of4', 'cells_radial_distribution_frac_at_d_mito_2of4'),
-('Cells_Correlation_Correlation_DNA_AGP', 'cells_correlation_correlation_dna|agp'),
-('Nuclei_Location_Center_X', 'nuclei_location_center'),
-('emb_17', 'emb_17')
-) v(feature, standard)
-"""
 SQL["validate_profiles"] = f"{WW} SELECT 'error' AS level, 'identity columns are not unique' AS message FROM (SELECT count(*) AS n, count(DISTINCT (plate, well)) AS d FROM wells) WHERE d < n"
 
 _DIST = "pd AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, b.batch AS bj, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)"

@@ -204,25 +204,46 @@ def canonical_channel(spark, sf):
 _FEATURE_NAMES = ["Cells_AreaShape_Area", "Nuclei_Intensity_MeanIntensity_DNA", "Cytoplasm_Texture_Contrast_ER_3_00_256", "Cells_RadialDistribution_FracAtD_Mito_2of4", "Cells_Correlation_Correlation_DNA_AGP", "Nuclei_Location_Center_X", "emb_17"]
 
 
-@query("parse_feature_names")
+def _measured_names(spark, sf):
+    """Feature names as a screen's files have them, one for each part: object, group and measure by its key, channel, scale and bin by its size."""
+    kind, chan = F.floor(F.col("p_partkey") / 3) % 4, F.element_at(F.array(*map(F.lit, ("DNA", "ER", "Mito", "AGP"))), (F.col("p_size") % 4 + 1).cast("int"))
+    obj = F.element_at(F.array(*map(F.lit, ("Cells", "Nuclei", "Cytoplasm"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    name = F.when(kind == 0, F.concat_ws("_", obj, F.lit("Intensity_MeanIntensity"), chan)).when(kind == 1, F.concat_ws("_", obj, F.lit("Texture_Contrast"), chan, (F.col("p_size") % 3 + 3).cast("string"), F.lit("00_256")))
+    name = name.when(kind == 2, F.concat(obj, F.lit("_RadialDistribution_FracAtD_"), chan, F.lit("_"), (F.col("p_size") % 4 + 1).cast("string"), F.lit("of4"))).otherwise(F.concat(obj, F.lit("_AreaShape_Area")))
+    return W.parse_feature_table(T.read(spark, sf, "part").select(name.alias("feature")))
+
+
+#: The same names put together from their parts, so the parts are known without parsing.
+_NAMES = """
+WITH bits AS (SELECT DISTINCT CAST(floor(p_partkey / 3.0) AS BIGINT) % 4 AS kind, ['Cells', 'Nuclei', 'Cytoplasm'][p_partkey % 3 + 1] AS object,
+                     ['DNA', 'ER', 'Mito', 'AGP'][p_size % 4 + 1] AS chan, CAST(p_size % 3 + 3 AS VARCHAR) AS sc, (p_size % 4 + 1) || 'of4' AS bin FROM part),
+parts AS (SELECT DISTINCT object, CASE kind WHEN 0 THEN 'Intensity' WHEN 1 THEN 'Texture' WHEN 2 THEN 'RadialDistribution' ELSE 'AreaShape' END AS feature_group,
+                 CASE kind WHEN 0 THEN 'MeanIntensity' WHEN 1 THEN 'Contrast' WHEN 2 THEN 'FracAtD' ELSE 'Area' END AS measure, CASE WHEN kind < 3 THEN chan END AS channel,
+                 CASE WHEN kind = 1 THEN sc END AS scale, CASE WHEN kind = 1 THEN '00' END AS angle, CASE WHEN kind = 1 THEN '256' END AS gray_levels, CASE WHEN kind = 2 THEN bin END AS radial_bin FROM bits),
+names AS (SELECT concat_ws('_', object, feature_group, measure, channel, scale, angle, gray_levels, radial_bin) AS feature, *, TRUE AS is_feature,
+                 concat_ws('_', lower(object), CASE feature_group WHEN 'RadialDistribution' THEN 'radial_distribution' WHEN 'AreaShape' THEN 'area_shape' ELSE lower(feature_group) END,
+                           CASE measure WHEN 'MeanIntensity' THEN 'mean_intensity' WHEN 'FracAtD' THEN 'frac_at_d' ELSE lower(measure) END, lower(channel), scale, angle, gray_levels, radial_bin) AS standard FROM parts)
+"""
+
+
+@query("parse_feature_names", f"{_NAMES} SELECT * EXCLUDE (standard) FROM names")
 def parse_names(spark, sf):
-    return W.parse_feature_names(spark, _FEATURE_NAMES)
+    return _measured_names(spark, sf).drop("standard")
 
 
-@query("standardize_feature_names")
+@query("standardize_feature_names", f"{_NAMES} SELECT feature, standard FROM names")
 def standardize_names(spark, sf):
-    rows = [(n, W.standardize_name(W.parse_feature_name(n))) for n in _FEATURE_NAMES]
-    return spark.createDataFrame(rows, "feature string, standard string")
+    return _measured_names(spark, sf).select("feature", "standard")
 
 
-@query("get_features", "SELECT feature FROM (VALUES ('Cells_AreaShape_Area')) v(feature)")
+@query("get_features", f"{_NAMES} SELECT feature FROM names WHERE object = 'Cells' AND feature_group = 'AreaShape'")
 def get_features(spark, sf):
-    return SRC.features_where(W.parse_feature_names(spark, _FEATURE_NAMES), object="Cells", feature_group="AreaShape")
+    return SRC.features_where(_measured_names(spark, sf), object="Cells", feature_group="AreaShape")
 
 
-@query("feature_sets", "SELECT source, target, 1.0::DOUBLE AS weight FROM (VALUES ('Intensity|DNA', 'Nuclei_Intensity_MeanIntensity_DNA'), ('Texture|ER', 'Cytoplasm_Texture_Contrast_ER_3_00_256'), ('RadialDistribution|Mito', 'Cells_RadialDistribution_FracAtD_Mito_2of4'), ('Correlation|DNA|AGP', 'Cells_Correlation_Correlation_DNA_AGP')) v(source, target)")
+@query("feature_sets", f"{_NAMES} SELECT feature_group || '|' || channel AS source, feature AS target, 1.0::DOUBLE AS weight FROM names WHERE channel IS NOT NULL")
 def feature_sets(spark, sf):
-    return N.feature_sets(W.parse_feature_names(spark, _FEATURE_NAMES), ["feature_group", "channel"])
+    return N.feature_sets(_measured_names(spark, sf), ["feature_group", "channel"])
 
 
 @query("annotate_controls", f"{WC} SELECT row_id, CASE WHEN pert = 'N' THEN 'negcon' WHEN pert = 'A' THEN 'poscon' ELSE 'treatment' END AS Metadata_Control_Type, pert IN ('N', 'A') AS Metadata_Control FROM cells")
@@ -357,10 +378,12 @@ def read_export(spark, sf):
     return out.select("ImageNumber", F.col("ObjectNumber").cast("long").alias("ObjectNumber"), F.col("Cells_AreaShape_Area").cast("double").alias("Cells_AreaShape_Area"), F.col("Nuclei_AreaShape_Area").cast("double").alias("Nuclei_AreaShape_Area"), "Metadata_Plate", F.col("ImageQuality_Focus").cast("double").alias("ImageQuality_Focus"))
 
 
-@query("stamp_profiles", "SELECT resolution, grouped_by, features FROM (VALUES ('well', 'Metadata_Plate,Metadata_Well', 'Cells_AreaShape_q,Cells_AreaShape_p,Cells_AreaShape_d,Cells_AreaShape_t')) v(resolution, grouped_by, features)")
+@query("stamp_profiles", f"{WW} SELECT 'well' AS resolution, plate AS Metadata_Plate, well AS Metadata_Well, 'Cells_AreaShape_q,Cells_AreaShape_p,Cells_AreaShape_d,Cells_AreaShape_t' AS features, count(*) AS n_rows FROM wells GROUP BY plate, well")
 def stamp_profiles(spark, sf):
-    m = SRC.stamp(_named_wells(spark, sf), "well", grouped_by=["Metadata_Plate", "Metadata_Well"])
-    return spark.createDataFrame([(m.resolution, ",".join(m.grouped_by), ",".join(m.features))], "resolution string, grouped_by string, features string")
+    """Rows of each identity that the stamp names."""
+    w = _named_wells(spark, sf)
+    m = SRC.stamp(w, "well", grouped_by=["Metadata_Plate", "Metadata_Well"])
+    return w.groupBy(*m.grouped_by).agg(F.count(F.lit(1)).alias("n_rows")).withColumns({"resolution": F.lit(m.resolution), "features": F.lit(",".join(m.features))})
 
 
 @query("read_edges", "SELECT DISTINCT CAST(least(l, r) AS VARCHAR) AS a, CAST(greatest(l, r) AS VARCHAR) AS b FROM (SELECT 'g' || (p_partkey % 50) AS l, 'g' || (p_size % 50) AS r FROM part) WHERE l <> r")
