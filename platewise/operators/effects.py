@@ -108,12 +108,25 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str, by: Sequence[str]) -> D
     return rows.groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
+def mean_square_distances(df: DataFrame, vector: str, group: str) -> DataFrame:
+    """(group_a, group_b, m), group_a <= group_b: mean squared Euclidean distance of rows of either group, self pairs left out.
+
+    From each group's sums and sums of squares about the overall mean, so no pair of rows is ever made.
+    """
+    long = df.select(F.col(group).alias("g"), F.posexplode(vector).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    centre = long.groupBy("pos").agg(F.avg("v").alias("c"))
+    each = long.join(centre, "pos").groupBy("g", "pos").agg(F.count("v").alias("n"), F.sum(F.col("v") - F.col("c")).alias("s"), F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("q"))
+    a, b = (each.select("pos", F.col("g").alias(f"group_{k}"), *[F.col(c).alias(f"{c}{k}") for c in "nsq"]) for k in "ab")
+    both = a.join(b, "pos").where("group_a <= group_b")
+    total = F.col("nb") * F.col("qa") + F.col("na") * F.col("qb") - 2.0 * F.col("sa") * F.col("sb")
+    out = both.groupBy("group_a", "group_b").agg(F.sum(total).alias("t"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = F.when(F.col("group_a") == F.col("group_b"), F.col("na") * (F.col("na") - 1)).otherwise(F.col("na") * F.col("nb"))
+    return out.where(pairs > 0).select("group_a", "group_b", (F.greatest(F.lit(0.0), F.col("t")) / pairs).alias("m"))
+
+
 def energy_distance(df: DataFrame, row_id: str, vector: str, group: str) -> DataFrame:
     """(group_a, group_b, distance): 2 E|ab| - E|aa'| - E|bb'| of squared Euclidean distances, self pairs left out."""
-    a = df.select(F.col(row_id).alias("i"), F.col(group).alias("group_a"), F.col(vector).alias("v"))
-    b = df.select(F.col(row_id).alias("j"), F.col(group).alias("group_b"), F.col(vector).alias("w"))
-    d = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    mean = a.join(b, (F.col("i") != F.col("j")) & (F.col("group_a") <= F.col("group_b"))).groupBy("group_a", "group_b").agg(F.avg(d).alias("m"))
+    mean = mean_square_distances(df, vector, group)
     own = mean.where("group_a = group_b")
     out = mean.where("group_a < group_b").join(own.select("group_a", F.col("m").alias("ma")), "group_a").join(own.select("group_b", F.col("m").alias("mb")), "group_b")
     return out.select("group_a", "group_b", (2.0 * F.col("m") - F.col("ma") - F.col("mb")).alias("distance"))

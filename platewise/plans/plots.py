@@ -118,9 +118,7 @@ def pl_dendrogram(spark, sf):
 
 @query("pl_distance_heatmap", rsql("SELECT a.label AS group_a, b.label AS group_b, avg(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS mean_sq FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.label <= b.label GROUP BY 1, 2", "mean_sq", prefix=f"WITH e AS ({T.EMBEDDED})"))
 def pl_distance_heatmap(spark, sf):
-    e = T.embedded(spark, sf)
-    a, b = e.select(F.col("vec_id").alias("i"), F.col("label").alias("group_a"), "v"), e.select(F.col("vec_id").alias("j"), F.col("label").alias("group_b"), F.col("v").alias("w"))
-    return a.join(b, (F.col("i") != F.col("j")) & (F.col("group_a") <= F.col("group_b"))).groupBy("group_a", "group_b").agg(F.avg(P.sq_euclidean("v", "w")).alias("mean_sq"))
+    return E.mean_square_distances(T.embedded(spark, sf), "v", "label").withColumnRenamed("m", "mean_sq")
 
 
 @query("pl_dose_response", rsql("SELECT compound, dose, avg(f2) AS response, count(*) AS n FROM doses WHERE dose > 0 GROUP BY compound, dose", "response", prefix=WD))
