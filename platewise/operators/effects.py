@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions import special as S
 from platewise.operators.mcd import robust_covariance
+from platewise.operators.quantiles import sum_before
 from platewise.operators.stats import MAD_SCALE, average_rank, benjamini_hochberg, cumulative_counts, join_fit, running_total, to_long
 
 
@@ -56,9 +57,8 @@ def mann_whitney(df: DataFrame, features: Sequence[str], group: str, control: Co
     if exact not in (True, False, "auto"):
         raise ValueError(f"exact must be True, False or 'auto', got {exact!r}")
     long = _long(df, features, group, control, [row_id])
-    below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ctl = long.groupBy("feature", "value").agg(F.count(F.when(F.col("__ctl"), 1)).alias("eq"))
-    ctl = ctl.withColumn("lt", F.coalesce(F.sum("eq").over(below), F.lit(0)))
+    ctl = sum_before(ctl, ["feature"], "value", "eq", "lt")
     cube = lambda t: t * t * t - t
     total = ctl.groupBy("feature").agg(F.sum("eq").alias("n2"), F.sum(cube(F.col("eq").cast("double"))).alias("tie2"))
     own = long.where(~F.col("__ctl")).groupBy(F.col(group).alias("group"), "feature", "value").agg(F.count(F.lit(1)).alias("k"))

@@ -73,6 +73,20 @@ def order_statistics(long: DataFrame, by: Sequence[str], value: str, ranks: Colu
     return found.select(*keys, "n", "rank", F.col("x").alias("value"))
 
 
+def sum_before(df: DataFrame, by: Sequence[str], value: str, amount: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """The rows with the sum of `amount` over their group's rows of smaller value; values of a group are distinct.
+
+    Windows run within monotone buckets of the values and over the few buckets, so a group is never one task.
+    """
+    keys = list(by)
+    ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    rows = join_fit(df, ends, keys).withColumn("__b", _bucket(_scaled(F.col(value)), _scaled(F.col("__lo")), _scaled(F.col("__hi")), buckets)).drop("__lo", "__hi")
+    each = rows.groupBy(*keys, "__b").agg(F.sum(amount).alias("__t"))
+    each = each.withColumn("__start", F.sum("__t").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__t")).drop("__t")  # over the buckets only
+    local = F.sum(amount).over(Window.partitionBy(*keys, "__b").orderBy(value)) - F.col(amount)
+    return join_fit(rows.withColumn("__local", local), each, [*keys, "__b"]).withColumn(name, F.col("__start") + F.col("__local")).drop("__b", "__local", "__start")
+
+
 def large_quantiles(df: DataFrame, by: Sequence[str], features: Sequence[str], q: Sequence[float], lower: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """(by…, feature, n, q0, q1, …): exact quantiles of every feature, interpolated between neighbours as `percentile` does, or
     (lower) the value of rank ceil(n q) - 1 as `percentile_disc` does. Missing values and NaN are left out."""

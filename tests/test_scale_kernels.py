@@ -144,3 +144,12 @@ def test_a_robust_covariance_calls_what_stray_controls_hide(spark):
     df = spark.createDataFrame(rows, "id long, grp string, control boolean, a double, b double, c double, d double")
     p = {kind: E.hit_calling(df, list("abcd"), "grp", F.col("control"), "id", n_permutations=300, covariance=kind).first() for kind in ("empirical", "robust")}
     assert p["robust"]["statistic"] > 1.5 * p["empirical"]["statistic"] and p["robust"]["pvalue"] < 0.02
+
+
+def test_sums_before_equal_a_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v), int(c)) for g in "ab" for v, c in zip(np.unique(np.concatenate((rng.lognormal(0, 5, 200), [-1e300, 0.0, math.inf]))), rng.integers(0, 5, 203))]
+    df = spark.createDataFrame(rows, "g string, v double, c long").repartition(3)
+    for buckets in (2, 1024):
+        got = {(r["g"], r["v"]): r["s"] for r in quantiles.sum_before(df, ["g"], "v", "c", "s", buckets).collect()}
+        assert got == {(g, v): sum(c2 for g2, v2, c2 in rows if g2 == g and v2 < v) for g, v, _ in rows}
