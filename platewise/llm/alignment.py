@@ -75,6 +75,7 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Aligner:
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = Merges(a), Pieces(b)
+        self.a.REMEMBER = 32 << 20  # a block's links stand beside it
         self.size_a = np.array([len(x) for x in self.a.bytes_of])
         self.size_b = np.array([len(x) for x in self.b.bytes_of])
         #: Decimal ids with what follows them: within a side, after the last of side a, after the last of side b.

@@ -27,7 +27,7 @@ class Merges:
     """Vocabulary, merge rules and added tokens of a byte-level BPE file."""
 
     #: Bytes of pre-tokens remembered at most by one task; a full memory is emptied, which costs time only.
-    REMEMBER = 32 << 20
+    REMEMBER = 48 << 20
 
     def __init__(self, data: bytes):
         spec = json.loads(data)
