@@ -50,6 +50,11 @@ class Merges:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rule[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+        self.rule_key = np.array(sorted(self.rule), np.int64)
+        self.rule_rank = np.array([self.rule[k][0] for k in self.rule_key.tolist()], np.int32)
+        self.made = np.zeros(len(model["merges"]), np.int32)  # by rank
+        for rank, i in self.rule.values():
+            self.made[rank] = i
         self.memory: dict[str, bytes] = {}
         self.held = 0
 
@@ -100,6 +105,72 @@ class Merges:
                 heapq.heappush(heap, (x[0], p, ids[p], merged, x[1]))
         return [i for i in ids if i >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the rule of each pair; len(made) where there is none."""
+        if not len(self.rule_key):
+            return np.zeros(left.shape, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.rule_key, key), len(self.rule_key) - 1)
+        return np.where(self.rule_key[at] == key, self.rule_rank[at], np.int32(len(self.made)))
+
+    def merge_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many short pre-tokens: in each round every one applies its lowest rule, the leftmost of equals."""
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        out, none, letters = [b""] * len(pieces), len(self.made), np.array(self.byte_id, np.int32)
+        for lo in range(0, len(order), 4096):
+            part = order[lo : lo + 4096]
+            size, width = np.array([len(pieces[i]) for i in part]), len(pieces[part[-1]]) + 1
+            ids = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in part]), np.uint8).reshape(len(part), width)
+            ids = letters[ids]
+            column = np.arange(width - 1)
+            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+            ranks[column >= size[:, None] - 1] = none
+            row = np.arange(len(part))
+            while True:
+                at = ranks[row].argmin(1)
+                rank = ranks[row, at]
+                go = rank < none
+                row, at, rank = row[go], at[go], rank[go]
+                if not len(row):
+                    break
+                after = column + (column > at[:, None])  # places without the right one of the two
+                left = ids[row]
+                left[:, :-1] = np.take_along_axis(left, after, 1)
+                left[np.arange(len(row)), at] = self.made[rank]
+                ids[row] = left
+                after = column + (column >= at[:, None])
+                kept = np.append(ranks[row], np.full((len(row), 1), none, np.int32), 1)
+                kept = np.take_along_axis(kept, after, 1)
+                size[row] -= 1
+                each = np.arange(len(row))
+                for k in (at - 1, at):  # the pairs that the new id is in
+                    ok = (k >= 0) & (k < size[row] - 1)
+                    kept[each[ok], k[ok]] = self._ranks(left[each[ok], k[ok]], left[each[ok], k[ok] + 1])
+                    over = (k >= 0) & (k >= size[row] - 1) & (k < width - 1)
+                    kept[each[over], k[over]] = none
+                ranks[row] = kept
+            data, step = ids.astype(self.dtype).tobytes(), width * self.dtype.itemsize
+            for j, (i, n) in enumerate(zip(part, size.tolist())):
+                out[i] = data[j * step : j * step + n * self.dtype.itemsize]
+        return out
+
+    def encode_together(self, text: str) -> bytes:
+        """encode, for texts of many different pre-tokens."""
+        pieces, memory = pre_tokens_of_library(text), self.memory
+        new = [p for p in dict.fromkeys(pieces) if p not in memory]
+        raw = [p.encode() for p in new]
+        short = [len(r) <= 24 for r in raw]
+        together = iter(self.merge_together([r for r, s in zip(raw, short) if s]))
+        found = {p: next(together) if s else np.array(self.merge(r), self.dtype).tobytes() for p, r, s in zip(new, raw, short)}
+        packed = b"".join([memory.get(p) or found[p] for p in pieces])
+        for p, x in found.items():
+            if len(p) <= 64:
+                self.held += 230 + len(p)
+                if self.held >= self.REMEMBER:
+                    self.forget()
+                memory[p] = x
+        return packed
+
     def piece(self, piece: str) -> bytes:
         """Packed ids of one pre-token."""
         found = self.memory.get(piece)

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -104,3 +106,61 @@ def test_query(spark, tmp_path, frame, rows):
     assert sorted(map(tuple, got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str) == expected(rows[:20])
     frame([]).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert queries.op13_token_alignment(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_joint_merges_equal_single_ones():
+    rng = random.Random(4)
+    m = al.aligner(*(open(p, "rb").read() for p in (A, B))).a
+    pieces = [bytes(rng.choices(b"aehinorst \xc3\xa9" if i % 2 else range(256), k=rng.randint(1, 24))) for i in range(5000)] + [b"a" * k for k in range(1, 25)]
+    assert [m.ids(x).tolist() for x in m.merge_together(pieces)] == [m.merge(p) for p in pieces]
+    assert m.merge_together([]) == []
+
+
+def test_odd_spacing_equals_contract(spark, frame):
+    rng = random.Random(6)
+    parts = ["a", "the", "don't", "é", "ﬁ", "中", "12", "!", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "̀", "▁", "¨", "ŉ", "<s>"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    got = al.align(frame(list(enumerate(texts))), A, B, block_bytes=2000).drop("n_best_a")
+    assert sorted(map(tuple, got.collect()), key=str) == expected(list(enumerate(texts)))
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    fed = []
+    encode = al.Pieces.encode
+    monkeypatch.setattr(al.Pieces, "encode", lambda self, texts: fed.extend(texts) or encode(self, texts))
+    monkeypatch.setattr(al, "TaskContext", Task)
+    run_block(["the end of the word " * 500] * 20)
+    assert sum(map(len, fed)) < 1000
+
+
+class Task:
+    @staticmethod
+    def get():
+        return Task()
+
+    def partitionId(self):
+        return 0
+
+
+def run_block(texts, block_bytes=1 << 30):
+    files = type("Files", (), {"value": tuple(open(p, "rb").read() for p in (A, B))})
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run = al._align(files, block_bytes)
+    return sum(len(x) for x in run(iter([rows])))
+
+
+def test_memory_of_a_block_is_not_that_of_its_links(monkeypatch):
+    """An executor ran out of memory beside workers that held a block's links unpacked."""
+    monkeypatch.setattr(al, "TaskContext", Task)
+    monkeypatch.setattr(al, "SLICE", 1 << 16, raising=False)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghist", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1000)]
+    run_block(texts[:2])  # loads the vocabularies
+    tracemalloc.start()
+    try:
+        assert run_block(texts) > 1000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20
