@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ LEAST, BITS, MOST = 192, 9, 8192
 FILTER_BITS = 1 << 27
 #: Characters at the end of a piece of text whose boundaries may still move: the pattern looks two ahead at most.
 LOOK = 3
+#: Bytes of text whose new pre-tokens are merged together; a longer text is taken by itself.
+TOGETHER = 1 << 20
 
 
 def _gear() -> np.ndarray:
@@ -111,16 +114,21 @@ _HEAD = np.dtype("<u4")
 HARD = 0xFFFFFFFF
 
 
+def segments(m: Merges, texts: list[str]) -> list[bytes]:
+    """Stretches of text, each encoded by itself, with the number of ids at its end that a later text may change."""
+    out, cut = [], [pre_tokens_of_library(t) for t in texts]
+    for pieces, packed in zip(cut, m.pack_together(cut)):
+        at, left = len(pieces), LOOK
+        while at and left > 0:
+            at -= 1
+            left -= len(pieces[at])
+        tail = len(m.pack(pieces[at:])) // m.dtype.itemsize
+        out.append(np.array([tail], _HEAD).tobytes() + packed)
+    return out
+
+
 def segment(m: Merges, text: str) -> bytes:
-    """A stretch of text, encoded by itself, with the number of ids at its end that a later text may change."""
-    pieces = pre_tokens_of_library(text)
-    packed = m.pack(pieces)
-    at, left = len(pieces), LOOK
-    while at and left > 0:
-        at -= 1
-        left -= len(pieces[at])
-    tail = len(m.pack(pieces[at:])) // m.dtype.itemsize
-    return np.array([tail], _HEAD).tobytes() + packed
+    return segments(m, [text])[0]
 
 
 def special_segment(m: Merges, token: str) -> bytes:
@@ -252,8 +260,8 @@ def shared_filter(docs: DataFrame, data, bits: int = FILTER_BITS) -> tuple[bytes
 
 
 def _finished(m: Merges, packed: bytes, keep_ids: bool) -> tuple:
-    ids = m.ids(packed).tolist()
-    return (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(m.decode(packed)).hexdigest(), ids if keep_ids else None)
+    ids = m.ids(packed)
+    return (len(ids), hashlib.sha256(m.decimals(packed)).hexdigest(), hashlib.sha256(m.decode(packed)).hexdigest(), ids.tolist() if keep_ids else None)
 
 
 def _split(data, filter_data, keep_ids: bool, limit: int = 100_000):
@@ -267,7 +275,34 @@ def _split(data, filter_data, keep_ids: bool, limit: int = 100_000):
         keys: dict[bytes, int] = {}  # texts of this task by digest
         sent: set[bytes] = set()  # chunks of this task whose text is written
         rows: list[tuple] = []
-        for b in slices(batches, 200):
+        held: list[tuple[int, list[tuple], bool]] = []  # texts whose own chunks are still to be encoded
+        size = 0
+
+        def settle() -> pa.RecordBatch:
+            whole = [[pre_tokens_of_library(x[1].decode()) for x in parts if x[0] == 5] for _, parts, shared in held if not shared]
+            whole = iter(m.pack_together(list(chain.from_iterable(whole))))
+            own = iter(segments(m, [x[1].decode() for _, parts, shared in held if shared for x in parts if x[0] == 5]))
+            for key, parts, shared in held:
+                if not shared:
+                    packed = b"".join([next(whole) if x[0] == 5 else x[1][_HEAD.itemsize :] for x in parts])
+                    rows.append((1, None, key, None, None, None, *_finished(m, packed, keep_ids)))
+                    continue
+                for seq, x in enumerate(parts):
+                    if x[0] == 3:
+                        rows.append((3, None, key, seq, x[1], *[None] * 5))
+                        if x[1] not in sent:
+                            if len(sent) >= 4 * limit:
+                                sent.clear()
+                            sent.add(x[1])
+                            rows.append((4, None, None, None, x[1], x[2], *[None] * 4))
+                    else:
+                        rows.append((2, None, key, seq, None, next(own) if x[0] == 5 else x[1], *[None] * 4))
+            out = batch(_WORK, zip(*rows))
+            rows.clear()
+            held.clear()
+            return out
+
+        for b in slices(batches):
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py() or ""
                 raw = text.encode()
@@ -298,22 +333,14 @@ def _split(data, filter_data, keep_ids: bool, limit: int = 100_000):
                             own.append(c)
                     if own:
                         parts.append((5, b"".join(own)))
-                if not shared:
-                    packed = b"".join(m.encode(x[1].decode()) if x[0] == 5 else x[1][_HEAD.itemsize :] for x in parts)
-                    rows.append((1, None, key, None, None, None, *_finished(m, packed, keep_ids)))
-                    continue
-                for seq, x in enumerate(parts):
-                    if x[0] == 3:
-                        rows.append((3, None, key, seq, x[1], *[None] * 5))
-                        if x[1] not in sent:
-                            if len(sent) >= 4 * limit:
-                                sent.clear()
-                            sent.add(x[1])
-                            rows.append((4, None, None, None, x[1], x[2], *[None] * 4))
-                    else:
-                        rows.append((2, None, key, seq, None, segment(m, x[1].decode()) if x[0] == 5 else x[1], *[None] * 4))
-            yield batch(_WORK, zip(*rows))
-            rows = []
+                held.append((key, parts, shared))
+                size += len(raw)
+                if size >= TOGETHER:
+                    yield settle()
+                    size = 0
+            if rows:
+                yield settle()
+                size = 0
         m.forget()
 
     return run
@@ -325,7 +352,7 @@ def _encode_chunks(data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(data.value)
         for b in slices(batches):
-            yield batch(schema, (b.column(0), [segment(m, c.as_py().decode()) for c in b.column(1)]))
+            yield batch(schema, (b.column(0), segments(m, [c.as_py().decode() for c in b.column(1)])))
         m.forget()
 
     return run

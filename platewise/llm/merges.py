@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from platewise.llm.bpe import pre_tokens
 
@@ -28,6 +30,8 @@ class Merges:
 
     #: Bytes of pre-tokens remembered at most by one task; a full memory is emptied, which costs time only.
     REMEMBER = 48 << 20
+    #: Bytes of pre-tokens that are merged without a heap; with two ends their places must fit five bits.
+    SHORT = 24
 
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -45,16 +49,17 @@ class Merges:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token))
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.byte_strings = pa.array(self.bytes_of, pa.large_binary())
+        self.decimal_strings = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
         self.byte_id = [vocab[c] for c in _byte_letters()]
         self.rule: dict[int, tuple[int, int]] = {}  # left id and right id in one number -> (rank, merged id)
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rule[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-        self.rule_key = np.array(sorted(self.rule), np.int64)
-        self.rule_rank = np.array([self.rule[k][0] for k in self.rule_key.tolist()], np.int32)
         self.made = np.zeros(len(model["merges"]), np.int32)  # by rank
         for rank, i in self.rule.values():
             self.made[rank] = i
+        self._place_rules()
         self.memory: dict[str, bytes] = {}
         self.held = 0
 
@@ -65,7 +70,7 @@ class Merges:
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rule, the leftmost of equals."""
         ids = [self.byte_id[b] for b in data]
-        return self._short(ids) if len(ids) <= 24 else self._long(ids)
+        return self._short(ids) if len(ids) <= self.SHORT else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
         rule = self.rule
@@ -107,62 +112,89 @@ class Merges:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the rule of each pair; len(made) where there is none."""
-        if not len(self.rule_key):
-            return np.zeros(left.shape, np.int32)
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.rule_key, key), len(self.rule_key) - 1)
-        return np.where(self.rule_key[at] == key, self.rule_rank[at], np.int32(len(self.made)))
+        at = self._slots(key)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_rank[at], np.int32(len(self.made)))
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            at[on] = at[on] + 1 & len(self.slot_key) - 1
+            held = self.slot_key[at[on]]
+            hit = held == key[on]
+            out[on[hit]] = self.slot_rank[at[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - len(self.slot_key).bit_length())).astype(np.int64)
+
+    def _place_rules(self) -> None:
+        """Rules as arrays: a hash table that goes on at the next slot, and the ranks of all pairs of bytes."""
+        none, keys = len(self.made), np.array(list(self.rule), np.int64)
+        ranks = np.array([r for r, _ in self.rule.values()], np.int32)
+        size = 2 << (2 * len(keys)).bit_length()
+        self.slot_key, self.slot_rank = np.full(size, -1, np.int64), np.full(size, none, np.int32)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_key[at[left]] < 0]
+            self.slot_key[at[free]] = keys[free]  # of several keys at a slot one stays
+            won = self.slot_key[at[left]] == keys[left]
+            self.slot_rank[at[left[won]]] = ranks[left[won]]
+            left = left[~won]
+            at[left] = at[left] + 1 & size - 1
+        self.letters = np.array(self.byte_id, np.int32)
+        self.first = self._ranks(np.repeat(self.letters, 256), np.tile(self.letters, 256))
 
     def merge_together(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of many short pre-tokens: in each round every one applies its lowest rule, the leftmost of equals."""
+        """Packed ids of many short pre-tokens: in each round every one applies its lowest rule, the leftmost of equals.
+
+        A column is a pre-token between two ends that no rule knows; its ids are linked, so that a merge moves nothing.
+        """
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        out, none, letters = [b""] * len(pieces), len(self.made), np.array(self.byte_id, np.int32)
+        out, none, end, width = [b""] * len(pieces), len(self.made), len(self.bytes_of), self.dtype.itemsize
         for lo in range(0, len(order), 4096):
             part = order[lo : lo + 4096]
-            size, width = np.array([len(pieces[i]) for i in part]), len(pieces[part[-1]]) + 1
-            ids = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in part]), np.uint8).reshape(len(part), width)
-            ids = letters[ids]
-            column = np.arange(width - 1)
-            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
-            ranks[column >= size[:, None] - 1] = none
-            row = np.arange(len(part))
+            n, high = len(part), len(pieces[part[-1]]) + 2
+            raw = np.frombuffer(b"".join([pieces[i].rjust(len(pieces[i]) + 1, b"\0").ljust(high, b"\0") for i in part]), np.uint8)
+            raw = np.ascontiguousarray(raw.reshape(n, high).T)
+            place = np.arange(high, dtype=np.int32)[:, None]
+            inside = (place > 0) & (place <= np.array([len(pieces[i]) for i in part]))
+            ids = np.where(inside, self.letters[raw], np.int32(end)).ravel()
+            low = np.full((high, n), none << 5, np.int32)  # rank and place of each pair in one number
+            pair = self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+            low[:-1] = np.where(inside[:-1] & inside[1:], pair, np.int32(none)) << 5 | place[:-1]
+            flat, after, before = low.ravel(), np.arange(n, high * n + n), np.arange(-n, high * n - n)
             while True:
-                at = ranks[row].argmin(1)
-                rank = ranks[row, at]
-                go = rank < none
-                row, at, rank = row[go], at[go], rank[go]
-                if not len(row):
+                best = low.min(0)
+                go = np.flatnonzero(best < none << 5)
+                if not len(go):
                     break
-                after = column + (column > at[:, None])  # places without the right one of the two
-                left = ids[row]
-                left[:, :-1] = np.take_along_axis(left, after, 1)
-                left[np.arange(len(row)), at] = self.made[rank]
-                ids[row] = left
-                after = column + (column >= at[:, None])
-                kept = np.append(ranks[row], np.full((len(row), 1), none, np.int32), 1)
-                kept = np.take_along_axis(kept, after, 1)
-                size[row] -= 1
-                each = np.arange(len(row))
-                for k in (at - 1, at):  # the pairs that the new id is in
-                    ok = (k >= 0) & (k < size[row] - 1)
-                    kept[each[ok], k[ok]] = self._ranks(left[each[ok], k[ok]], left[each[ok], k[ok] + 1])
-                    over = (k >= 0) & (k >= size[row] - 1) & (k < width - 1)
-                    kept[each[over], k[over]] = none
-                ranks[row] = kept
-            data, step = ids.astype(self.dtype).tobytes(), width * self.dtype.itemsize
-            for j, (i, n) in enumerate(zip(part, size.tolist())):
-                out[i] = data[j * step : j * step + n * self.dtype.itemsize]
+                best = best[go]
+                at = (best & 31) * np.int64(n) + go
+                merged = self.made[best >> 5]
+                gone = after[at]
+                right, left = after[gone], before[at]
+                ids[at], ids[gone], flat[gone] = merged, end, none << 5
+                after[at], before[right] = right, at
+                flat[at] = self._ranks(merged, ids[right]) << 5 | best & 31
+                flat[left] = self._ranks(ids[left], merged) << 5 | (left // n).astype(np.int32)
+            ids = ids.reshape(high, n).T
+            real = ids < end
+            data, at = ids[real].astype(self.dtype).tobytes(), 0
+            for i, size in zip(part, (real.sum(1) * width).tolist()):
+                out[i] = data[at : at + size]
+                at += size
         return out
 
-    def encode_together(self, text: str) -> bytes:
-        """encode, for texts of many different pre-tokens."""
-        pieces, memory = pre_tokens_of_library(text), self.memory
-        new = [p for p in dict.fromkeys(pieces) if p not in memory]
+    def pack_together(self, texts: list[list[str]]) -> list[bytes]:
+        """pack, for the pre-tokens of several texts: those that are new are merged together."""
+        memory = self.memory
+        new = [p for p in dict.fromkeys(chain.from_iterable(texts)) if p not in memory]
         raw = [p.encode() for p in new]
-        short = [len(r) <= 24 for r in raw]
+        short = [len(r) <= self.SHORT for r in raw]
         together = iter(self.merge_together([r for r, s in zip(raw, short) if s]))
         found = {p: next(together) if s else np.array(self.merge(r), self.dtype).tobytes() for p, r, s in zip(new, raw, short)}
-        packed = b"".join([memory.get(p) or found[p] for p in pieces])
+        packed = [b"".join([memory.get(p) or found[p] for p in pieces]) for pieces in texts]
         for p, x in found.items():
             if len(p) <= 64:
                 self.held += 230 + len(p)
@@ -171,6 +203,10 @@ class Merges:
                 memory[p] = x
         return packed
 
+    def encode_together(self, text: str) -> bytes:
+        """encode, for texts of many different pre-tokens."""
+        return self.pack_together([pre_tokens_of_library(text)])[0]
+
     def piece(self, piece: str) -> bytes:
         """Packed ids of one pre-token."""
         found = self.memory.get(piece)
@@ -195,7 +231,19 @@ class Merges:
         return np.frombuffer(packed, self.dtype)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, self.ids(packed).tolist()))
+        return _strung(self.byte_strings, self.ids(packed))
+
+    def decimals(self, packed: bytes) -> bytes:
+        """Decimal ids joined by commas."""
+        return _strung(self.decimal_strings, self.ids(packed))[:-1]
+
+
+def _strung(strings: pa.Array, at: np.ndarray) -> bytes:
+    """The strings at these places, one after the other."""
+    if not len(at):
+        return b""
+    _, ends, data = strings.take(pa.array(at)).buffers()
+    return data[: int(np.frombuffer(ends, np.int64, len(at) + 1)[-1])].to_pybytes()
 
 
 _SPLIT = None

@@ -1,9 +1,12 @@
 """Chunked encoding against the tokenizers library."""
 
 import hashlib
+import json
 import random
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 
 from platewise.llm import chunk_reuse as cr
 from platewise.llm import queries
-from platewise.llm.merges import Merges
+from platewise.llm.merges import Merges, _byte_letters
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXT = st.text(st.sampled_from("ab thes'é ßre'll\n\t\x1c\x85\xa03²中😀ⅧªÅ!_１　́"), max_size=80)
@@ -97,6 +100,65 @@ def test_operator_equals_library(spark, frame, oracle, bits):
     assert texts == sorted([(i, t or "") for i, t in rows], key=str)
 
 
+def second_scan(m, monkeypatch, texts):
+    """What the second scan finishes without any shared chunk: key -> (n_tokens, digests)."""
+    monkeypatch.setattr(cr, "merges", lambda data: m)
+    monkeypatch.setattr(cr.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    scan = cr._split(SimpleNamespace(value=b""), SimpleNamespace(value=(b"", b"", 64)), False)
+    rows = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    out = [r for b in scan(iter([rows])) for r in b.to_pylist()]
+    by_key = {r["key"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out if r["kind"] == 1}
+    return [by_key[r["key"]] for r in out if r["kind"] == 0]
+
+
+def test_new_words_of_many_texts_are_merged_together(m, oracle, monkeypatch):
+    """No short word is merged by itself, and a block of texts asks once for all of its words."""
+    rng, calls = random.Random(5), {"merge": 0, "together": 0}
+    texts = [" ".join("".join(rng.choices("etaoinñ中", k=rng.randint(2, 7))) for _ in range(40)) for _ in range(50)]
+    one, many = m.merge, m.merge_together
+    m.forget()
+
+    def merge(data):
+        calls["merge"] += 1
+        return one(data)
+
+    def merge_together(pieces):
+        calls["together"] += bool(pieces)
+        return many(pieces)
+
+    monkeypatch.setattr(m, "merge", merge)
+    monkeypatch.setattr(m, "merge_together", merge_together, raising=False)
+    got = second_scan(m, monkeypatch, texts)
+    assert got == [x[1:] for x in sorted(map(tuple, expected(oracle, enumerate(texts))), key=lambda x: x[0])]
+    assert calls == {"merge": 0, "together": 1}
+
+
+@pytest.mark.parametrize("together", [1, 500, 1 << 20])
+def test_blocks_of_the_second_scan(m, oracle, monkeypatch, together):
+    monkeypatch.setattr(cr, "TOGETHER", together, raising=False)
+    monkeypatch.setattr(m, "REMEMBER", 3000)  # emptied within a block
+    m.forget()
+    texts = [t for _, t in corpus()[55:95]]
+    got = second_scan(m, monkeypatch, texts)
+    assert got == [x[1:] for x in sorted(map(tuple, expected(oracle, enumerate(texts))), key=lambda x: x[0])]
+    m.forget()
+
+
+def test_merging_together_without_rules_and_with_few():
+    letters = [chr(b) for b in range(0x21, 0x7F)]
+    spec = json.loads(open(PATH, "rb").read())
+    spec["added_tokens"] = []
+    for rules in ([], ["a b", "ab a", "b a", "aba b"]):
+        vocab = {c: i for i, c in enumerate(dict.fromkeys(_byte_letters() + [r.replace(" ", "") for r in rules]))}
+        spec["model"] |= {"vocab": vocab, "merges": rules}
+        small = Merges(json.dumps(spec).encode())
+        pieces = ["".join(random.Random(i).choices("ab" if i % 2 else letters, k=1 + i % 24)).encode() for i in range(400)]
+        together = small.merge_together(pieces)
+        assert [small.ids(x).tolist() for x in together] == [small.merge(p) for p in pieces]
+        assert [small.decode(x) for x in together] == pieces
+        assert small.decimals(b"") == small.decode(b"") == b""
+
+
 def test_shared_chunks_are_encoded_once(spark, frame):
     """Of a passage in 20 documents, the ids of its inner chunks are computed in one place."""
     rows = corpus()
