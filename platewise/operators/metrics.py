@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.folds import SCALE, best_pairs, class_sums
 from platewise.operators.stats import correlation, to_long
 
 
@@ -88,6 +89,20 @@ def lisi(pairs: DataFrame, label: str, k: int = 30) -> DataFrame:
     return each.withColumn("p2", share * share).groupBy("i").agg((1.0 / F.sum("p2")).alias("lisi")).agg(F.median("lisi").alias("score"))
 
 
+def silhouette_rows(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
+    """`silhouette` from the rows by rounded Euclidean distances, which are summed for each row and label in tiles."""
+    sums = class_sums(df.withColumn("__other", F.col(label)), row_id, vector, ["__other"], "euclidean").withColumn("m", F.col("s") / F.col("n") / float(SCALE))
+    own = df.select(F.col(row_id).alias("__i"), F.col(label).alias("__own"))
+    rows = sums.join(own, F.col("id") == F.col("__i"))
+    row = rows.groupBy("id").agg(F.max(F.when(F.col("__own") == F.col("__other"), F.col("m"))).alias("a"), F.min(F.when(F.col("__own") != F.col("__other"), F.col("m"))).alias("b"))
+    return row.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.when(F.greatest("a", "b") > 0, F.greatest("a", "b")), F.lit(0.0))).alias("score"))
+
+
+def lisi_rows(df: DataFrame, row_id: str, vector: str, label: str, k: int = 30) -> DataFrame:
+    """`lisi` from the rows: the k nearest by rounded Euclidean distance are found in tiles."""
+    return lisi(best_pairs(df, row_id, vector, k, [label], kind="euclidean").drop("r"), label, k)
+
+
 def evaluate_integration(bio: dict[str, float], batch: dict[str, float], map_score: float | None = None) -> dict[str, float]:
     """Totals of a metric panel: 0.4 batch + 0.6 biology, and the same with mAP among the biology scores."""
     b, c = float(np.mean(list(bio.values()))) if bio else math.nan, float(np.mean(list(batch.values()))) if batch else math.nan
