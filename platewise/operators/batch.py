@@ -233,7 +233,7 @@ def sphere(df: DataFrame, features: Sequence[str], reference: Column, method: st
 
 def select_epsilon(df: DataFrame, features: Sequence[str], reference: Column, label: str, row_id: str, epsilons: Sequence[float], method: str = "ZCA-cor") -> DataFrame:
     """(epsilon, score, best): mean average precision of the labels after sphering by one half of the reference, for each epsilon."""
-    from platewise.operators.pairs import average_precision, map_pairs, similarity_pairs
+    from platewise.operators.pairs import average_precision_rows
 
     fit = reference & (F.pmod(F.xxhash64(row_id), F.lit(2)) == 0)
     mean, cov, _ = covariance(df.where(fit), features)
@@ -242,8 +242,7 @@ def select_epsilon(df: DataFrame, features: Sequence[str], reference: Column, la
     for e in epsilons:
         center, m = sphere_matrix(mean, cov, method, e)
         z = apply_matrix(held, features, m, center).withColumn("__v", F.array(*features))
-        pairs = similarity_pairs(z, row_id, "__v", keep=[label], ordered=True)
-        score = average_precision(map_pairs(pairs, [label], [], [], [label])).agg(F.avg("ap")).first()[0]
+        score = average_precision_rows(z, row_id, "__v", pos_sameby=[label], neg_diffby=[label]).agg(F.avg("ap")).first()[0]
         rows.append((float(e), float(score or 0.0)))
     top = max(s for _, s in rows)
     return df.sparkSession.createDataFrame([(e, s, s == top) for e, s in rows], "epsilon double, score double, best boolean")
