@@ -1,8 +1,9 @@
 """All-pairs products in tiles, and an exact join of nearest neighbours that leaves most tiles out.
 
 `pair_tiles` deals rows into blocks of bounded size and pairs the blocks: a tile is one matrix product in one task, and a
-rule or a best-k cut is applied before anything leaves it. Work grows with the square of the rows, as it must, but no side is
-broadcast, no task holds more than two blocks, and what is shuffled is blocks, not pairs.
+rule is applied before anything leaves it. Work grows with the square of the rows, as it must, but no side is
+broadcast, no task holds more than two blocks, and what is shuffled is blocks, not pairs. Where no single pair is wanted, see
+`folds`.
 
 `nearest_neighbours` deals rows into cells around pivots. The triangle inequality bounds the distance from a row to
 everything in a cell, so a row visits only cells that could hold one of its k nearest. Distances and ties are those of all
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.cut import cut
+from platewise.operators.folds import best_pairs
 
 #: Rows of a block.
 BLOCK = 1024
@@ -74,13 +76,16 @@ def best_of(i: np.ndarray, score: np.ndarray, j: np.ndarray, k: int) -> np.ndarr
     return order[rank < k]
 
 
-def pair_tiles(rows: DataFrame, row_id: str, vector: str, keep: Sequence[str] = (), ordered: bool = False, digits: int = 6, rules=None, k: int | None = None, block: int = BLOCK) -> DataFrame:
+def pair_tiles(rows: DataFrame, row_id: str, vector: str, keep: Sequence[str] = (), ordered: bool = False, digits: int = 6, rules=None, k: int | None = None, block: int | None = None) -> DataFrame:
     """(i, j, keep_i…, keep_j…, sim): rounded dot products of all pairs i < j, or of i <> j if ordered.
 
     rules: pairs are kept that satisfy one of these (columns that are equal, columns that differ). k: only the k most
     similar of each i, ties to the lowest j; needs ordered. Vectors are finite and of one length.
     """
     keep = list(dict.fromkeys(keep))
+    if k is not None:
+        return best_pairs(rows, row_id, vector, k, keep, rules, digits=digits, block=block).drop("r")
+    block = block or BLOCK
     used = list(dict.fromkeys([*keep, *(c for same, diff in rules or () for c in (*same, *diff))]))
     blocks = n_blocks(rows.count(), block)
     rows = rows.select(F.col(row_id).alias("__id"), F.col(vector).alias("__u"), *used).withColumn("__block", _block("__id", blocks))
@@ -115,20 +120,13 @@ def pair_tiles(rows: DataFrame, row_id: str, vector: str, keep: Sequence[str] =
                 if rules is not None:
                     ok = _rule(one, other, r, s, rules)
                     r, s, value = r[ok], s[ok], value[ok]
-                if k is not None and len(r):
-                    best = best_of(one["__id"].to_numpy()[r], value, other["__id"].to_numpy()[s], k)
-                    r, s, value = r[best], s[best], value[best]
                 one_r, other_s = one.take(r), other.take(s)
                 out = {"i": one_r["__id"].array, "j": other_s["__id"].array}
                 out |= {f"{c}_i": one_r[c].array for c in keep} | {f"{c}_j": other_s[c].array for c in keep}
                 parts.append(pd.DataFrame(out | {"sim": value}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in names})
 
-    out = dealt.groupBy("__a", "__b").applyInPandas(product, schema)
-    if k is not None:
-        best = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
-        out = out.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).drop("__r")
-    return out
+    return dealt.groupBy("__a", "__b").applyInPandas(product, schema)
 
 
 def apart(df: DataFrame) -> DataFrame:
@@ -186,7 +184,8 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
 
     1. Rows go to the cell of their nearest pivot, cells to blocks of bounded size; the k nearest within a row's block bound
        the distance of its k-th neighbour. 2. The row visits the blocks of every cell that the bound does not rule out; each
-       visit returns k rows at most. Of rows with one vector, only the k + 1 of lowest id can be anyone's neighbours, so a
+       visit returns k rows at most. Where the bounds rule out less than half of all pairs, all pairs are compared in tiles
+       instead, as visits would carry each row into nearly every cell. Of rows with one vector, only the k + 1 of lowest id can be anyone's neighbours, so a
        crowd of equal rows is not compared with itself. `counted` gets the number of pairs whose distance was computed.
     """
     by = list(by)
@@ -246,7 +245,7 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
                 out[lo : lo + 512] = np.sqrt(np.partition(d, k, axis=1)[:, k])  # the row itself may be among them
         return ask[[*by, "id", "v", "cell"]].assign(radius=out)
 
-    bounded = asked.groupBy(*tile).cogroup(apart(copies).groupBy(*tile)).applyInPandas(radius, f"{head}id {kinds['id']}, v array<double>, cell int, radius double")
+    bounded = cut(asked.groupBy(*tile).cogroup(apart(copies).groupBy(*tile)).applyInPandas(radius, f"{head}id {kinds['id']}, v array<double>, cell int, radius double"))
 
     # 2: the cells that a row has to visit; cells of its group only
     stat_of = lambda df: tuple(df[c].to_numpy(float) for c in ("cell", "n", "near", "far"))
@@ -258,25 +257,43 @@ def nearest_neighbours(points: DataFrame, row_id: str, vector: str, k: int, by:
     else:
         joined, every = bounded, stat_of(sizes.select("cell", "n", "near", "far").toPandas())  # a row for each pivot
 
+    def places(df: pd.DataFrame):
+        """(rows of a group, their radius, place and cell of each visit, rows of that cell)"""
+        for _, part in df.groupby(by, dropna=False) if by else [(None, df)] if len(df) else []:
+            which, n, near, far = every or tuple(part[f"s_{c}"].iloc[0] for c in ("cell", "n", "near", "far"))
+            which = np.asarray(which).astype(int)
+            v, own, r = _matrix(part["v"]), part["cell"].to_numpy(), part["radius"].to_numpy().copy()
+            to, slack = np.sqrt(_distances(v, x)), _slack(v, x)
+            lost = np.isinf(r)
+            if lost.any():  # too few rows in the block: the nearest cells that have k + 1 rows between them
+                reach = to[lost][:, which] + far[None, :] + 4.0 * np.sqrt(slack)
+                order = np.argsort(reach, axis=1)
+                enough = np.cumsum(n[order], axis=1) > k
+                place = np.take_along_axis(order, enough.argmax(1)[:, None], 1)
+                r[lost] = np.where(enough.any(1), np.take_along_axis(reach, place, 1)[:, 0], np.inf)
+            a, c = _visits(v, r, to, own, between, which, near, far, slack)
+            size = np.zeros(len(x))
+            size[which] = n
+            yield part, r, a, c, size[c]
+
     def visit(frames):
         for df in frames:
             out = [df.iloc[:0][[*by, "id", "v", "cell", "radius"]]]
-            for _, part in df.groupby(by, dropna=False) if by else [(None, df)] if len(df) else []:
-                which, n, near, far = every or tuple(part[f"s_{c}"].iloc[0] for c in ("cell", "n", "near", "far"))
-                which = np.asarray(which).astype(int)
-                v, own, r = _matrix(part["v"]), part["cell"].to_numpy(), part["radius"].to_numpy().copy()
-                to, slack = np.sqrt(_distances(v, x)), _slack(v, x)
-                lost = np.isinf(r)
-                if lost.any():  # too few rows in the block: the nearest cells that have k + 1 rows between them
-                    reach = to[lost][:, which] + far[None, :] + 4.0 * np.sqrt(slack)
-                    order = np.argsort(reach, axis=1)
-                    enough = np.cumsum(n[order], axis=1) > k
-                    place = np.take_along_axis(order, enough.argmax(1)[:, None], 1)
-                    r[lost] = np.where(enough.any(1), np.take_along_axis(reach, place, 1)[:, 0], np.inf)
-                a, c = _visits(v, r, to, own, between, which, near, far, slack)
-                out.append(part.iloc[a][[*by, "id", "v"]].assign(cell=c.astype("int32"), radius=r[a]))
+            out += [part.iloc[a][[*by, "id", "v"]].assign(cell=c.astype("int32"), radius=r[a]) for part, r, a, c, _ in places(df)]
             yield pd.concat(out)
 
+    def weigh(frames):
+        for df in frames:
+            yield pd.DataFrame({"pairs": [float(sum(n.sum() for *_, n in places(df)))]})
+
+    if not by and total > block:
+        pairs = joined.mapInPandas(weigh, "pairs double").agg(F.sum("pairs")).first()[0] or 0.0
+        if pairs > 0.5 * total * total:
+            if counted is not None:
+                counted.append(total * total)
+            found = best_pairs(rows, "id", "v", k, kind="euclidean", digits=None)
+            return found.select(F.col("i").alias("id"), F.col("j").alias("o_id"), "d", "r")
+
     visits = cut(joined.mapInPandas(visit, f"{head}id {kinds['id']}, v array<double>, cell int, radius double"))
     asked_of = visits.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("asked"))
     plan = sizes.drop("parts").join(asked_of.withColumnsRenamed({c: f"__{c}" for c in [*by, "cell"]}), _null_safe([*by, "cell"])).drop(*[f"__{c}" for c in [*by, "cell"]])
