@@ -13,6 +13,7 @@ from platewise.functions.special import col_chi2_sf
 from platewise.functions.wells import parse_feature_name
 from platewise.operators.gram import pairwise_correlations
 from platewise.operators.qc import feature_metrics
+from platewise.operators.quantiles import sum_before
 from platewise.operators.stats import average_rank, benjamini_hochberg, correlation, to_long
 
 DEFAULT_OPERATIONS = ("drop_degenerate", "blocklist", "drop_na_columns", "variance_threshold", "correlation_threshold")
@@ -278,9 +279,12 @@ def icc(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
 def kruskal(df: DataFrame, features: Sequence[str], group: str, p_values: bool = True) -> DataFrame:
     """(feature, h, df[, pvalue, qvalue]): tie-corrected Kruskal-Wallis of each feature over the groups."""
     long = to_long(df, [group], features)
-    ranked = long.withColumn("r", average_rank("value", ["feature"])).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("feature", "value")))
-    tie = ranked.groupBy("feature").agg(F.sum(F.col("ties") * F.col("ties") - 1.0).alias("t"), F.count(F.lit(1)).alias("n"))
-    each = ranked.groupBy("feature", group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
+    cells = long.groupBy("feature", "value", group).agg(F.count(F.lit(1)).alias("c"))
+    values = sum_before(cells.groupBy("feature", "value").agg(F.sum("c").alias("ties")), ["feature"], "value", "ties", "before")
+    size = F.col("ties").cast("double")
+    tie = values.groupBy("feature").agg(F.sum(size * (size * size - 1.0)).alias("t"), F.sum("ties").alias("n"))
+    ranked = cells.join(values, ["feature", "value"]).withColumn("r", F.col("before") + (F.col("ties") + 1) / 2.0)
+    each = ranked.groupBy("feature", group).agg(F.sum(F.col("r") * F.col("c")).alias("s"), F.sum("c").alias("k"))
     total = each.groupBy("feature").agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("ss"), (F.count(F.lit(1)) - 1).alias("df"))
     n = F.col("n").cast("double")
     raw = 12.0 / (n * (n + 1)) * F.col("ss") - 3.0 * (n + 1)
